@@ -1,0 +1,25 @@
+"""Join helpers.
+
+Spark's own planner already broadcasts a side whose *estimated* size is under
+``spark.sql.autoBroadcastJoinThreshold`` and AQE re-plans on measured shuffle
+sizes. ``broadcast_bounded`` is for the remaining case where we want to force a
+broadcast: it proves the bound first with a ``limit(max_rows + 1)`` count
+(reads at most one split's worth of rows) and otherwise returns the frame
+untouched so the planner falls back to a shuffle join.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Dimension tables defined as literals in this package (regions, sentinels,
+# fuel classes, patches) are far below this.
+DEFAULT_MAX_BROADCAST_ROWS = 100_000
+
+
+def broadcast_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    n = df.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(df)
+    return df
