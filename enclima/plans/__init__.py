@@ -5,5 +5,5 @@ from .registry import ORACLES, QUERIES
 
 def load_all():
     """Import every query module so that its queries register."""
-    from . import q_reshape  # noqa: F401
+    from . import q_reshape, q_climate  # noqa: F401
     return QUERIES, ORACLES
