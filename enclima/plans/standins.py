@@ -88,3 +88,44 @@ def grid_arrays(spark: SparkSession, base: str) -> DataFrame:
     e = read_table(spark, base, "embeddings").select("vec_id", "embedding")
     return e.select(F.date_add(F.lit(GRID_START).cast("date"), F.col("vec_id").cast("int")).alias("Data"),
                     F.col("embedding").alias("values"))
+
+
+# Text of the missing-month marker written in the stand-in index files.
+SENTINEL_TEXT = {"AMO": "-99.990", "ONI": "-99.9", "SOI": "-99.99", "PDO": "-9.9", "NAO": "-99.9"}
+FOOTER_13 = "values are monthly totals of order prices by priority for every calendar year"
+
+
+def _index_monthly(spark: SparkSession, base: str) -> DataFrame:
+    g = gen_fact(spark, base)
+    idx = F.create_map(*[F.lit(x) for kv in PRIORITY_INDEX.items() for x in kv])[F.col("cat")]
+    return (g.groupBy(idx.alias("index_name"), F.year("ts").alias("y"), F.month("ts").alias("m"))
+             .agg(F.round(F.sum("value"), 2).alias("v")))
+
+
+def index_text_lines(spark: SparkSession, base: str) -> DataFrame:
+    """Blank-separated index files as (index_name, line): a header
+    ``first last`` line, one ``year v1 .. v12`` line per year (missing months
+    written as the index's sentinel), a sentinel line and two footers."""
+    mo = _index_monthly(spark, base)
+    sent = F.create_map(*[F.lit(x) for kv in SENTINEL_TEXT.items() for x in kv])[F.col("index_name")]
+    years = mo.groupBy("index_name", "y").agg(
+        *[F.first(F.when(F.col("m") == k, F.format_string("%.2f", F.col("v"))), ignorenulls=True).alias(f"m{k}")
+          for k in range(1, 13)])
+    data = years.select("index_name", F.concat_ws(
+        " ", F.col("y").cast("string"), *[F.coalesce(F.col(f"m{k}"), sent) for k in range(1, 13)]).alias("line"))
+    heads = mo.groupBy("index_name").agg(F.concat_ws(" ", F.min("y").cast("string"),
+                                                     F.max("y").cast("string")).alias("line"))
+    names = heads.select("index_name")
+    tails = (names.select("index_name", F.concat(F.lit("  "), sent).alias("line"))
+             .unionByName(names.select("index_name", F.lit(FOOTER_13).alias("line")))
+             .unionByName(names.select("index_name", F.concat(F.col("index_name"), F.lit(" from orders")).alias("line"))))
+    return heads.unionByName(data).unionByName(tails)
+
+
+def index_semicolon_rows(spark: SparkSession, base: str) -> DataFrame:
+    """``;`` layout rows (index_name, date_text, value_text): date text is three
+    characters then ``ddMMMyyyy``."""
+    mo = _index_monthly(spark, base)
+    d = F.make_date("y", "m", F.lit(1))
+    return mo.select("index_name", F.concat(F.lit("idx"), F.date_format(d, "ddMMMyyyy")).alias("date_text"),
+                     F.format_string("%.2f", F.col("v")).alias("value_text"))
