@@ -52,7 +52,7 @@ PRIORITY_INDEX = {
 # longitudes are 0..360 so the wrap rule (180 -> -180, 359.75) is exercised.
 GRID_LATS = [-10.0, -7.5, -5.0, -2.5, 0.0, 2.5, 5.0, 7.5]
 GRID_LONS = [160.0, 170.0, 180.0, 200.0, 210.0, 240.0, 275.0, 359.75]
-GRID_START = "2024-01-01"
+GRID_START = "1995-01-01"
 
 
 def gen_fact(spark: SparkSession, base: str) -> DataFrame:
