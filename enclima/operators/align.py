@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .clean import drop_incomplete
+
 
 def align(frames: Sequence[DataFrame], on: str | Sequence[str], how: str = "inner",
           complete: bool = False) -> DataFrame:
@@ -24,7 +26,7 @@ def align(frames: Sequence[DataFrame], on: str | Sequence[str], how: str = "inne
     ``how='full'`` is the outer alignment (JOI-2)."""
     keys = [on] if isinstance(on, str) else list(on)
     out = reduce(lambda a, b: a.join(b, keys, how), frames)
-    return out.dropna(how="any") if complete else out
+    return drop_incomplete(out) if complete else out
 
 
 def common_dates(a: DataFrame, b: DataFrame, on: str) -> DataFrame:

@@ -83,12 +83,20 @@ def year_equals(df: DataFrame, ts: str, year: int) -> DataFrame:
 
 
 def fill_missing(df: DataFrame, cols: Iterable[str] | None = None, value: float = 0.0) -> DataFrame:
-    cols = list(cols) if cols is not None else None
-    return df.fillna(value, subset=cols)
+    """``fillna(value)`` on numeric columns (names may hold dots or blanks)."""
+    num = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float", "long", "integer",
+                                                                          "short", "decimal")}
+    cols = [c for c in (list(cols) if cols is not None else df.columns) if c in num]
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(value).cast(df.schema[c].dataType)) for c in cols})
 
 
 def drop_incomplete(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
-    return df.dropna(how="any", subset=list(cols) if cols is not None else None)
+    """``dropna()``: keep rows with every listed column present."""
+    cols = list(cols) if cols is not None else df.columns
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(f"`{c}`").isNotNull()
+    return df.where(cond)
 
 
 def missing_cells(df: DataFrame, cols: Iterable[str] | None = None) -> Column:

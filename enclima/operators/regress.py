@@ -92,7 +92,8 @@ class LinearModel:
     @classmethod
     def fit(cls, df: DataFrame, features: Sequence[str], targets: Sequence[str], ridge: float = 0.0):
         features, targets = list(features), list(targets)
-        clean = df.dropna(how="any", subset=features + targets)
+        from .clean import drop_incomplete
+        clean = drop_incomplete(df, features + targets)
         x = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
         y = F.array(*[F.col(f"`{c}`").cast("double") for c in targets])
         st = gram(clean, x, y, len(features), len(targets)).get(())
@@ -117,17 +118,40 @@ class LinearModel:
         return spark.createDataFrame(rows, "target string, term string, coef double")
 
 
+class ForestModel:
+    """A fitted ``spark.ml`` forest that remembers its feature columns (any
+    names, renamed to positional ones for the vector assembler)."""
+
+    def __init__(self, features: Sequence[str], pipeline_model):
+        self.features, self.model = list(features), pipeline_model
+
+    def _prepare(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({f"_f{i}": F.col(f"`{c}`").cast("double") for i, c in enumerate(self.features)})
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``prediction``; rows with a missing feature are skipped."""
+        return self.model.transform(self._prepare(df)).drop(*[f"_f{i}" for i in range(len(self.features))],
+                                                           "_features")
+
+
 def random_forest(train: DataFrame, features: Sequence[str], target: str, num_trees: int = 50,
                   max_depth: int = 10, feature_subset: str = "0.5", seed: int = 69,
-                  min_instances: int = 1):
+                  min_instances: int = 1) -> ForestModel:
     """``spark.ml`` random forest for one target (the reference fits one
     multi-output forest; Spark's forests are single-output, so one per target).
-    Returns a fitted ``PipelineModel`` whose output column is ``prediction``."""
+    Tree building is distributed by Spark ML; the fitted model predicts into a
+    ``prediction`` column."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
-    va = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
-    rf = RandomForestRegressor(featuresCol="_features", labelCol=target, predictionCol="prediction",
+    from .clean import drop_incomplete
+    features = list(features)
+    va = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="_features",
+                         handleInvalid="skip")
+    rf = RandomForestRegressor(featuresCol="_features", labelCol="_label", predictionCol="prediction",
                                numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy=feature_subset,
                                seed=seed, minInstancesPerNode=min_instances)
-    return Pipeline(stages=[va, rf]).fit(train.dropna(subset=[target]))
+    fm = ForestModel(features, None)
+    src = fm._prepare(drop_incomplete(train, [target])).withColumn("_label", F.col(f"`{target}`").cast("double"))
+    fm.model = Pipeline(stages=[va, rf]).fit(src)
+    return fm

@@ -54,11 +54,12 @@ def standardize_wide(df: DataFrame, cols: Sequence[str], fit_where: Column | Non
     src = df if fit_where is None else df.filter(fit_where)
     aggs = []
     for c in cols:
-        aggs += [F.avg(c).alias(f"{c}__mu"), F.stddev_pop(c).alias(f"{c}__sd")]
+        q = F.col(f"`{c}`")
+        aggs += [F.avg(q).alias(f"{c}__mu"), F.stddev_pop(q).alias(f"{c}__sd")]
     st = src.agg(*aggs).first()  # 2 x len(cols) scalars
     exprs = {}
     for c in cols:
         mu, sd = st[f"{c}__mu"], st[f"{c}__sd"]
         scale = 1.0 if sd is None or sd == 0 else float(sd)
-        exprs[c] = (F.col(c) - F.lit(mu).cast("double")) / F.lit(scale)
+        exprs[c] = (F.col(f"`{c}`") - F.lit(mu).cast("double")) / F.lit(scale)
     return df.withColumns(exprs)

@@ -110,7 +110,8 @@ def time_series_folds(df: DataFrame, ts: str, n_splits: int = 5, fold: str = "fo
         entries.append(F.when(F.col(ts) < F.lit(test_lo), F.struct(F.lit(i).alias(fold), F.lit("train").alias(role)))
                         .when(F.col(ts) <= F.lit(test_hi), F.struct(F.lit(i).alias(fold), F.lit("test").alias(role))))
     e = df.withColumn("_f", F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())))
-    return e.select(*df.columns, F.col(f"_f.{fold}").alias(fold), F.col(f"_f.{role}").alias(role))
+    return e.select(*[F.col(f"`{c}`") for c in df.columns], F.col(f"_f.{fold}").alias(fold),
+                    F.col(f"_f.{role}").alias(role))
 
 
 def context_windows(df: DataFrame, keys: Sequence[str], ts: str, value: str, context: int, horizon: int,

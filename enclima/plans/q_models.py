@@ -179,7 +179,8 @@ f AS (SELECT gcd.Data, {', '.join(f'gcd.{_q(c)}' for c in CLASSES)}, ldd.{_q(FEA
 
 def ols_frame(spark, base):
     f = align.align([gen_class_daily(spark, base), load_daily(spark, base).select("Data", FEATURE)], "Data", "inner")
-    return f.dropna(subset=CLASSES + [FEATURE])
+    from ..operators.clean import drop_incomplete
+    return drop_incomplete(f, CLASSES + [FEATURE])
 
 
 @query("ols_coef", sql=f"""WITH {_OLS_FRAME_SQL}
@@ -290,7 +291,8 @@ ms AS (SELECT series, AVG((actual - naive) ^ 2) AS naive, AVG((actual - seasonal
 {' UNION ALL '.join(f"SELECT series AS source, '{a}' AS model_a, '{b}' AS model_b, {R(f'100 * ({a} - {b}) / {b}')} AS delta_pct FROM ms"
                     for a in _MODELS for b in _MODELS if a != b)}""")
 def model_delta(spark, base):
-    sc = scored_daily(spark, base).dropna(subset=_MODELS)
+    from ..operators.clean import drop_incomplete
+    sc = drop_incomplete(scored_daily(spark, base), _MODELS)
     long = None
     for mname in _MODELS:
         part = sc.select(F.col("series").alias("source"), F.lit(mname).alias("model"), "actual",

@@ -101,17 +101,22 @@ def grid(spark, base):
 
 _LATS = "[" + ", ".join(str(x) for x in S.GRID_LATS) + "]"
 _LONS = "[" + ", ".join(str(x) for x in S.GRID_LONS) + "]"
-GRID_SQL = f"""
-g0 AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p FROM embeddings),
-g AS (SELECT CAST(DATE '{S.GRID_START}' + CAST(vec_id AS INTEGER) AS DATE) AS Data,
+def grid_sql(p: str = "") -> str:
+    """Grid stand-in in SQL; every CTE name is prefixed with ``p``."""
+    return f"""
+{p}g0 AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p FROM embeddings),
+{p}g AS (SELECT CAST(DATE '{S.GRID_START}' + CAST(vec_id AS INTEGER) AS DATE) AS Data,
              {_LATS}[((p - 1) // 8) + 1] AS lat, {_LONS}[((p - 1) % 8) + 1] AS lon_raw,
-             CASE WHEN isnan(CAST(v AS DOUBLE)) THEN NULL ELSE CAST(v AS DOUBLE) END AS value FROM g0),
-gw AS (SELECT *, (((lon_raw + 180) % 360 + 360) % 360) - 180 AS lon FROM g),
-reg AS (SELECT * FROM (VALUES ('NIN 1.2', 0, -90, -10, -80, 'NIN 1.2'), ('NIN 3', 5, -150, -5, -90, 'NIN 3'),
+             CASE WHEN isnan(CAST(v AS DOUBLE)) THEN NULL ELSE CAST(v AS DOUBLE) END AS value FROM {p}g0),
+{p}gw AS (SELECT *, (((lon_raw + 180) % 360 + 360) % 360) - 180 AS lon FROM {p}g),
+{p}reg AS (SELECT * FROM (VALUES ('NIN 1.2', 0, -90, -10, -80, 'NIN 1.2'), ('NIN 3', 5, -150, -5, -90, 'NIN 3'),
           ('NIN 3.4', 5, -170, -5, -120, 'NIN 3.4'), ('NIN 4_1', 5, 160, -5, 180, 'NIN 4'),
           ('NIN 4_2', 5, -180, -5, -150, 'NIN 4')) r(region, north, west, south, east, parent)),
-cells AS (SELECT gw.*, reg.region, reg.parent FROM gw JOIN reg
-          ON gw.lat BETWEEN reg.south AND reg.north AND gw.lon BETWEEN reg.west AND reg.east)"""
+{p}cells AS (SELECT {p}gw.*, {p}reg.region, {p}reg.parent FROM {p}gw JOIN {p}reg
+          ON {p}gw.lat BETWEEN {p}reg.south AND {p}reg.north AND {p}gw.lon BETWEEN {p}reg.west AND {p}reg.east)"""
+
+
+GRID_SQL = grid_sql()
 
 
 # --- GEO-1, AGG-12, FLT-4, JOI-8, ARR-1 -------------------------------------

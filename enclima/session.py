@@ -68,3 +68,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def read_table(spark: SparkSession, base: str, name: str):
     """One driver table (``{base}/{name}.parquet``)."""
     return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
+
+
+def materialize(df):
+    """Cut the lineage of a frame reused by several jobs: a reliable
+    ``checkpoint`` into the shared folder named by ``spark.checkpoint.dir``
+    (survives executor loss, unlike a local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
