@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import FUEL_CLASS, patches_df
-from ..functions import add_calendar_features, clamp_negative
+from ..functions import add_calendar_features, clamp_negative, sum_or_zero
 from ..operators import align, clean, evaluate, forecast, reshape, resample, scale, split
 from ..operators.regress import LinearModel, random_forest
 from ..session import materialize
@@ -67,8 +67,9 @@ def generation_tables(df: DataFrame, ts: str = "ts", sub: str = "sub", fuel: str
 def load_tables(df: DataFrame, ts: str = "ts", sub: str = "sub", value: str = "value",
                 prefix: str = "CARGA_") -> dict[str, DataFrame]:
     """PIP-2: load facts -> five ``CARGA_{subsystem}`` tables (long)."""
+    # pivot_table(aggfunc='sum'): an hour whose rows are all missing is 0
     cells = df.groupBy(F.col(ts).alias("ts"), F.concat(F.lit(prefix), F.col(sub)).alias("series")).agg(
-        F.sum(F.col(value).cast("double")).alias("value"))
+        sum_or_zero(F.col(value).cast("double")).alias("value"))
     return resample_tables(cells)
 
 

@@ -26,7 +26,8 @@ from ..operators.reshape import pivot_masks
 def read_index_lines(spark: SparkSession, path: str) -> DataFrame:
     """(index, line) for every line of every file under ``path`` (a glob); the
     index name is the file name without its extension."""
-    raw = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("_f"))
+    raw = spark.read.text(path).select(F.col("value").alias("line"),
+                                       F.url_decode(F.col("_metadata.file_name")).alias("_f"))
     return raw.select(F.regexp_extract("_f", r"^(.*?)(\.[^.]*)?$", 1).alias("index"), "line")
 
 
@@ -52,7 +53,7 @@ def parse_semicolon_rows(rows: DataFrame, index: str, date: str, value: str) ->
 def read_semicolon_files(spark: SparkSession, path: str) -> DataFrame:
     """Read layout B files (header skipped per file) -> (index, Data, value)."""
     raw = (spark.read.option("sep", ";").option("header", "true").csv(path)
-                .select("*", F.col("_metadata.file_name").alias("_f")))
+                .select("*", F.url_decode(F.col("_metadata.file_name")).alias("_f")))
     c_date, c_val = raw.columns[0], raw.columns[1]
     named = raw.withColumn("_index", F.regexp_extract("_f", r"^(.*?)(\.[^.]*)?$", 1))
     return parse_semicolon_rows(named, "_index", c_date, c_val)
