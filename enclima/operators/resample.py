@@ -3,9 +3,10 @@
 * ``how='sum'``  -> missing skipped, empty or all-missing bin = 0 (S2)
 * ``how='mean'`` -> mean of the rows in the bin, empty bin = NULL
 * ``dense=True`` -> every bin between the first and last label of the whole
-  frame appears for every series (S3). The global bounds are two scalars
-  fetched once; calendar rows are *unioned* into the aggregation with a NULL
-  value, so densifying costs no join and no extra shuffle.
+  frame appears for every series (S3). The observations are reduced once to
+  per-bin partials (sum, count); the global bounds are read from that small
+  table and calendar rows are *unioned* into it, so densifying costs no join
+  and no second pass over the observations.
 
 Labels: day = date, week = Sunday ending it, month = last day, year = 31 Dec,
 hour = truncated timestamp (``functions.calendar.bin_label``).
@@ -62,48 +63,54 @@ def dense_calendar(df: DataFrame, ts: str, keys: Sequence[str], freq: str, out:
     return base.select(*keys, F.explode(calendar_labels(lo, hi, freq)).alias(out))
 
 
-def resample(df: DataFrame, ts: str, keys: Sequence[str], value: str, freq: str,
-             how: str = "sum", dense: bool = True, out: str = "Data", bounds=None) -> DataFrame:
-    """Aggregate ``value`` per (keys, time bin).
-
-    ``df`` holds one row per observation; for the reference's tables that is
-    the wide hourly cell (one row per hour and series), so a daily mean is the
-    mean of hours.
-    """
-    keys = list(keys)
-    base = df.select(*keys, bin_label(F.col(ts), freq).alias(out),
-                     F.col(value).cast("double").alias("_v"))
-    if dense:
-        cal = dense_calendar(df, ts, keys, freq, out, bounds)
-        if cal is not None:
-            base = base.unionByName(cal.withColumn("_v", F.lit(None).cast("double")))
-    if how == "sum":
-        agg = F.coalesce(F.sum("_v"), F.lit(0.0))
-    elif how == "mean":
-        agg = F.avg("_v")
-    elif how == "count":
-        agg = F.count("_v")
-    else:
-        raise ValueError(how)
-    return base.groupBy(*keys, out).agg(agg.alias(value))
+def _partials(df: DataFrame, ts: str, keys: Sequence[str], value: str, freq: str, out: str) -> DataFrame:
+    """One pass over the observations: (keys, label, sum, count) with
+    map-side partial aggregation (a hot key collapses before the shuffle)."""
+    v = F.col(value).cast("double")
+    return df.groupBy(*keys, bin_label(F.col(ts), freq).alias(out)).agg(
+        F.sum(v).alias("_s"), F.count(v).alias("_n"))
 
 
 def resample_many(df: DataFrame, ts: str, keys: Sequence[str], value: str, freq: str,
                   hows=("sum", "mean"), dense: bool = True, out: str = "Data") -> DataFrame:
-    """Several statistics of the same bins in one aggregation."""
+    """Several statistics of the same bins (``{value}_{how}`` columns).
+
+    The observations are read once into per-bin partials (sum, count). With
+    ``dense=True`` that small table (series x periods) is checkpointed, the
+    global first/last label is read from it, and calendar rows with empty
+    partials are unioned in and folded by a second, small aggregation - no
+    join, and the facts are never scanned twice."""
     keys = list(keys)
-    base = df.select(*keys, bin_label(F.col(ts), freq).alias(out),
-                     F.col(value).cast("double").alias("_v"))
+    p = _partials(df, ts, keys, value, freq, out)
     if dense:
-        cal = dense_calendar(df, ts, keys, freq, out)
-        if cal is not None:
-            base = base.unionByName(cal.withColumn("_v", F.lit(None).cast("double")))
+        from ..session import materialize
+        p = materialize(p)
+        b = p.agg(F.min(out).alias("lo"), F.max(out).alias("hi")).first()
+        if b["lo"] is not None:
+            base = p.select(*keys).distinct() if keys else p.sparkSession.range(1).drop("id")
+            cal = base.select(*keys, F.explode(calendar_labels(b["lo"], b["hi"], freq)).alias(out),
+                              F.lit(None).cast("double").alias("_s"), F.lit(0).cast("long").alias("_n"))
+            p = p.unionByName(cal).groupBy(*keys, out).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
     aggs = []
     for h in hows:
         if h == "sum":
-            aggs.append(F.coalesce(F.sum("_v"), F.lit(0.0)).alias(f"{value}_sum"))
+            aggs.append(F.coalesce(F.col("_s"), F.lit(0.0)).alias(f"{value}_sum"))
         elif h == "mean":
-            aggs.append(F.avg("_v").alias(f"{value}_mean"))
+            aggs.append(F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).alias(f"{value}_mean"))
         elif h == "count":
-            aggs.append(F.count("_v").alias(f"{value}_count"))
-    return base.groupBy(*keys, out).agg(*aggs)
+            aggs.append(F.col("_n").alias(f"{value}_count"))
+        else:
+            raise ValueError(h)
+    return p.select(*keys, out, *aggs)
+
+
+def resample(df: DataFrame, ts: str, keys: Sequence[str], value: str, freq: str,
+             how: str = "sum", dense: bool = True, out: str = "Data") -> DataFrame:
+    """Aggregate ``value`` per (keys, time bin).
+
+    ``df`` holds one row per observation; for the reference's tables that is
+    the wide hourly cell (one row per hour and series), so a daily mean is the
+    mean of hours. See ``resample_many`` for the execution plan.
+    """
+    r = resample_many(df, ts, keys, value, freq, (how,), dense, out)
+    return r.withColumnRenamed(f"{value}_{how}", value)

@@ -75,8 +75,11 @@ def class_subsystem_wide(df: DataFrame, ts: str, cls: str, sub: str, value: str,
     """Wide hourly generation table: one column per class total and one per
     ``{class}_{subsystem}`` (RSH-3 + JOI-2), produced by a single aggregation
     keyed on ``ts`` rather than one pivot per class plus outer joins."""
-    classes = distinct_values(df, cls) if classes is None else list(classes)
-    subs = distinct_values(df, sub) if subs is None else list(subs)
+    if classes is None or subs is None:
+        # one job for both key sets (AGG-20)
+        pairs = df.select(cls, sub).distinct().collect()
+        classes = sorted({r[0] for r in pairs if r[0] is not None}) if classes is None else list(classes)
+        subs = sorted({r[1] for r in pairs if r[1] is not None}) if subs is None else list(subs)
     masks: dict[str, Column] = {}
     for c in classes:
         masks[str(c)] = F.col(cls) == F.lit(c)

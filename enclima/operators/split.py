@@ -17,9 +17,14 @@ from pyspark.sql import functions as F
 
 
 def date_positions(df: DataFrame, ts: str) -> DataFrame:
-    """(ts, pos) with pos = 1-based rank of each distinct time stamp."""
+    """(ts, pos) with pos = 1-based rank of each distinct time stamp.
+
+    The distinct stamps are reduced with partial aggregation across the
+    cluster; only that calendar-sized table is ordered globally. It is
+    checkpointed because the cut-off lookups read it twice."""
+    from ..session import materialize
     d = df.select(ts).distinct()
-    return d.select(ts, F.row_number().over(Window.orderBy(F.col(ts))).alias("pos"))
+    return materialize(d.select(ts, F.row_number().over(Window.orderBy(F.col(ts))).alias("pos")))
 
 
 def _dates_at(positions: DataFrame, ts: str, wanted: Sequence[int]) -> dict:

@@ -32,6 +32,7 @@ def resample_tables(cells: DataFrame, ts: str = "ts", series: str = "series", va
     tables are derived from the daily partials (sum of sums, sum of sums /
     sum of counts), so the hourly cells are read twice at most (bounds + one
     aggregation) and never re-aggregated for months."""
+    cells = materialize(cells)  # hours x series: read by the hourly table and the daily pass
     d = resample.resample_many(cells, ts, [series], value, "day", ("sum", "mean", "count"))
     daily_sum = d.select(series, "Data", F.col(f"{value}_sum").alias(value))
     daily_mean = d.select(series, "Data", F.col(f"{value}_mean").alias(value))
@@ -116,7 +117,7 @@ def training_frame(targets: DataFrame, load: DataFrame, others: Sequence[DataFra
     t = clean.fill_missing(t, target_cols, 0.0)
     ld = add_calendar_features(load, ts)
     frame = align.align([t, ld, *others], ts, "inner", complete=True)
-    frame = clean.year_range(frame, ts, after=after, before=before)
+    frame = materialize(clean.year_range(frame, ts, after=after, before=before))
     exog_cols = [c for c in frame.columns if c != ts and c not in target_cols]
     frame = split.train_test_split(frame, ts, test_size)
     fit_where = (F.col("split") == "train") if fit_on == "train" else None
@@ -205,9 +206,9 @@ def forecast_study(daily_long: DataFrame, context: int = 8, horizon: int = 4, se
     wk = resample.resample(d, "Data", ["series"], "value", "week", "mean")
     if before is not None:
         wk = clean.year_range(wk, "Data", before=before)
-    sp = split.fraction_splits(wk, "Data", fractions, context=context)
+    sp = materialize(split.fraction_splits(wk, "Data", fractions, context=context))
     params = scale.fit_scaler(sp.where(F.col("split") == "train"), ["series"], "value")
-    z = scale.apply_scaler(sp, params, ["series"], "value")
+    z = materialize(scale.apply_scaler(sp, params, ["series"], "value"))
 
     def windows(part):
         return split.context_windows(z.where(F.col("split") == part), ["series"], "Data", "value",
