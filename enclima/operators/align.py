@@ -30,8 +30,10 @@ def align(frames: Sequence[DataFrame], on: str | Sequence[str], how: str = "inne
 
 
 def common_dates(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
-    """Dates present in both tables (SET-2)."""
-    return a.select(on).intersect(b.select(on))
+    """Dates present in both tables (SET-2). Each side is reduced to its
+    distinct dates first (partial aggregation collapses a hot date before any
+    shuffle), so the set operation only sees calendar-sized inputs."""
+    return a.select(on).distinct().intersect(b.select(on).distinct())
 
 
 def restrict_to_common(a: DataFrame, b: DataFrame, on: str):
