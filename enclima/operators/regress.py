@@ -39,14 +39,45 @@ def _partial_gram(keys: Sequence[str], p: int, q: int):
     return fn
 
 
+# Up to this many sums of products one JVM aggregate is used (no Python
+# worker start-up); larger systems compile slowly as SQL and fold rows with
+# numpy inside each task instead.
+SQL_GRAM_MAX_TERMS = 64
+
+
+def _gram_sql(src: DataFrame, keys: Sequence[str], p: int, q: int) -> dict:
+    """Sums of products as one JVM hash aggregate (partial + final, codegen)."""
+    xs = [F.col("_x")[i] for i in range(p)]
+    ys = [F.col("_y")[k] for k in range(q)]
+    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs += [F.sum(xs[i]).alias(f"sx{i}") for i in range(p)]
+    aggs += [F.sum(ys[k]).alias(f"sy{k}") for k in range(q)]
+    aggs += [F.sum(xs[i] * xs[j]).alias(f"xx{i}_{j}") for i in range(p) for j in range(i, p)]
+    aggs += [F.sum(xs[i] * ys[k]).alias(f"xy{i}_{k}") for i in range(p) for k in range(q)]
+    res = {}
+    for r in src.groupBy(*keys).agg(*aggs).collect():  # one row per key
+        sxx = np.zeros((p, p))
+        for i in range(p):
+            for j in range(i, p):
+                sxx[i, j] = sxx[j, i] = r[f"xx{i}_{j}"] or 0.0
+        sxy = np.array([[r[f"xy{i}_{k}"] or 0.0 for k in range(q)] for i in range(p)]).reshape(p, q)
+        res[tuple(r[c] for c in keys)] = (float(r["n"]), np.array([r[f"sx{i}"] or 0.0 for i in range(p)]),
+                                          np.array([r[f"sy{k}"] or 0.0 for k in range(q)]), sxx, sxy)
+    return res
+
+
 def gram(df: DataFrame, x: Column, y: Column, p: int, q: int, keys: Sequence[str] = ()) -> dict:
     """Sufficient statistics of ``y ~ x`` per key.
 
     ``x``/``y`` are ``ARRAY<DOUBLE>`` columns of length ``p``/``q``; rows with
     any NULL must be removed by the caller. Returns ``{key_tuple: (n, sx, sy,
-    Sxx, Sxy)}``."""
+    Sxx, Sxy)}``. Tiny systems run as one JVM aggregate; larger ones fold rows
+    with numpy inside each task (``mapInPandas``) and add the partials with a
+    hash aggregate."""
     keys = list(keys)
     src = df.select(*keys, x.alias("_x"), y.alias("_y"))
+    if p * (p + 1) // 2 + p * q <= SQL_GRAM_MAX_TERMS:
+        return _gram_sql(src, keys, p, q)
     key_fields = [f for f in src.schema.fields if f.name in keys]
     schema = T.StructType(key_fields + [T.StructField("_s", T.ArrayType(T.DoubleType()))])
     parts = src.mapInPandas(_partial_gram(keys, p, q), schema)

@@ -71,8 +71,15 @@ def read_table(spark: SparkSession, base: str, name: str):
 
 
 def materialize(df):
-    """Cut the lineage of a frame reused by several jobs: a reliable
-    ``checkpoint`` into the shared folder named by ``spark.checkpoint.dir``
-    (survives executor loss, unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of a frame reused by several jobs.
+
+    The frame is written once as a Parquet table under the shared folder named
+    by ``spark.checkpoint.dir`` and read back (columnar, prunable, survives
+    executor loss). An RDD ``checkpoint()`` of a non-persisted Dataset would
+    compute the plan twice; a local checkpoint would not survive executor
+    loss."""
+    import uuid
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/enclima-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
