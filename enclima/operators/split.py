@@ -2,9 +2,9 @@
 
 Row positions are computed on the table of *distinct time stamps* only (one
 row per date: thousands to a few hundred thousand rows, bounded by the
-calendar, not by the data volume). From it a handful of cut-off dates are
-fetched and the facts are split with range predicates on the time column, so
-no global sort or window ever runs over the facts themselves.
+calendar, not by the data volume). One job returns the stamp count and the
+handful of cut-off dates; the facts are then split with range predicates on
+the time column, so no global sort or window ever runs over the facts.
 """
 
 from __future__ import annotations
@@ -17,24 +17,28 @@ from pyspark.sql import functions as F
 
 
 def date_positions(df: DataFrame, ts: str) -> DataFrame:
-    """(ts, pos) with pos = 1-based rank of each distinct time stamp.
+    """(ts, pos, n): 1-based rank of each distinct time stamp and their count.
 
     The distinct stamps are reduced with partial aggregation across the
-    cluster; only that calendar-sized table is ordered globally. It is
-    checkpointed because the cut-off lookups read it twice."""
-    from ..session import materialize
+    cluster; only that calendar-sized table is ordered in one partition."""
     d = df.select(ts).distinct()
-    return materialize(d.select(ts, F.row_number().over(Window.orderBy(F.col(ts))).alias("pos")))
+    return d.select(ts, F.row_number().over(Window.orderBy(F.col(ts))).alias("pos"),
+                    F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
 
 
-def _dates_at(positions: DataFrame, ts: str, wanted: Sequence[int]) -> dict:
-    wanted = sorted({int(p) for p in wanted})
-    rows = positions.where(F.col("pos").isin(wanted)).collect()
-    return {r["pos"]: r[ts] for r in rows}
-
-
-def _count(positions: DataFrame) -> int:
-    return positions.agg(F.max("pos")).first()[0] or 0
+def cut_dates(df: DataFrame, ts: str, wanted: dict) -> tuple[int, dict]:
+    """One job: the number of time stamps ``n`` and, for every name in
+    ``wanted``, the time stamp at the 1-based position ``wanted[name](n)``
+    (a Column expression of ``n``; Spark's double arithmetic equals Python's,
+    so ``floor(n * 0.7)`` is ``int(n * 0.7)``). Missing positions give None."""
+    pos = date_positions(df, ts)
+    flags = {k: F.col("pos") == f(F.col("n")) for k, f in wanted.items()}
+    any_flag = F.col("pos") == 1
+    for fl in flags.values():
+        any_flag = any_flag | fl
+    rows = pos.select(ts, "n", *[fl.alias(f"_w_{k}") for k, fl in flags.items()]).where(any_flag).collect()
+    n = int(rows[0]["n"]) if rows else 0
+    return n, {k: next((r[ts] for r in rows if r[f"_w_{k}"]), None) for k in wanted}
 
 
 def _between(ts: str, lo, hi) -> Column:
@@ -46,22 +50,11 @@ def _between(ts: str, lo, hi) -> Column:
     return c
 
 
-def position_ranges(df: DataFrame, ts: str, ranges: dict[str, tuple[int, int]]) -> dict[str, Column]:
-    """``{name: (first_pos, last_pos)}`` (1-based, inclusive) -> range predicates."""
-    pos = date_positions(df, ts)
-    want = [p for a, b in ranges.values() for p in (a, b) if p >= 1]
-    at = _dates_at(pos, ts, want)
-    return {k: _between(ts, at.get(a), at.get(b)) if a <= b else F.lit(False) for k, (a, b) in ranges.items()}
-
-
 def train_test_split(df: DataFrame, ts: str, test_size: float = 0.3, label: str = "split") -> DataFrame:
     """``train_test_split(shuffle=False)``: the last ``ceil(test_size * n)``
     time stamps are test, the rest train (WIN-6)."""
-    pos = date_positions(df, ts)
-    n = _count(pos)
-    n_test = math.ceil(test_size * n)
-    n_train = n - n_test
-    cut = _dates_at(pos, ts, [n_train]).get(n_train) if n_train >= 1 else None
+    _, at = cut_dates(df, ts, {"cut": lambda n: n - F.ceil(F.lit(float(test_size)) * n)})
+    cut = at["cut"]
     if cut is None:
         return df.withColumn(label, F.lit("test"))
     return df.withColumn(label, F.when(F.col(ts) <= F.lit(cut), "train").otherwise("test"))
@@ -76,20 +69,20 @@ def fraction_splits(df: DataFrame, ts: str, config: dict[str, tuple[float, float
     start ``context`` rows early and overlap the previous split. A row in an
     overlap appears once per split it belongs to."""
     config = config or {"train": (0.0, 0.7), "valid": (0.7, 0.8), "test": (0.8, 1.0)}
-    pos = date_positions(df, ts)
-    n = _count(pos)
-    ranges = {}
+    wanted = {}
+    for i, (name, (s, e)) in enumerate(config.items()):
+        off = context if i > 0 else 0
+        wanted[f"{name}_lo"] = lambda n, s=s, off=off: F.floor(n * F.lit(float(s))) - off + 1
+        wanted[f"{name}_hi"] = lambda n, e=e: F.floor(n * F.lit(float(e)))
+    n, at = cut_dates(df, ts, wanted)
+    parts = []
     for i, (name, (s, e)) in enumerate(config.items()):
         start = int(n * s) - (context if i > 0 else 0)
         if start < 0:
             raise ValueError(f"split {name!r} would start before the first row")
-        ranges[name] = (start + 1, int(n * e))  # to 1-based inclusive
-    at = _dates_at(pos, ts, [p for a, b in ranges.values() for p in (a, b) if p >= 1])
-    parts = []
-    for name, (a, b) in ranges.items():
-        if a > b:
+        if start + 1 > int(n * e):
             continue
-        parts.append(df.where(_between(ts, at[a], at[b])).withColumn(label, F.lit(name)))
+        parts.append(df.where(_between(ts, at[f"{name}_lo"], at[f"{name}_hi"])).withColumn(label, F.lit(name)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -101,17 +94,22 @@ def time_series_folds(df: DataFrame, ts: str, n_splits: int = 5, fold: str = "fo
     """Expanding-window folds (``TimeSeriesSplit``): ``test_size = n // (k+1)``;
     fold i tests the i-th block of the last ``k`` blocks and trains on every
     earlier row. Output: one row per (row, fold) it takes part in (WIN-8)."""
-    pos = date_positions(df, ts)
-    n = _count(pos)
-    size = n // (n_splits + 1)
-    if size < 1:
+    k = n_splits
+
+    def size(n):
+        return F.floor(n / F.lit(k + 1))
+
+    wanted = {}
+    for i in range(k):
+        # 0-based start s = n - (k - i) * size -> 1-based positions s + 1 and s + size
+        wanted[f"lo{i}"] = lambda n, i=i: n - (k - i) * size(n) + 1
+        wanted[f"hi{i}"] = lambda n, i=i: n - (k - i) * size(n) + size(n)
+    n, at = cut_dates(df, ts, wanted)
+    if n // (k + 1) < 1:
         raise ValueError("too few rows for the requested folds")
-    starts = list(range(n - n_splits * size, n, size))
-    at = _dates_at(pos, ts, [s + 1 for s in starts] + [s + size for s in starts])
-    # position s (0-based) -> date at 1-based position s + 1
     entries = []
-    for i, s in enumerate(starts):
-        test_lo, test_hi = at[s + 1], at[s + size]
+    for i in range(k):
+        test_lo, test_hi = at[f"lo{i}"], at[f"hi{i}"]
         entries.append(F.when(F.col(ts) < F.lit(test_lo), F.struct(F.lit(i).alias(fold), F.lit("train").alias(role)))
                         .when(F.col(ts) <= F.lit(test_hi), F.struct(F.lit(i).alias(fold), F.lit("test").alias(role))))
     e = df.withColumn("_f", F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())))

@@ -123,8 +123,9 @@ def training_frame(targets: DataFrame, load: DataFrame, others: Sequence[DataFra
     fit_where = (F.col("split") == "train") if fit_on == "train" else None
     frame = scale.standardize_wide(frame.withColumns({c: F.col(f"`{c}`").cast("double") for c in exog_cols}),
                                    exog_cols, fit_where)
-    # the frame feeds every model fit and score; compute it once
-    return materialize(frame), target_cols, exog_cols
+    # the aligned base was materialized above; split and scaling are literal
+    # projections over it
+    return frame, target_cols, exog_cols
 
 
 def _score(pred_long: DataFrame, n_daily: DataFrame, p: int, model: str) -> DataFrame:
