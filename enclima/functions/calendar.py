@@ -18,7 +18,16 @@ def _c(c):
 
 
 def week_end(ts) -> Column:
-    return F.date_add(F.to_date(F.date_trunc("week", _c(ts))), 6)
+    """Sunday closing the ISO week (time-zone free: date + 6 - weekday)."""
+    c = _c(ts)
+    return F.date_add(F.to_date(c), F.lit(6) - F.weekday(c))
+
+
+def hour_start(ts) -> Column:
+    """Timestamp truncated to the hour, kept as TIMESTAMP_NTZ (``date_trunc``
+    would return a session-time-zone timestamp)."""
+    c = _c(ts)
+    return F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.lit(0), F.lit(0))
 
 
 def month_end(ts) -> Column:
@@ -37,7 +46,7 @@ def pandas_weekday(ts) -> Column:
 def bin_label(ts, freq: str) -> Column:
     c = _c(ts)
     if freq == "hour":
-        return F.date_trunc("hour", c)
+        return hour_start(c)
     if freq == "day":
         return F.to_date(c)
     if freq == "week":

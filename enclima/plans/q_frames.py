@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..dims import patches_df
+from ..functions.calendar import hour_start
 from ..functions import add_calendar_features, rnd
 from ..operators import align, clean, reshape, resample, scale
 from . import standins as S
@@ -261,7 +262,7 @@ HOURLY_TOTALS_SQL = f"{HOURLY_CTE}, ht AS (SELECT date_trunc('hour', ts) AS Data
 
 def hourly_totals(spark, base):
     h = S.hourly_fact(spark, base)
-    return h.groupBy(F.date_trunc("hour", "ts").alias("Data")).agg(F.sum("value").alias("total"))
+    return h.groupBy(hour_start("ts").alias("Data")).agg(F.sum("value").alias("total"))
 
 
 @query("peak_day", sql=f"""
@@ -283,7 +284,7 @@ FROM hr WHERE CAST(ts AS DATE) IN (SELECT day FROM pk) GROUP BY 1""")
 def peak_profile(spark, base):
     pk = align.peak_instant(hourly_totals(spark, base), "Data", "total")
     day_rows = align.rows_on_day_of(S.hourly_fact(spark, base), "ts", pk, "Data")
-    h = day_rows.withColumn("Data", F.date_trunc("hour", "ts"))
+    h = day_rows.withColumn("Data", hour_start("ts"))
     wide = reshape.pivot_series(h, "Data", "key", "value", values=EVENT_TYPES, prefix="EV_")
     tot = h.groupBy("Data").agg(F.sum("value").alias("total"))
     return round_all(wide.join(tot, "Data"), ["Data"])

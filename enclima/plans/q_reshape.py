@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.calendar import hour_start
 from ..functions import rnd
 from ..operators import clean, reshape, resample
 from . import standins as S
@@ -49,7 +50,7 @@ def _pivot_hourly_sql():
 
 @query("pivot_hourly", sql=_pivot_hourly_sql())
 def pivot_hourly(spark, base):
-    h = S.hourly_fact(spark, base).withColumn("Data", F.date_trunc("hour", "ts"))
+    h = S.hourly_fact(spark, base).withColumn("Data", hour_start("ts"))
     wide = reshape.pivot_series(h, "Data", "key", "value", prefix="EV_")
     return round_all(wide, ["Data"])
 
