@@ -53,11 +53,15 @@ def read_layouts(spark: SparkSession, pattern: str, columns: Sequence[str], sep:
 
     Values stay strings (typing is the caller's choice: strict ``cast`` under
     ANSI or lenient ``try_cast``); ``_file`` holds the file name."""
+    from concurrent.futures import ThreadPoolExecutor
     files = list_files(spark, pattern)
+    # one short read per file (its header line); metadata-sized work, done
+    # concurrently from the driver instead of a full extra pass over the data
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        heads = list(pool.map(lambda f: _first_line(spark, f), files))
     groups: dict[tuple, list[str]] = defaultdict(list)
-    for f in files:
-        header = tuple(h.strip().strip('"') for h in _first_line(spark, f).split(sep))
-        groups[header].append(f)
+    for f, line in zip(files, heads):
+        groups[tuple(h.strip().strip('"') for h in line.split(sep))].append(f)
     parts = []
     for header, paths in groups.items():
         missing = [c for c in columns if c not in header]
