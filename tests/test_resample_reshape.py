@@ -110,3 +110,11 @@ def test_multi_measure_and_union_by_name(spark):
     b = spark.createDataFrame([("y", 2, 0.5)], "k string, v int, extra double")
     u = reshape.union_by_name([a, b]).orderBy("v").collect()
     assert [tuple(r) for r in u] == [(1, "x", None), (2, "y", 0.5)]
+
+
+def test_empty_input(spark):
+    from enclima.operators import split
+    empty = spark.createDataFrame([], SCHEMA)
+    assert resample.resample(empty, "ts", ["series"], "value", "day", "sum").count() == 0
+    assert reshape.pivot_series(empty, "ts", "series", "value", values=["a"]).count() == 0
+    assert split.train_test_split(empty, "ts", 0.3).count() == 0
