@@ -46,10 +46,16 @@ def anomaly(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str =
 
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], ts: str, value: str, window: int = 3,
-                 out: str | None = None) -> DataFrame:
-    """``rolling(window, min_periods=1).mean()``: trailing rows, NULLs skipped."""
-    w = _w(keys, ts).rowsBetween(-(window - 1), 0)
-    return df.withColumn(out or value, F.avg(F.col(value)).over(w))
+                 out: str | None = None, bucket: Column | None = None) -> DataFrame:
+    """``rolling(window, min_periods=1).mean()``: trailing rows, NULLs skipped.
+    ``bucket`` windows a very long series inside overlapping time buckets."""
+    if bucket is None:
+        w = _w(keys, ts).rowsBetween(-(window - 1), 0)
+        return df.withColumn(out or value, F.avg(F.col(value)).over(w))
+    from .split import with_neighbours
+    nb = with_neighbours(df, keys, ts, bucket, window - 1, 0)
+    w = _w(list(keys) + ["_b"], ts).rowsBetween(-(window - 1), 0)
+    return nb.withColumn(out or value, F.avg(F.col(value)).over(w)).where(F.col("_own")).drop("_b", "_own")
 
 
 def series_stats(df: DataFrame, keys: Sequence[str], value: str, *aggs: Column) -> DataFrame:
@@ -80,10 +86,15 @@ def anomaly_index(df: DataFrame, keys: Sequence[str], ts: str, value: str, windo
 
 
 def add_lags(df: DataFrame, keys: Sequence[str], ts: str, value: str, lags: Sequence[int],
-             fmt: str = "{value}_lag{k}") -> DataFrame:
-    """``shift(k)`` per series (WIN-5): the value ``k`` rows earlier."""
-    w = _w(keys, ts)
-    return df.withColumns({fmt.format(value=value, k=k): F.lag(F.col(value), k).over(w) for k in lags})
+             fmt: str = "{value}_lag{k}", bucket: Column | None = None) -> DataFrame:
+    """``shift(k)`` per series (WIN-5): the value ``k`` rows earlier.
+    ``bucket`` windows a very long series inside overlapping time buckets."""
+    cols = lambda w: {fmt.format(value=value, k=k): F.lag(F.col(value), k).over(w) for k in lags}
+    if bucket is None:
+        return df.withColumns(cols(_w(keys, ts)))
+    from .split import with_neighbours
+    nb = with_neighbours(df, keys, ts, bucket, max(lags), 0)
+    return nb.withColumns(cols(_w(list(keys) + ["_b"], ts))).where(F.col("_own")).drop("_b", "_own")
 
 
 def phase_label(df: DataFrame, keys: Sequence[str], value: str, out: str = "phase",

@@ -117,8 +117,33 @@ def time_series_folds(df: DataFrame, ts: str, n_splits: int = 5, fold: str = "fo
                     F.col(f"_f.{role}").alias(role))
 
 
+def with_neighbours(df: DataFrame, keys: Sequence[str], ts: str, bucket: Column, before: int,
+                    after: int) -> DataFrame:
+    """Split a long series into time buckets for windowing.
+
+    Every row is tagged with its bucket ``_b`` (consecutive integers, e.g.
+    ``year(ts)``) and ``_own = true``; the last ``before`` rows of each bucket
+    are copied into the next bucket and the first ``after`` rows into the
+    previous one with ``_own = false``. A row window of at most ``before``
+    preceding and ``after`` following rows computed per (keys, bucket) then
+    equals the one over the whole series for every own row, provided the
+    series is dense (no empty bucket inside it) and every bucket other than
+    the first and the last holds at least ``max(before, after)`` rows (true
+    for year buckets of a dense daily/weekly/monthly series with windows up
+    to a year). No task ever holds a whole series."""
+    keys = list(keys)
+    b = df.withColumn("_b", bucket.cast("long"))
+    w = Window.partitionBy(*keys, "_b")
+    ranked = (b.withColumn("_rd", F.row_number().over(w.orderBy(F.col(ts).desc())))
+               .withColumn("_ra", F.row_number().over(w.orderBy(F.col(ts).asc()))))
+    own = ranked.withColumn("_own", F.lit(True))
+    prev = ranked.where(F.col("_rd") <= before).withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False))
+    nxt = ranked.where(F.col("_ra") <= after).withColumn("_b", F.col("_b") - 1).withColumn("_own", F.lit(False))
+    return own.unionByName(prev).unionByName(nxt).drop("_rd", "_ra")
+
+
 def context_windows(df: DataFrame, keys: Sequence[str], ts: str, value: str, context: int, horizon: int,
-                    full_only: bool = True, exog: Sequence[str] = ()) -> DataFrame:
+                    full_only: bool = True, exog: Sequence[str] = (), bucket: Column | None = None) -> DataFrame:
     """One row per origin with the ``context`` observations up to it and the
     ``horizon`` observations after it, as ``ARRAY<STRUCT<ts, value>>`` (NULL
     values keep their slot). Only complete windows by default (WIN-9).
@@ -126,18 +151,29 @@ def context_windows(df: DataFrame, keys: Sequence[str], ts: str, value: str, con
     ``exog`` columns (known in advance, e.g. load or calendar) add an
     ``exog_horizon`` array: their values over the horizon, column by column.
 
-    The partition is a resampled series (bounded by its calendar length)."""
+    The partition is a resampled series (bounded by its calendar length); for
+    a very long series pass ``bucket`` (e.g. ``F.year(ts)``) to window inside
+    time buckets with overlapping edges (``with_neighbours``)."""
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(F.col(ts))
+    src = df
+    if bucket is not None:
+        src = with_neighbours(df, keys, ts, bucket, context - 1, horizon)
+        keys_w = keys + ["_b"]
+    else:
+        keys_w = keys
+    w = Window.partitionBy(*keys_w).orderBy(F.col(ts))
     item = F.struct(F.col(ts).alias("t"), F.col(value).cast("double").alias("v"))
     extra = []
     if exog:
         hz = [F.transform(F.collect_list(F.struct(F.col(c).cast("double").alias("x"))).over(w.rowsBetween(1, horizon)),
                           lambda s: s["x"]) for c in exog]
         extra = [F.concat(*hz).alias("exog_horizon")]
-    out = df.select(*keys, F.col(ts).alias("origin"),
-                    F.collect_list(item).over(w.rowsBetween(-(context - 1), 0)).alias("context"),
-                    F.collect_list(item).over(w.rowsBetween(1, horizon)).alias("horizon"), *extra)
+    own = [F.col("_own")] if bucket is not None else []
+    out = src.select(*keys, F.col(ts).alias("origin"),
+                     F.collect_list(item).over(w.rowsBetween(-(context - 1), 0)).alias("context"),
+                     F.collect_list(item).over(w.rowsBetween(1, horizon)).alias("horizon"), *extra, *own)
+    if bucket is not None:
+        out = out.where(F.col("_own")).drop("_own")
     if full_only:
         out = out.where((F.size("context") == context) & (F.size("horizon") == horizon))
     return out

@@ -77,7 +77,8 @@ WITH {LOAD_MONTHLY_SQL}
 SELECT sub, Data, {R('AVG(value) OVER (PARTITION BY sub ORDER BY Data ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')}
        AS rolling FROM m""")
 def rolling3(spark, base):
-    r = climate.rolling_mean(load_monthly(spark, base), ["sub"], "Data", "value", 3, out="rolling")
+    r = climate.rolling_mean(load_monthly(spark, base), ["sub"], "Data", "value", 3, out="rolling",
+                             bucket=F.year("Data"))
     return r.select("sub", "Data", rnd("rolling").alias("rolling"))
 
 
@@ -119,7 +120,7 @@ SELECT series, Data, {R('value')} AS value,
 FROM dd WINDOW w AS (PARTITION BY series ORDER BY Data)""")
 def lags(spark, base):
     d = resample.resample(gen_cells(spark, base), "ts", ["series"], "value", "day", "sum")
-    out = climate.add_lags(d, ["series"], "Data", "value", [15, 30, 60])
+    out = climate.add_lags(d, ["series"], "Data", "value", [15, 30, 60], bucket=F.year("Data"))
     return out.select("series", "Data", *[rnd(c).alias(c) for c in
                                           ["value", "value_lag15", "value_lag30", "value_lag60"]])
 

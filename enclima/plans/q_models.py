@@ -66,7 +66,9 @@ fw AS (SELECT * FROM w WHERE nc = {CONTEXT} AND nh = {HORIZON})"""
 
 
 def gen_windows(spark, base):
-    return split.context_windows(gen_daily_long(spark, base), ["series"], "Data", "value", CONTEXT, HORIZON)
+    # year buckets with overlapping edges: no task holds a whole series
+    return split.context_windows(gen_daily_long(spark, base), ["series"], "Data", "value", CONTEXT, HORIZON,
+                                 bucket=F.year("Data"))
 
 
 def _arr_mean(c):

@@ -127,3 +127,19 @@ def test_month_mean_and_pairs(spark):
     assert m[D(2020, 1, 31)] == (15.0, 16.0)
     p = evaluate.pairs_table(df, ["series"], "Data", "value", "predicted")
     assert p.columns == ["series", "Data", "split", "actual", "predicted"]
+
+
+def test_bucketed_windows_equal_whole_series(spark):
+    from enclima.operators import climate
+    df = _days(spark, 800, ("a", "b"), f=lambda i: float((i * 37) % 101))
+    yr = F.year("Data")
+    whole = split.context_windows(df, ["series"], "Data", "value", 30, 7)
+    buck = split.context_windows(df, ["series"], "Data", "value", 30, 7, bucket=yr)
+    key = lambda r: (r.series, r.origin, tuple(s.v for s in r.context), tuple(s.v for s in r.horizon))
+    assert sorted(map(key, whole.collect())) == sorted(map(key, buck.collect()))
+    r1 = climate.rolling_mean(df, ["series"], "Data", "value", 3, out="r")
+    r2 = climate.rolling_mean(df, ["series"], "Data", "value", 3, out="r", bucket=yr)
+    assert sorted(map(tuple, r1.collect())) == sorted(map(tuple, r2.select(*r1.columns).collect()))
+    l1 = climate.add_lags(df, ["series"], "Data", "value", [1, 15])
+    l2 = climate.add_lags(df, ["series"], "Data", "value", [1, 15], bucket=yr)
+    assert sorted(map(tuple, l1.collect())) == sorted(map(tuple, l2.select(*l1.columns).collect()))
