@@ -18,8 +18,22 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
 
 
+def _is_local(df: DataFrame) -> bool:
+    """A literal table built on the driver (its size is known exactly)."""
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan()
+        return plan.getClass().getSimpleName() == "LocalRelation"
+    except Exception:  # noqa: BLE001 - e.g. remote sessions without a JVM handle
+        return False
+
+
 def broadcast_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df)
-    return df
+    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows:
+    a driver-side literal table of that size, or a ``limit`` count that stops
+    after ``max_rows + 1`` rows. Otherwise the frame is returned as is and the
+    planner chooses a shuffle join."""
+    if _is_local(df):
+        n = df.count()  # local relation: no distributed job
+    else:
+        n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

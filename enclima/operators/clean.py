@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import broadcast_bounded
+
 from ..functions import clamp_negative
 
 
@@ -110,8 +112,9 @@ def missing_cells(df: DataFrame, cols: Iterable[str] | None = None) -> Column:
 
 def patch_rows(df: DataFrame, ts: str, patches: DataFrame) -> DataFrame:
     """``df.loc[target] = df.loc[source].values`` for every (target_date,
-    source_date) pair of ``patches`` (a small literal table, broadcast)."""
-    p = F.broadcast(patches)
+    source_date) pair of ``patches`` (a small table, broadcast after its size
+    is proven)."""
+    p = broadcast_bounded(patches)
     others = [c for c in df.columns if c != ts]
     replaced = (df.join(p, F.col(ts) == F.col("source_date"), "inner")
                   .select(F.col("target_date").alias(ts), *others))

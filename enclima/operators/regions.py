@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import broadcast_bounded
+
 from ..functions import lon_wrap
 from ..functions.nulls import nan_to_null
 
@@ -44,7 +46,7 @@ def wrap_longitudes(df: DataFrame, lon: str = "lon", out: str = "lon") -> DataFr
 
 def cells_in_regions(grid: DataFrame, regions: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Every (cell, region) whose box holds the cell, inclusive bounds (FLT-4)."""
-    r = F.broadcast(regions)
+    r = broadcast_bounded(regions)
     cond = ((F.col(lat) >= F.col("south")) & (F.col(lat) <= F.col("north"))
             & (F.col(lon) >= F.col("west")) & (F.col(lon) <= F.col("east")))
     return grid.join(r, cond, "inner").drop("north", "south", "west", "east")

@@ -19,6 +19,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import broadcast_bounded
+
 from ..dims import sentinels_df
 from ..operators.reshape import pivot_masks
 
@@ -64,7 +66,7 @@ def null_sentinels(df: DataFrame, sentinels: DataFrame | None = None, index: str
     """Per-index sentinel -> NULL by exact double equality (NUL-1). The
     sentinel table is a literal dimension (32 rows) and is broadcast."""
     s = sentinels if sentinels is not None else sentinels_df(df.sparkSession)
-    s = F.broadcast(s.withColumnRenamed("index", "_sidx"))
+    s = broadcast_bounded(s.withColumnRenamed("index", "_sidx"))
     j = df.join(s, F.col(index) == F.col("_sidx"), "left")
     return j.withColumn(value, F.when(F.col("invalid").isNull() | (F.col(value) != F.col("invalid")),
                                       F.col(value))).drop("_sidx", "invalid")
