@@ -18,7 +18,7 @@ from .joins import broadcast_bounded
 __all__ = [
     "add_calendar_features", "bin_label", "month_end", "week_end", "year_end", "pandas_weekday",
     "clamp_negative", "nan_to_null", "sum_or_zero", "adjusted_r2", "relative_diff",
-    "lon_wrap", "rnd", "broadcast_bounded", "col_of",
+    "lon_wrap", "rnd", "broadcast_bounded", "col_of", "lit_time",
 ]
 
 
@@ -35,6 +35,16 @@ def lon_wrap(lon) -> Column:
     return F.pmod(col_of(lon) + F.lit(180.0), F.lit(360.0)) - F.lit(180.0)
 
 
+def lit_time(v) -> Column:
+    """Literal for a value read back from a time column: dates stay DATE,
+    naive datetimes become TIMESTAMP_NTZ from their text (a plain ``lit`` of a
+    datetime would be read in the session time zone)."""
+    import datetime as _dt
+    if isinstance(v, _dt.datetime):
+        return F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(v)
+
+
 def rnd(c, digits: int = 4) -> Column:
     """Round for order-insensitive comparison of float sums (both sides)."""
     return F.round(col_of(c), digits)

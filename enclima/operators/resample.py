@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lit_time
 from ..functions.calendar import bin_label
 
 _STEP = {
@@ -41,12 +42,12 @@ def calendar_labels(lo, hi, freq: str):
     """Column expression exploding into every label between ``lo`` and ``hi``."""
     if freq in ("month", "year"):
         # step on first days, then label; avoids month-end arithmetic drift
-        start = F.trunc(F.lit(lo), "MM" if freq == "month" else "YYYY")
-        stop = F.trunc(F.lit(hi), "MM" if freq == "month" else "YYYY")
+        start = F.trunc(lit_time(lo), "MM" if freq == "month" else "YYYY")
+        stop = F.trunc(lit_time(hi), "MM" if freq == "month" else "YYYY")
         seq = F.sequence(start, stop, F.expr(_STEP[freq]))
         return F.transform(seq, lambda d: F.last_day(d) if freq == "month"
                            else F.make_date(F.year(d), F.lit(12), F.lit(31)))
-    return F.sequence(F.lit(lo), F.lit(hi), F.expr(_STEP[freq]))
+    return F.sequence(lit_time(lo), lit_time(hi), F.expr(_STEP[freq]))
 
 
 def dense_calendar(df: DataFrame, ts: str, keys: Sequence[str], freq: str, out: str = "Data",

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lit_time
+
 
 def date_positions(df: DataFrame, ts: str) -> DataFrame:
     """(ts, pos, n): 1-based rank of each distinct time stamp and their count.
@@ -44,9 +46,9 @@ def cut_dates(df: DataFrame, ts: str, wanted: dict) -> tuple[int, dict]:
 def _between(ts: str, lo, hi) -> Column:
     c = F.lit(True)
     if lo is not None:
-        c = c & (F.col(ts) >= F.lit(lo))
+        c = c & (F.col(ts) >= lit_time(lo))
     if hi is not None:
-        c = c & (F.col(ts) <= F.lit(hi))
+        c = c & (F.col(ts) <= lit_time(hi))
     return c
 
 
@@ -57,7 +59,7 @@ def train_test_split(df: DataFrame, ts: str, test_size: float = 0.3, label: str
     cut = at["cut"]
     if cut is None:
         return df.withColumn(label, F.lit("test"))
-    return df.withColumn(label, F.when(F.col(ts) <= F.lit(cut), "train").otherwise("test"))
+    return df.withColumn(label, F.when(F.col(ts) <= lit_time(cut), "train").otherwise("test"))
 
 
 def fraction_splits(df: DataFrame, ts: str, config: dict[str, tuple[float, float]] | None = None,
@@ -110,8 +112,8 @@ def time_series_folds(df: DataFrame, ts: str, n_splits: int = 5, fold: str = "fo
     entries = []
     for i in range(k):
         test_lo, test_hi = at[f"lo{i}"], at[f"hi{i}"]
-        entries.append(F.when(F.col(ts) < F.lit(test_lo), F.struct(F.lit(i).alias(fold), F.lit("train").alias(role)))
-                        .when(F.col(ts) <= F.lit(test_hi), F.struct(F.lit(i).alias(fold), F.lit("test").alias(role))))
+        entries.append(F.when(F.col(ts) < lit_time(test_lo), F.struct(F.lit(i).alias(fold), F.lit("train").alias(role)))
+                        .when(F.col(ts) <= lit_time(test_hi), F.struct(F.lit(i).alias(fold), F.lit("test").alias(role))))
     e = df.withColumn("_f", F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())))
     return e.select(*[F.col(f"`{c}`") for c in df.columns], F.col(f"_f.{fold}").alias(fold),
                     F.col(f"_f.{role}").alias(role))

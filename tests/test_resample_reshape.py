@@ -118,3 +118,19 @@ def test_empty_input(spark):
     assert resample.resample(empty, "ts", ["series"], "value", "day", "sum").count() == 0
     assert reshape.pivot_series(empty, "ts", "series", "value", values=["a"]).count() == 0
     assert split.train_test_split(empty, "ts", 0.3).count() == 0
+
+
+def test_hourly_dense_and_splits_are_time_zone_free(spark):
+    from enclima.operators import split
+    rows = [(T(2024, 3, 10, 1), "a", 1.0), (T(2024, 3, 10, 4), "a", 2.0)]   # a US DST night
+    df = spark.createDataFrame(rows, SCHEMA)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        out = resample.resample(df, "ts", ["series"], "value", "hour", "sum").orderBy("Data").collect()
+        assert [r.Data for r in out] == [T(2024, 3, 10, h) for h in (1, 2, 3, 4)]
+        assert dict(resample.resample(df, "ts", ["series"], "value", "hour", "sum").dtypes)["Data"] == "timestamp_ntz"
+        s = split.train_test_split(df, "ts", 0.5).orderBy("ts").collect()
+        assert [r.split for r in s] == ["train", "test"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
