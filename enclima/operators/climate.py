@@ -4,9 +4,8 @@ WIN-1..5, JOI-6, GEO-4, DEC-1).
 All windows here run on *resampled* series (one row per series and period),
 so a window partition holds at most the number of periods in the calendar
 (e.g. 300 months), never raw facts. Per-series statistics (std, min, max) are
-hash aggregates with partial aggregation joined back on the series key; the
-joined side has one row per series and AQE broadcasts it from its measured
-size.
+window aggregates over the same series partition, so they share the shuffle
+of the rolling / lag windows instead of recomputing them for a join.
 """
 
 from __future__ import annotations
@@ -19,13 +18,17 @@ from pyspark.sql import functions as F
 from ..dims import ENSO_PHASES
 
 
-def _attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join per-series statistics back; without keys the single stats row is
-    fetched and inlined as literals (no join at all)."""
+def _series_stats(df: DataFrame, keys: Sequence[str], aggs: dict) -> DataFrame:
+    """Attach per-series statistics to every row. With keys: window
+    aggregates over the series partition (the input is a resampled series, so
+    the partition is calendar-sized, and upstream windows on the same
+    partitioning are not recomputed as a join would). Without keys: one small
+    aggregate whose single row is inlined as literals."""
     if keys:
-        return df.join(stats, list(keys), "left")
-    row = stats.first()
-    return df.withColumns({c: F.lit(row[c] if row else None) for c in stats.columns})
+        w = Window.partitionBy(*keys)
+        return df.withColumns({name: agg.over(w) for name, agg in aggs.items()})
+    row = df.agg(*[agg.alias(name) for name, agg in aggs.items()]).first()
+    return df.withColumns({name: F.lit(row[name] if row else None) for name in aggs})
 
 
 def _w(keys, ts):
@@ -65,9 +68,7 @@ def series_stats(df: DataFrame, keys: Sequence[str], value: str, *aggs: Column)
 def std_normalize(df: DataFrame, keys: Sequence[str], value: str, out: str | None = None) -> DataFrame:
     """``df.div(df.std())`` - divide by the sample std of the series, no
     centring (WIN-3). A series with a single row or zero spread gives NULL."""
-    keys = list(keys)
-    st = df.groupBy(*keys).agg(F.stddev_samp(F.col(value)).alias("_std"))
-    j = _attach(df, st, keys)
+    j = _series_stats(df, list(keys), {"_std": F.stddev_samp(F.col(value))})
     return j.withColumn(out or value, F.try_divide(F.col(value), F.col("_std"))).drop("_std")
 
 
@@ -104,9 +105,7 @@ def phase_label(df: DataFrame, keys: Sequence[str], value: str, out: str = "phas
     Ticks per series are ``min, min/4, (min+max)/2, max/2, max`` (AGG-17); a
     value takes the name of its nearest tick, the colder one on ties.
     """
-    keys = list(keys)
-    st = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    j = _attach(df, st, keys)
+    j = _series_stats(df, list(keys), {"_lo": F.min(value), "_hi": F.max(value)})
     lo, hi, v = F.col("_lo"), F.col("_hi"), F.col(value)
     ticks = [lo, lo / 4, (lo + hi) / 2, hi / 2, hi]
     dist = [F.abs(v - t) for t in ticks]
