@@ -110,25 +110,43 @@ def parent_region(name: str) -> str:
     return base if base and tail.isdigit() else name
 
 
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(float(v)) if isinstance(v, float) else str(v)
+
+
+def literal_table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A small literal table as an inline ``VALUES`` relation: the planner
+    knows its exact size (a LocalRelation), so it is broadcast without any
+    job to measure it."""
+    cols = [c.strip().split(" ", 1) for c in schema.split(",")]
+    values = ", ".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in rows)
+    names = ", ".join(f"`{n}`" for n, _ in cols)
+    casts = ", ".join(f"CAST(`{n}` AS {t}) AS `{n}`" for n, t in cols)
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({names})")
+
+
 def regions_df(spark: SparkSession, regions: dict | None = None) -> DataFrame:
     regions = ENSO_REGIONS if regions is None else regions
     rows = [(k, float(v[0]), float(v[1]), float(v[2]), float(v[3]), parent_region(k))
             for k, v in regions.items()]
-    return spark.createDataFrame(
-        rows, "region string, north double, west double, south double, east double, parent string")
+    return literal_table(spark, rows, "region string, north double, west double, south double, east double, "
+                                      "parent string")
 
 
 def sentinels_df(spark: SparkSession, sentinels: dict | None = None) -> DataFrame:
     sentinels = INDEX_SENTINEL if sentinels is None else sentinels
-    return spark.createDataFrame([(k, float(v)) for k, v in sentinels.items()],
-                                 "index string, invalid double")
+    return literal_table(spark, [(k, float(v)) for k, v in sentinels.items()], "index string, invalid double")
 
 
 def mapping_df(spark: SparkSession, mapping: dict, key: str = "key", value: str = "mapped") -> DataFrame:
-    return spark.createDataFrame(list(mapping.items()), f"`{key}` string, `{value}` string")
+    return literal_table(spark, list(mapping.items()), f"{key} string, {value} string")
 
 
 def patches_df(spark: SparkSession, patches=None) -> DataFrame:
     patches = GENERATION_PATCHES if patches is None else patches
-    return spark.createDataFrame(patches, "target_date string, source_date string").selectExpr(
+    return literal_table(spark, patches, "target_date string, source_date string").selectExpr(
         "to_date(target_date) AS target_date", "to_date(source_date) AS source_date")

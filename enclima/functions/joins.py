@@ -18,13 +18,16 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
 
 
-def _is_local(df: DataFrame) -> bool:
-    """A literal table built on the driver (its size is known exactly)."""
+def _local_rows(df: DataFrame):
+    """Row count of a literal table built on the driver, read from its plan
+    (no job); None when the frame is not such a table."""
     try:
         plan = df._jdf.queryExecution().optimizedPlan()
-        return plan.getClass().getSimpleName() == "LocalRelation"
+        if plan.getClass().getSimpleName() == "LocalRelation":
+            return int(plan.data().size())
     except Exception:  # noqa: BLE001 - e.g. remote sessions without a JVM handle
-        return False
+        pass
+    return None
 
 
 def broadcast_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
@@ -32,8 +35,7 @@ def broadcast_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
     a driver-side literal table of that size, or a ``limit`` count that stops
     after ``max_rows + 1`` rows. Otherwise the frame is returned as is and the
     planner chooses a shuffle join."""
-    if _is_local(df):
-        n = df.count()  # local relation: no distributed job
-    else:
+    n = _local_rows(df)
+    if n is None:
         n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
