@@ -5,8 +5,9 @@ OLS / ridge use one distributed Gram pass: every task folds its rows into
 ``mapInPandas``), the per-task partials are added by a hash aggregate on the
 array position, and only the ``p x p`` and ``p x q`` sums reach the driver,
 which solves the small system with a pseudo-inverse after centring (the
-minimum-norm solution, as ``lstsq``). Predictions are a projection with the
-coefficients as literals, inside codegen.
+minimum-norm solution, as ``lstsq``). Very small systems (a few dozen product
+terms) are summed by one JVM aggregate instead. Predictions are a projection
+with the coefficients as literals, inside codegen.
 """
 
 from __future__ import annotations

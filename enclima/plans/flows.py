@@ -28,10 +28,10 @@ def resample_tables(cells: DataFrame, ts: str = "ts", series: str = "series", va
     and series): hourly MWmed, daily / monthly MWh (sums, empty bins 0) and
     daily / monthly MWmed (means of hours, empty bins NULL).
 
-    One aggregation builds the dense daily (sum, mean, count); the monthly
-    tables are derived from the daily partials (sum of sums, sum of sums /
-    sum of counts), so the hourly cells are read twice at most (bounds + one
-    aggregation) and never re-aggregated for months."""
+    The cells are checkpointed once (they feed the hourly table and the daily
+    pass). One aggregation reduces them to dense daily partials (sum, mean,
+    count); the monthly tables are derived from those daily partials (sum of
+    sums, sum of sums / sum of counts) instead of re-reading the hours."""
     cells = materialize(cells)  # hours x series: read by the hourly table and the daily pass
     d = resample.resample_many(cells, ts, [series], value, "day", ("sum", "mean", "count"))
     daily_sum = d.select(series, "Data", F.col(f"{value}_sum").alias(value))
