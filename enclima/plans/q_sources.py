@@ -106,9 +106,10 @@ def grid_sql(p: str = "") -> str:
     return f"""
 {p}g0 AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p FROM embeddings),
 {p}g AS (SELECT CAST(DATE '{S.GRID_START}' + CAST(vec_id AS INTEGER) AS DATE) AS Data,
-             {_LATS}[((p - 1) // 8) + 1] AS lat, {_LONS}[((p - 1) % 8) + 1] AS lon_raw,
+             CAST({_LATS} AS DOUBLE[])[((p - 1) // 8) + 1] AS lat,
+             CAST({_LONS} AS DOUBLE[])[((p - 1) % 8) + 1] AS lon_raw,
              CASE WHEN isnan(CAST(v AS DOUBLE)) THEN NULL ELSE CAST(v AS DOUBLE) END AS value FROM {p}g0),
-{p}gw AS (SELECT *, (((lon_raw + 180) % 360 + 360) % 360) - 180 AS lon FROM {p}g),
+{p}gw AS (SELECT *, (((lon_raw + 180.0) % 360.0 + 360.0) % 360.0) - 180.0 AS lon FROM {p}g),
 {p}reg AS (SELECT * FROM (VALUES ('NIN 1.2', 0, -90, -10, -80, 'NIN 1.2'), ('NIN 3', 5, -150, -5, -90, 'NIN 3'),
           ('NIN 3.4', 5, -170, -5, -120, 'NIN 3.4'), ('NIN 4_1', 5, 160, -5, 180, 'NIN 4'),
           ('NIN 4_2', 5, -180, -5, -150, 'NIN 4')) r(region, north, west, south, east, parent)),

@@ -10,7 +10,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as E  # noqa: E402
-from oracle_check import TABLES, rows_key  # noqa: E402
+from oracle_check import TABLES, rows_key, type_mismatches  # noqa: E402
 
 from conftest import SF_SMALL
 
@@ -40,7 +40,8 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     srows, scols = [tuple(r) for r in df.collect()], df.columns
-    res = con.execute(SQL[name])
-    dcols, drows = [d[0] for d in res.description], res.fetchall()
+    rel = con.sql(SQL[name])
+    dcols, dtypes, drows = rel.columns, rel.types, rel.fetchall()
     assert sorted(scols) == sorted(dcols)
+    assert not type_mismatches(df.dtypes, dcols, dtypes)
     assert rows_key(scols, srows) == rows_key(dcols, drows)
