@@ -168,11 +168,13 @@ class ForestModel:
 
 def random_forest(train: DataFrame, features: Sequence[str], target: str, num_trees: int = 50,
                   max_depth: int = 10, feature_subset: str = "0.5", seed: int = 69,
-                  min_instances: int = 1) -> ForestModel:
+                  min_instances: int = 1, bootstrap: bool = True) -> ForestModel:
     """``spark.ml`` random forest for one target (the reference fits one
     multi-output forest; Spark's forests are single-output, so one per target).
     Tree building is distributed by Spark ML; the fitted model predicts into a
-    ``prediction`` column."""
+    ``prediction`` column. Grid parameters of the reference available in Spark:
+    trees, depth, features per split, minimum leaf size, bootstrap (there is
+    no minimum split size)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
@@ -182,7 +184,7 @@ def random_forest(train: DataFrame, features: Sequence[str], target: str, num_tr
                          handleInvalid="skip")
     rf = RandomForestRegressor(featuresCol="_features", labelCol="_label", predictionCol="prediction",
                                numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy=feature_subset,
-                               seed=seed, minInstancesPerNode=min_instances)
+                               seed=seed, minInstancesPerNode=min_instances, bootstrap=bootstrap)
     fm = ForestModel(features, None)
     src = fm._prepare(drop_incomplete(train, [target])).withColumn("_label", F.col(f"`{target}`").cast("double"))
     fm.model = Pipeline(stages=[va, rf]).fit(src)

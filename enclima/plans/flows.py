@@ -189,9 +189,10 @@ def rf_grid(frame: DataFrame, target: str, exogs: Sequence[str], grid: Sequence[
             tr = folds.where((F.col("fold") == k) & (F.col("role") == "train"))
             te = folds.where((F.col("fold") == k) & (F.col("role") == "test"))
             pm = random_forest(tr, exogs, target, **params)
-            rows.append((int(params.get("num_trees", 50)), int(params.get("max_depth", 10)), k,
-                         float(ev.evaluate(pm.transform(te)))))
-    return frame.sparkSession.createDataFrame(rows, "num_trees int, max_depth int, fold int, rmse double")
+            rows.append((int(params.get("num_trees", 50)), int(params.get("max_depth", 10)),
+                         bool(params.get("bootstrap", True)), k, float(ev.evaluate(pm.transform(te)))))
+    return frame.sparkSession.createDataFrame(
+        rows, "num_trees int, max_depth int, bootstrap boolean, fold int, rmse double")
 
 
 # --- PIP-9 ------------------------------------------------------------------------
