@@ -14,15 +14,15 @@ from .registry import LOAD_CTE, R, query
 
 
 def write_load_csv(spark, base, root):
-    """Stand-in input: load rows as ``;`` CSV files, even years with one
-    column order, odd years with another order plus an extra column."""
+    """Stand-in input: load rows as ``;`` CSV files, years up to 1998 with one
+    column order, later years with another order plus an extra column."""
     ld = S.load_fact(spark, base).select(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("din_instante"), F.col("sub").alias("id_subsistema"),
         F.col("value").cast("string").alias("val_cargaenergiahomwmed"), F.year("ts").alias("_y"))
-    even = ld.where(F.col("_y") % 2 == 0).select("din_instante", "id_subsistema", "val_cargaenergiahomwmed")
-    odd = ld.where(F.col("_y") % 2 == 1).select("val_cargaenergiahomwmed", F.lit("x").alias("nom_extra"),
-                                                "id_subsistema", "din_instante")
-    for name, part in (("layout_a", even), ("layout_b", odd)):
+    early = ld.where(F.col("_y") <= 1998).select("din_instante", "id_subsistema", "val_cargaenergiahomwmed")
+    late = ld.where(F.col("_y") > 1998).select("val_cargaenergiahomwmed", F.lit("x").alias("nom_extra"),
+                                               "id_subsistema", "din_instante")
+    for name, part in (("layout_a", early), ("layout_b", late)):
         part.write.mode("overwrite").option("sep", ";").option("header", "true").csv(f"{root}/{name}")
 
 

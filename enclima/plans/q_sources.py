@@ -154,9 +154,10 @@ def dateline_region(spark, base):
 
 
 # --- PIP-5, GEO-1 wide ----------------------------------------------------------
-def region_table(spark, base, var="sst"):
+def region_table(spark, base, variable="sea_surface_temperature"):
+    from ..sources.grid import variable_label
     series = REG.region_stat(grid(spark, base), regions_df(spark), "mean", by="parent")
-    return REG.region_wide(series, var, regions=["NIN 1.2", "NIN 3", "NIN 3.4", "NIN 4"])
+    return REG.region_wide(series, variable_label(variable), regions=["NIN 1.2", "NIN 3", "NIN 3.4", "NIN 4"])
 
 
 @query("region_table", sql=f"""WITH {GRID_SQL}, m AS (SELECT Data, parent, AVG(value) AS v FROM cells GROUP BY ALL)

@@ -47,7 +47,8 @@ def parse_wide_lines(lines: DataFrame, index: str = "index", line: str = "line")
 
 def parse_semicolon_rows(rows: DataFrame, index: str, date: str, value: str) -> DataFrame:
     """Layout B rows (already split on ``;``, header removed) -> (index, Data, value)."""
-    d = F.to_date(F.substring(F.trim(F.col(date)), 4, 100), "ddMMMyyyy")
+    # drop the three leading characters, keep the whole rest of the text
+    d = F.to_date(F.expr(f"substr(trim(`{date}`), 4)"), "ddMMMyyyy")
     return rows.select(F.col(index).alias("index"), F.trunc(d, "MM").alias("Data"),
                        F.expr(f"try_cast(trim(`{value}`) AS DOUBLE)").alias("value"))
 

@@ -115,3 +115,16 @@ def test_indices_flow(spark, tmpdir_path):
     t = flows.indices_table(IT.read_index_lines(spark, f"{tmpdir_path}/i2/*.txt"))
     rows = {r.Data: r.PDO for r in t.collect()}
     assert rows["2000-01"] == 1.0 and rows["2000-12"] is None
+
+
+def test_grid_long_source(spark, tmpdir_path):
+    from enclima.dims import regions_df
+    from enclima.operators import regions
+    from enclima.sources.grid import read_grid_long, variable_label
+    rows = [(dt.date(2020, 1, 1), 0.0, 359.75, 1.0), (dt.date(2020, 1, 1), 0.0, 180.0, float("nan")),
+            (dt.date(2020, 1, 1), 0.0, 200.0, 3.0), (dt.date(2020, 1, 1), 0.0, 170.0, 5.0)]
+    spark.createDataFrame(rows, "date date, lat double, lon double, value double").write.parquet(f"{tmpdir_path}/g")
+    g = read_grid_long(spark, f"{tmpdir_path}/g")
+    out = {r.region: r.value for r in regions.region_stat(g, regions_df(spark), "mean", by="parent").collect()}
+    assert out == {"NIN 4": 4.0, "NIN 3.4": 3.0}        # 180 -> -180 (NaN skipped), 359.75 in no box
+    assert variable_label("sea_surface_temperature") == "sst" and variable_label("x") == "x"
