@@ -29,6 +29,28 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for a large cluster (about 100 TB of input, ~1000 executors). Not
+# applied automatically; pass ``extra=CLUSTER_CONF`` or set them in the
+# cluster's defaults. Reasoning:
+# * scans: 512 MB splits keep task counts near 200k for 100 TB of Parquet;
+# * shuffles: a high initial partition count that AQE coalesces toward
+#   256 MB per partition, so the largest shuffles (fact -> hourly cells)
+#   never spill badly and small ones collapse to a few tasks;
+# * skew: a partition is split when it is 5x the median and over 1 GB;
+# * broadcast: Spark's own estimate decides (default 10 MB); this library
+#   only forces broadcasts of literal dimensions and top-k results.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.parquet.filterPushdown": "true",
+}
+
+
 def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
                 app_name: str = "enclima", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)
