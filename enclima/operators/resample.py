@@ -78,16 +78,20 @@ def resample_many(df: DataFrame, ts: str, keys: Sequence[str], value: str, freq:
 
     The observations are read once into per-bin partials (sum, count). With
     ``dense=True`` that small table (series x periods) is checkpointed, the
-    global first/last label is read from it, and calendar rows with empty
-    partials are unioned in and folded by a second, small aggregation - no
-    join, and the facts are never scanned twice."""
+    global first/last label is observed during that same write, and calendar
+    rows with empty partials are unioned in and folded by a second, small
+    aggregation - no join, and the facts are never scanned twice."""
     keys = list(keys)
     p = _partials(df, ts, keys, value, freq, out)
     if dense:
+        from pyspark.sql import Observation
+
         from ..session import materialize
-        p = materialize(p)
-        b = p.agg(F.min(out).alias("lo"), F.max(out).alias("hi")).first()
-        if b["lo"] is not None:
+        # the bounds are observed while the partials are written: no extra job
+        obs = Observation("bounds")
+        p = materialize(p.observe(obs, F.min(out).alias("lo"), F.max(out).alias("hi")))
+        b = obs.get
+        if b.get("lo") is not None:
             base = p.select(*keys).distinct() if keys else p.sparkSession.range(1).drop("id")
             cal = base.select(*keys, F.explode(calendar_labels(b["lo"], b["hi"], freq)).alias(out),
                               F.lit(None).cast("double").alias("_s"), F.lit(0).cast("long").alias("_n"))
