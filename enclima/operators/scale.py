@@ -48,15 +48,25 @@ def standardize(df: DataFrame, keys: Sequence[str], value: str, fit_where: Colum
     return apply_scaler(df, fit_scaler(df, keys, value, fit_where), keys, value, out)
 
 
-def standardize_wide(df: DataFrame, cols: Sequence[str], fit_where: Column | None = None) -> DataFrame:
-    """Wide variant: one pass computes mean and population std of every column
-    (a single-row aggregate), then one projection scales them."""
-    src = df if fit_where is None else df.filter(fit_where)
+def wide_stat_aggs(cols: Sequence[str]) -> list:
+    """Aggregates of ``standardize_wide``: mean and population std per column."""
     aggs = []
     for c in cols:
         q = F.col(f"`{c}`")
         aggs += [F.avg(q).alias(f"{c}__mu"), F.stddev_pop(q).alias(f"{c}__sd")]
-    st = src.agg(*aggs).first()  # 2 x len(cols) scalars
+    return aggs
+
+
+def standardize_wide(df: DataFrame, cols: Sequence[str], fit_where: Column | None = None,
+                     stats: dict | None = None) -> DataFrame:
+    """Wide variant: one pass computes mean and population std of every column
+    (a single-row aggregate), then one projection scales them. ``stats`` may
+    carry those numbers already (e.g. observed while the frame was written)."""
+    if stats is None:
+        src = df if fit_where is None else df.filter(fit_where)
+        st = src.agg(*wide_stat_aggs(cols)).first()  # 2 x len(cols) scalars
+    else:
+        st = stats
     exprs = {}
     for c in cols:
         mu, sd = st[f"{c}__mu"], st[f"{c}__sd"]

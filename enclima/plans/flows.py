@@ -117,12 +117,21 @@ def training_frame(targets: DataFrame, load: DataFrame, others: Sequence[DataFra
     t = clean.fill_missing(t, target_cols, 0.0)
     ld = add_calendar_features(load, ts)
     frame = align.align([t, ld, *others], ts, "inner", complete=True)
-    frame = materialize(clean.year_range(frame, ts, after=after, before=before))
+    frame = clean.year_range(frame, ts, after=after, before=before)
     exog_cols = [c for c in frame.columns if c != ts and c not in target_cols]
+    frame = frame.withColumns({c: F.col(f"`{c}`").cast("double") for c in exog_cols})
+    stats = None
+    if fit_on == "all":
+        # scaler statistics over all rows are observed while the frame is written
+        from pyspark.sql import Observation
+        obs = Observation("scaler")
+        frame = materialize(frame.observe(obs, *scale.wide_stat_aggs(exog_cols)))
+        stats = obs.get
+    else:
+        frame = materialize(frame)
     frame = split.train_test_split(frame, ts, test_size)
     fit_where = (F.col("split") == "train") if fit_on == "train" else None
-    frame = scale.standardize_wide(frame.withColumns({c: F.col(f"`{c}`").cast("double") for c in exog_cols}),
-                                   exog_cols, fit_where)
+    frame = scale.standardize_wide(frame, exog_cols, fit_where, stats=stats)
     # the aligned base was materialized above; split and scaling are literal
     # projections over it
     return frame, target_cols, exog_cols
