@@ -31,13 +31,6 @@ _STEP = {
 }
 
 
-def label_bounds(df: DataFrame, ts: str, freq: str):
-    """(first label, last label) of the frame - one tiny aggregate."""
-    lab = bin_label(F.col(ts), freq)
-    row = df.agg(F.min(lab).alias("lo"), F.max(lab).alias("hi")).first()
-    return row["lo"], row["hi"]
-
-
 def calendar_labels(lo, hi, freq: str):
     """Column expression exploding into every label between ``lo`` and ``hi``."""
     if freq in ("month", "year"):
@@ -50,20 +43,6 @@ def calendar_labels(lo, hi, freq: str):
     return F.sequence(lit_time(lo), lit_time(hi), F.expr(_STEP[freq]))
 
 
-def dense_calendar(df: DataFrame, ts: str, keys: Sequence[str], freq: str, out: str = "Data",
-                   bounds=None) -> DataFrame:
-    """Every (series, label) pair between the global first and last label."""
-    lo, hi = label_bounds(df, ts, freq) if bounds is None else bounds
-    spark = df.sparkSession
-    if lo is None:
-        return None
-    if keys:
-        base = df.select(*keys).distinct()
-    else:
-        base = spark.range(1).drop("id")
-    return base.select(*keys, F.explode(calendar_labels(lo, hi, freq)).alias(out))
-
-
 def _partials(df: DataFrame, ts: str, keys: Sequence[str], value: str, freq: str, out: str) -> DataFrame:
     """One pass over the observations: (keys, label, sum, count) with
     map-side partial aggregation (a hot key collapses before the shuffle)."""

@@ -145,12 +145,12 @@ def _score(pred_long: DataFrame, n_daily: DataFrame, p: int, model: str) -> Data
 
 
 def _long_predictions(test: DataFrame, targets: Sequence[str], pred_col) -> DataFrame:
-    out = None
-    for t in targets:
-        part = test.select(F.lit(t).alias("target"), "Data", F.col(f"`{t}`").alias("actual"),
-                           clamp_negative(pred_col(t)).alias("predicted"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(target, Data, actual, predicted) for every target in one scan: each
+    row explodes into one struct per target (no union of per-target scans)."""
+    items = [F.struct(F.lit(t).alias("target"), F.col(f"`{t}`").cast("double").alias("actual"),
+                      clamp_negative(pred_col(t)).alias("predicted")) for t in targets]
+    return (test.select("Data", F.explode(F.array(*items)).alias("_p"))
+                .select("_p.target", "Data", "_p.actual", "_p.predicted"))
 
 
 def ols_study(frame: DataFrame, targets: Sequence[str], exogs: Sequence[str], model: str = "ols"):
@@ -225,7 +225,8 @@ def forecast_study(daily_long: DataFrame, context: int = 8, horizon: int = 4, se
         return split.context_windows(z.where(F.col("split") == part), ["series"], "Data", "value",
                                      context, horizon)
 
-    test_w, train_w = windows("test"), windows("train")
+    # the test windows feed three forecasters: write them once
+    test_w, train_w = materialize(windows("test")), windows("train")
     models = forecast.fit_linear(train_w, ["series"], context, horizon)
     fcs = {"naive": forecast.naive(test_w, horizon), "seasonal": forecast.seasonal(test_w, horizon, season),
            "linear": forecast.linear(test_w, ["series"], models, horizon)}
