@@ -32,7 +32,7 @@ def _tables_long(tables):
     out = None
     for name, df in tables.items():
         part = df.select(F.lit(name).alias("table_name"), "series", F.col("Data").cast("timestamp_ntz").alias("Data"),
-                         rnd("value").alias("value"))
+                         rnd("value", 6).alias("value"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -50,11 +50,11 @@ dd AS (SELECT k.series, cal.Data, COALESCE(SUM(c.value), 0) AS s, AVG(c.value) A
        LEFT JOIN cells c ON c.series = k.series AND CAST(c.ts AS DATE) = cal.Data GROUP BY ALL),
 dm AS ({dm}),
 mm AS (SELECT series, last_day(Data) AS Data, SUM(s) AS s, SUM(n) AS n FROM dd GROUP BY ALL)
-SELECT 'hourly_MWmed' AS table_name, series, CAST(ts AS TIMESTAMP) AS Data, {R('value')} AS value FROM cells
-UNION ALL SELECT 'daily_MWh', series, CAST(Data AS TIMESTAMP), {R('s')} FROM dd
-UNION ALL SELECT 'monthly_MWh', series, CAST(Data AS TIMESTAMP), {R('s')} FROM mm
-UNION ALL SELECT 'daily_MWmed', series, CAST(Data AS TIMESTAMP), {R('a')} FROM dm
-UNION ALL SELECT 'monthly_MWmed', series, CAST(Data AS TIMESTAMP), {R('CASE WHEN n > 0 THEN s / n END')} FROM mm"""
+SELECT 'hourly_MWmed' AS table_name, series, CAST(ts AS TIMESTAMP) AS Data, {R('value', 6)} AS value FROM cells
+UNION ALL SELECT 'daily_MWh', series, CAST(Data AS TIMESTAMP), {R('s', 6)} FROM dd
+UNION ALL SELECT 'monthly_MWh', series, CAST(Data AS TIMESTAMP), {R('s', 6)} FROM mm
+UNION ALL SELECT 'daily_MWmed', series, CAST(Data AS TIMESTAMP), {R('a', 6)} FROM dm
+UNION ALL SELECT 'monthly_MWmed', series, CAST(Data AS TIMESTAMP), {R('CASE WHEN n > 0 THEN s / n END', 6)} FROM mm"""
 
 
 GEN_CELLS_SQL = f"""{GEN_CTE},

@@ -113,7 +113,7 @@ def forecast_overlap_mean(spark, base):
 @query("forecast_naive", sql=f"""WITH {_EXPLODE_SQL},
 om AS (SELECT series, Data, AVG(predicted) AS predicted FROM ex GROUP BY ALL),
 j AS (SELECT om.series, om.Data, dd.value AS actual, om.predicted FROM om JOIN dd USING (series, Data))
-SELECT series, last_day(Data) AS Data, {R('AVG(actual)')} AS actual, {R('AVG(predicted)')} AS predicted
+SELECT series, last_day(Data) AS Data, {R('AVG(actual)', 6)} AS actual, {R('AVG(predicted)', 6)} AS predicted
 FROM j GROUP BY ALL""")
 def forecast_naive(spark, base):
     om = forecast.overlap_mean(naive_exploded(spark, base), ["series"])
@@ -121,7 +121,7 @@ def forecast_naive(spark, base):
     a, p = align.restrict_to_common(actual, om, "Data")
     j = p.join(a, ["series", "Data"])
     m = evaluate.month_mean(j, ["series"], "Data", ["actual", "predicted"])
-    return m.select("series", "Data", rnd("actual").alias("actual"), rnd("predicted").alias("predicted"))
+    return m.select("series", "Data", rnd("actual", 6).alias("actual"), rnd("predicted", 6).alias("predicted"))
 
 
 # --- FCS-1 (seasonal naive) -------------------------------------------------
@@ -253,10 +253,10 @@ def monthly_naive(spark, base):
 
 # --- AGG-7 ------------------------------------------------------------------
 @query("eval_month_mean", sql=f"""WITH {_SCORED_SQL}
-SELECT series, Data, {R('actual')} AS actual, {R('predicted')} AS predicted FROM mm""")
+SELECT series, Data, {R('actual', 6)} AS actual, {R('predicted', 6)} AS predicted FROM mm""")
 def eval_month_mean(spark, base):
     m = monthly_naive(spark, base)
-    return m.select("series", "Data", rnd("actual").alias("actual"), rnd("predicted").alias("predicted"))
+    return m.select("series", "Data", rnd("actual", 6).alias("actual"), rnd("predicted", 6).alias("predicted"))
 
 
 # --- EVL-1, EVL-3 -----------------------------------------------------------

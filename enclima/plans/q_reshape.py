@@ -134,13 +134,16 @@ WEEK = "CAST(date_trunc('week', {x}) AS DATE) + 6"
 MONTH = "last_day(CAST({x} AS DATE))"
 YEAR = "make_date(year({x}), 12, 31)"
 SUM0 = R("COALESCE(SUM(value), 0)")
-MEAN = R("AVG(value)")
+# Means round at 6 decimals: a mean of cent values over n <= 31 rows can end
+# exactly on a 5 at the 5th decimal (8 | n), a rounding tie decided by the
+# last bit of each engine's sum; at 6 decimals that needs 32 | n.
+MEAN = R("AVG(value)", 6)
 
 
 def _resample_query(freq, how):
     def run(spark, base):
         out = resample.resample(gen_cells(spark, base), "ts", ["series"], "value", freq, how)
-        return out.select("series", "Data", rnd("value").alias("value"))
+        return out.select("series", "Data", rnd("value", 6 if how == "mean" else 4).alias("value"))
     return run
 
 
