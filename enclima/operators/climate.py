@@ -61,10 +61,6 @@ def rolling_mean(df: DataFrame, keys: Sequence[str], ts: str, value: str, window
     return nb.withColumn(out or value, F.avg(F.col(value)).over(w)).where(F.col("_own")).drop("_b", "_own")
 
 
-def series_stats(df: DataFrame, keys: Sequence[str], value: str, *aggs: Column) -> DataFrame:
-    return df.groupBy(*keys).agg(*aggs)
-
-
 def std_normalize(df: DataFrame, keys: Sequence[str], value: str, out: str | None = None) -> DataFrame:
     """``df.div(df.std())`` - divide by the sample std of the series, no
     centring (WIN-3). A series with a single row or zero spread gives NULL."""
