@@ -23,16 +23,19 @@ TABLES = ("hourly_MWmed", "daily_MWh", "monthly_MWh", "daily_MWmed", "monthly_MW
 
 # --- resampling shared by generation and load --------------------------------------
 def resample_tables(cells: DataFrame, ts: str = "ts", series: str = "series", value: str = "value",
-                    patches: DataFrame | None = None) -> dict[str, DataFrame]:
+                    patches: DataFrame | None = None, hourly: bool = True) -> dict[str, DataFrame]:
     """The five tables of the reference from hourly cells (one row per hour
     and series): hourly MWmed, daily / monthly MWh (sums, empty bins 0) and
     daily / monthly MWmed (means of hours, empty bins NULL).
 
     The cells are checkpointed once (they feed the hourly table and the daily
-    pass). One aggregation reduces them to dense daily partials (sum, mean,
+    pass; with ``hourly=False`` the hourly table is not produced and the
+    daily pass reads them directly). One aggregation reduces them to dense
+    daily partials (sum, mean,
     count); the monthly tables are derived from those daily partials (sum of
     sums, sum of sums / sum of counts) instead of re-reading the hours."""
-    cells = materialize(cells)  # hours x series: read by the hourly table and the daily pass
+    if hourly:
+        cells = materialize(cells)  # hours x series: read by the hourly table and the daily pass
     d = resample.resample_many(cells, ts, [series], value, "day", ("sum", "mean", "count"))
     daily_sum = d.select(series, "Data", F.col(f"{value}_sum").alias(value))
     daily_mean = d.select(series, "Data", F.col(f"{value}_mean").alias(value))
@@ -42,8 +45,10 @@ def resample_tables(cells: DataFrame, ts: str = "ts", series: str = "series", va
         F.sum(f"{value}_sum").alias("_s"), F.sum(f"{value}_count").alias("_n"))
     monthly_sum = m.select(series, "Data", F.col("_s").alias(value))
     monthly_mean = m.select(series, "Data", F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).alias(value))
-    hourly = cells.select(series, F.col(ts).alias("Data"), value)
-    return dict(zip(TABLES, (hourly, daily_sum, monthly_sum, daily_mean, monthly_mean)))
+    out = dict(zip(TABLES[1:], (daily_sum, monthly_sum, daily_mean, monthly_mean)))
+    if hourly:
+        out = {TABLES[0]: cells.select(series, F.col(ts).alias("Data"), value), **out}
+    return out
 
 
 def generation_cells(df: DataFrame, ts: str = "ts", sub: str = "sub", fuel: str = "fuel", value: str = "value",
@@ -57,21 +62,24 @@ def generation_cells(df: DataFrame, ts: str = "ts", sub: str = "sub", fuel: str
 
 
 def generation_tables(df: DataFrame, ts: str = "ts", sub: str = "sub", fuel: str = "fuel", value: str = "value",
-                      fuel_map: dict | None = None, patches: DataFrame | None = None) -> dict[str, DataFrame]:
-    """PIP-1: generation facts -> the five generation tables (long)."""
+                      fuel_map: dict | None = None, patches: DataFrame | None = None,
+                      hourly: bool = True) -> dict[str, DataFrame]:
+    """PIP-1: generation facts -> the five generation tables (long); the
+    hourly one only when ``hourly``."""
     cells = generation_cells(df, ts, sub, fuel, value, fuel_map)
     if patches is None:
         patches = patches_df(df.sparkSession)
-    return resample_tables(cells, patches=patches)
+    return resample_tables(cells, patches=patches, hourly=hourly)
 
 
 def load_tables(df: DataFrame, ts: str = "ts", sub: str = "sub", value: str = "value",
-                prefix: str = "CARGA_") -> dict[str, DataFrame]:
-    """PIP-2: load facts -> five ``CARGA_{subsystem}`` tables (long)."""
+                prefix: str = "CARGA_", hourly: bool = True) -> dict[str, DataFrame]:
+    """PIP-2: load facts -> five ``CARGA_{subsystem}`` tables (long); the
+    hourly one only when ``hourly``."""
     # pivot_table(aggfunc='sum'): an hour whose rows are all missing is 0
     cells = df.groupBy(F.col(ts).alias("ts"), F.concat(F.lit(prefix), F.col(sub)).alias("series")).agg(
         sum_or_zero(F.col(value).cast("double")).alias("value"))
-    return resample_tables(cells)
+    return resample_tables(cells, hourly=hourly)
 
 
 def hydrology_daily(df: DataFrame, ts: str, sub: str, measures: Sequence[str],

@@ -19,13 +19,13 @@ CAL = ["year", "month", "day", "weekday", "dayofyear", "quarter"]
 TARGETS = [c for c in WIDE_COLS if "OTHER" not in c]
 
 
-def gen_tables(spark, base):
+def gen_tables(spark, base, hourly=True):
     g = S.gen_fact(spark, base).withColumnRenamed("cat", "fuel")
-    return flows.generation_tables(g, fuel_map=S.PRIORITY_CLASS, patches=patches_df(spark, PATCH))
+    return flows.generation_tables(g, fuel_map=S.PRIORITY_CLASS, patches=patches_df(spark, PATCH), hourly=hourly)
 
 
-def ld_tables(spark, base):
-    return flows.load_tables(S.load_fact(spark, base))
+def ld_tables(spark, base, hourly=True):
+    return flows.load_tables(S.load_fact(spark, base), hourly=hourly)
 
 
 def _tables_long(tables):
@@ -81,7 +81,7 @@ def load_tables(spark, base):
 
 # --- flagship: wide daily MWmed generation table -----------------------------------
 def generation_daily_mean_wide(spark, base):
-    wide = flows.to_wide(gen_tables(spark, base)["daily_MWmed"], names=WIDE_COLS)
+    wide = flows.to_wide(gen_tables(spark, base, hourly=False)["daily_MWmed"], names=WIDE_COLS)
     return wide.select("Data", *[rnd(F.col(f"`{c}`")).alias(c) for c in WIDE_COLS])
 
 
@@ -135,8 +135,8 @@ def indices_table(spark, base):
 
 # --- PIP-6 ------------------------------------------------------------------
 def standin_training(spark, base, fit_on="all"):
-    targets = flows.to_wide(gen_tables(spark, base)["daily_MWmed"], names=WIDE_COLS)
-    load = flows.to_wide(ld_tables(spark, base)["daily_MWmed"], names=CARGA)
+    targets = flows.to_wide(gen_tables(spark, base, hourly=False)["daily_MWmed"], names=WIDE_COLS)
+    load = flows.to_wide(ld_tables(spark, base, hourly=False)["daily_MWmed"], names=CARGA)
     return flows.training_frame(targets, load, [region_table(spark, base)], drop=("OTHER",),
                                 after=1994, before=2001, test_size=0.3, fit_on=fit_on)
 
@@ -228,5 +228,5 @@ def rf_grid(spark, base):
 # --- PIP-9 ------------------------------------------------------------------
 @query("forecast_study")
 def forecast_study(spark, base):
-    daily = gen_tables(spark, base)["daily_MWmed"]
+    daily = gen_tables(spark, base, hourly=False)["daily_MWmed"]
     return flows.forecast_study(daily, context=8, horizon=4, season=4, before=2001, drop=("OTHER",))
