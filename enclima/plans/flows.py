@@ -172,13 +172,19 @@ def ols_study(frame: DataFrame, targets: Sequence[str], exogs: Sequence[str], mo
     return _score(pred, n_daily, len(exogs), model), pred, m
 
 
-def rf_predictions(frame: DataFrame, targets: Sequence[str], exogs: Sequence[str], **rf_args) -> DataFrame:
-    """REG-3: one forest per target on the train rows; long test predictions."""
+def rf_predictions(frame: DataFrame, targets: Sequence[str], exogs: Sequence[str], parallelism: int = 4,
+                   **rf_args) -> DataFrame:
+    """REG-3: one forest per target on the train rows; long test predictions.
+    Independent fits are submitted from ``parallelism`` driver threads (as
+    Spark ML's ``CrossValidator(parallelism=...)`` does), so their jobs share
+    the cluster instead of queueing."""
+    from concurrent.futures import ThreadPoolExecutor
     train = frame.where(F.col("split") == "train")
     test = frame.where(F.col("split") == "test")
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        models = list(pool.map(lambda t: random_forest(train, exogs, t, **rf_args), targets))
     out = None
-    for t in targets:
-        pm = random_forest(train, exogs, t, **rf_args)
+    for t, pm in zip(targets, models):
         part = pm.transform(test).select(F.lit(t).alias("target"), "Data", F.col(f"`{t}`").alias("actual"),
                                          clamp_negative(F.col("prediction")).alias("predicted"))
         out = part if out is None else out.unionByName(part)
@@ -193,21 +199,28 @@ def rf_study(frame: DataFrame, targets: Sequence[str], exogs: Sequence[str], **r
 
 
 def rf_grid(frame: DataFrame, target: str, exogs: Sequence[str], grid: Sequence[dict], n_splits: int = 5,
-            ts: str = "Data") -> DataFrame:
+            ts: str = "Data", parallelism: int = 4) -> DataFrame:
     """REG-4: RMSE of every parameter set on every expanding time-series fold
-    of the train rows. One small fit per (parameters, fold)."""
+    of the train rows. One small fit per (parameters, fold), submitted from
+    ``parallelism`` driver threads."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.evaluation import RegressionEvaluator
     train = frame.where(F.col("split") == "train").drop("split")
     folds = materialize(split.time_series_folds(train, ts, n_splits))
     ev = RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName="rmse")
-    rows = []
-    for params in grid:
-        for k in range(n_splits):
-            tr = folds.where((F.col("fold") == k) & (F.col("role") == "train"))
-            te = folds.where((F.col("fold") == k) & (F.col("role") == "test"))
-            pm = random_forest(tr, exogs, target, **params)
-            rows.append((int(params.get("num_trees", 50)), int(params.get("max_depth", 10)),
-                         bool(params.get("bootstrap", True)), k, float(ev.evaluate(pm.transform(te)))))
+
+    def run(job):
+        params, k = job
+        tr = folds.where((F.col("fold") == k) & (F.col("role") == "train"))
+        te = folds.where((F.col("fold") == k) & (F.col("role") == "test"))
+        pm = random_forest(tr, exogs, target, **params)
+        return (int(params.get("num_trees", 50)), int(params.get("max_depth", 10)),
+                bool(params.get("bootstrap", True)), k, float(ev.evaluate(pm.transform(te))))
+
+    jobs = [(params, k) for params in grid for k in range(n_splits)]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = list(pool.map(run, jobs))
     return frame.sparkSession.createDataFrame(
         rows, "num_trees int, max_depth int, bootstrap boolean, fold int, rmse double")
 
