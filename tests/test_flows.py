@@ -99,3 +99,13 @@ def test_rf_and_forecast_studies_run(spark):
         "split", F.when(F.col("Data") < F.lit("2016-01-01").cast("date"), "train").otherwise("test"))
     met, pred = flows.rf_study(frame, ["H"], ["x"], num_trees=5, max_depth=4, feature_subset="all")
     assert met.count() == 1 and pred.where(F.col("predicted") < 0).count() == 0
+
+
+def test_daily_only_tables_equal_full_tables(spark):
+    rows = _generation_rows()
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, sub string, fuel string, value double")
+    full = flows.generation_tables(df, patches=patches_df(spark))
+    daily = flows.generation_tables(df, patches=patches_df(spark), hourly=False)
+    assert "hourly_MWmed" in full and "hourly_MWmed" not in daily
+    for name in daily:
+        assert sorted(map(tuple, full[name].collect())) == sorted(map(tuple, daily[name].collect()))
