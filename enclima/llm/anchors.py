@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import same, save, zipped
+from .common import remove, same, save, zipped
 
 RUN = "doc_id long, key long, pos long, core long, ctx long"
 
@@ -68,8 +68,10 @@ def repeated_runs(texts: DataFrame, words: bool, length: int, core: int):
     and forming classes are map-side combined, so groups of copies shrink
     before they are shuffled."""
     runs = texts.mapInArrow(functools.partial(_runs, words=words, length=length, core=core), RUN)
-    again = runs.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
+    # written first, so that the join has plain exchanges and a hot core is split
+    again, again_path = save(runs.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"))
     kept = save(runs.join(again, "core"))
+    remove(texts.sparkSession, again_path)
     classes = save(kept[0].groupBy("core", "ctx").agg(F.count("*").alias("n"),
                                                       F.min(F.struct("doc_id", "key", "pos")).alias("rep")))
     return kept, classes

@@ -33,7 +33,7 @@ UND = "und"
 SAMPLE_DOCS = 20000
 ORDERS = (3, 4)
 HASHES = 3
-COVER = 0.995
+COVER = 0.9
 _LETTER: np.ndarray | None = None
 
 
@@ -163,11 +163,11 @@ def train(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, cover: float = COVER,
     return GramFilter.build({name: grams[names == name] for name in sizes})
 
 
-def _predict(batches, model, columns):
+def _predict(batches, model, text, columns, names):
     f: GramFilter = model.value
     for batch in batches:
-        for part in W.slices(batch, "text", 1 << 20):
-            texts = part.column("text").to_pylist()
+        for part in W.slices(batch, text, 1 << 20):
+            texts = part.column(text).to_pylist()
             h, owner, letters = text_grams(texts)
             if f.langs:
                 share = f.shares(h, owner, len(texts))
@@ -178,15 +178,18 @@ def _predict(batches, model, columns):
                 pred, score = [UND] * len(texts), np.zeros(len(texts))
             score = np.where(letters > 0, score, 0.0)
             yield pa.RecordBatch.from_arrays(
-                [part.column(c) for c in columns] + [pa.array(pred, pa.string()), pa.array(score)],
-                [*columns, "lang_pred", "score"])
+                [part.column(c) for c in columns] + [pa.array(pred, pa.string()), pa.array(score)], names)
 
 
-def predict(docs: DataFrame, model: GramFilter, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` plus lang_pred and score; ``text`` is read
-    whole and is the only input of the prediction."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def predict(docs: DataFrame, model: GramFilter, keep: list[str], pred: str = "lang_pred",
+            score: str = "score") -> DataFrame:
+    """``keep`` columns of ``docs`` plus the predicted language and its score;
+    ``text`` is read whole and is the only input of the prediction."""
+    from pyspark.sql import types as T
     cols = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*cols).mapInArrow(functools.partial(_predict, model=shared, columns=keep),
-                                         f"{schema}, lang_pred string, score double")
+    rows = docs.select(*[F.col(f"`{c}`") for c in cols])
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField(pred, T.StringType()),
+                           T.StructField(score, T.DoubleType())])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return rows.mapInArrow(functools.partial(_predict, model=shared, text="text", columns=keep,
+                                             names=schema.fieldNames()), schema)

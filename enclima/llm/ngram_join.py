@@ -171,9 +171,10 @@ def ngram_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 80) -> Da
     profiles, _ = save(texts.mapInArrow(functools.partial(_profiles, k=k, percent=percent, sketch=sketch), PROFILE))
     usable = profiles.where("sid IS NOT NULL AND doc_id IS NOT NULL")
     token = usable.select("sid", "gid", "n", F.posexplode("prefix").alias("p", "token"))
-    shared = (token.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"),
-                                         F.min("gid").alias("first"), F.max("gid").alias("last"))
-              .where("lo <> hi").select("token", "first", "last"))
+    # written first, so that the join has plain exchanges and a hot shingle is split
+    shared, shared_path = save(token.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"),
+                                                          F.min("gid").alias("first"), F.max("gid").alias("last"))
+                               .where("lo <> hi").select("token", "first", "last"))
     entries, entries_path = save(token.join(shared, "token")
                                  .select("token", "sid", "gid", "n", "p", "first", "last").distinct())
     members, members_path = save(entries.select("gid", "sid", "n").distinct())
@@ -193,8 +194,8 @@ def ngram_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 80) -> Da
     # round 2: whatever shares a shingle across components
     placed = (entries.select("token", "sid", "n", "p").join(label.withColumnRenamed("node", "sid"), "sid", "left")
               .select("token", "sid", "n", "p", F.coalesce("root", "sid").alias("root")))
-    mixed = (placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-             .where("lo <> hi").select("token"))
+    mixed, mixed_path = save(placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+                             .where("lo <> hi").select("token"))
     placed, placed_path = save(placed.join(mixed, "token"))
     x = placed.select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"),
                       F.col("root").alias("ra"))
@@ -204,7 +205,7 @@ def ngram_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 80) -> Da
               .select("a", "b").distinct())
     more, more_path = _linked(texts, profiles, across, k, percent)
     label2, _ = save(components(links.unionByName(more)))
-    remove(spark, entries_path, members_path, label_path, placed_path, links_path, more_path)
+    remove(spark, shared_path, entries_path, members_path, label_path, mixed_path, placed_path, links_path, more_path)
     return _labelled(profiles, label2)
 
 

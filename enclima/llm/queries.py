@@ -58,3 +58,184 @@ def op10_language_id(spark, base):
     model = train(docs.where(~held))
     return (predict(docs, model, ["doc_id"])
             .select("doc_id", held.alias("held_out"), "lang_pred", F.round("score", 6).alias("score")))
+
+
+# Tempered targets of the mixture (shares; a value not named falls to "other").
+MIX_TARGETS = {
+    "source": {"src0": 0.2, **{f"src{i}": 0.0415 for i in range(1, 20)}, "other": 0.0115},
+    "lang": {"en": 0.5, "de": 0.17, "fr": 0.17, "es": 0.15, "other": 0.01},
+    "topic": {"article": 0.6, "list": 0.34, "note": 0.04, "table": 0.02},
+}
+MIX_ROUNDS = 12
+
+
+def _mix_sql() -> str:
+    def named(col, d):
+        values = ", ".join(f"'{v}'" for v in sorted(MIX_TARGETS[d]))
+        return f"CASE WHEN {col} IN ({values}) THEN {col} ELSE 'other' END AS mix_{d}"
+
+    sql = "SELECT *, CAST(tokens AS DOUBLE) AS w FROM cells"
+    for _ in range(MIX_ROUNDS):
+        for d in ("source", "lang", "topic"):
+            goal = " ".join(f"WHEN mix_{d} = '{v}' THEN {s!r}" for v, s in sorted(MIX_TARGETS[d].items()))
+            sql = (f"SELECT * EXCLUDE (w), CASE WHEN sum(w) OVER (PARTITION BY mix_{d}) > 0 THEN "
+                   f"w * (CASE {goal} ELSE 0.0 END)::DOUBLE / sum(w) OVER (PARTITION BY mix_{d}) ELSE 0 END AS w "
+                   f"FROM ({sql})")
+    return f"""
+WITH t AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+u AS (SELECT doc_id, source, lang, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS mix_tokens,
+        CASE WHEN instr(t, ' | ') > 0 THEN 'table'
+             WHEN length(t) - length(replace(t, chr(10), '')) >= 20 THEN 'list'
+             WHEN length(t) < 1000 THEN 'note' ELSE 'article' END AS topic FROM t),
+n AS (SELECT doc_id, mix_tokens, {named('source', 'source')}, {named('lang', 'lang')}, {named('topic', 'topic')} FROM u),
+cells AS (SELECT mix_source, mix_lang, mix_topic, sum(mix_tokens)::BIGINT AS tokens FROM n GROUP BY ALL),
+raked AS ({sql}),
+ratio AS (SELECT *, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS ratio FROM raked),
+p AS (SELECT mix_source, mix_lang, mix_topic,
+        round(CASE WHEN max(ratio) OVER () > 0 THEN ratio / max(ratio) OVER () ELSE 0 END, 6) AS mix_p FROM ratio)
+SELECT n.doc_id, n.mix_source, n.mix_lang, n.mix_topic, n.mix_tokens, p.mix_p,
+  CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 8)) AS BIGINT) / 4294967296.0 < p.mix_p
+    AS mix_kept
+FROM n JOIN p USING (mix_source, mix_lang, mix_topic)"""
+
+
+@query("op4_source_mixing", _mix_sql())
+def op4_source_mixing(spark, base):
+    """Raked draw of documents by source, language and topic targets."""
+    from .mixing import mix
+    docs = read_table(spark, base, "documents").select("doc_id", "text", "lang", "source")
+    return (mix(docs, MIX_TARGETS, rounds=MIX_ROUNDS)
+            .select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", "mix_p", "mix_kept"))
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+             ("org", "/fr/", "allow")]
+
+
+def _url_sql() -> str:
+    from .url_filter import CANONICAL_TAG, HREF, REFRESH_TAG, REFRESH_URL
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def parts(url, pre=""):
+        rest = f"CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) ELSE '' END"
+        low = "translate(regexp_extract({r}, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        tail = f"regexp_replace({rest}, '^[^/?#]*', '')"
+        return (f"coalesce({low.format(r=rest)}, '') AS {pre}host, "
+                f"coalesce(regexp_extract({tail}, '^[^?#]*', 0), '') AS {pre}path, "
+                f"CASE WHEN coalesce({low.format(r=rest)}, '') <> '' THEN {low.format(r=rest)} || "
+                f"CASE WHEN regexp_extract({tail}, '^[^#]*', 0) = '' THEN '/' ELSE regexp_extract({tail}, '^[^#]*', 0) END "
+                f"END AS {pre}node")
+
+    def rule(h, p, pick):
+        order = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+        return "CASE " + " ".join(
+            f"WHEN ({h} = '{a}' OR ends_with({h}, '.{a}')) AND starts_with({p}, '{b}') THEN "
+            f"'{a + b if pick == 'rule' else v}'" for a, b, v in order) + " END"
+
+    scheme = "split_part(url, '://', 1)"
+    return f"""
+WITH RECURSIVE pg AS (SELECT page_id, url, html, {parts('url')} FROM pages),
+found AS (
+  SELECT url, host, path, node, unnest([regexp_extract(regexp_extract(html, {quote(CANONICAL_TAG)}, 0), {quote(HREF)}, 1),
+                     regexp_extract(regexp_extract(html, {quote(REFRESH_TAG)}, 0), {quote(REFRESH_URL)}, 1)]) AS target0
+  FROM pg WHERE instr(url, '://') > 0),
+target AS (SELECT *, replace(target0, '&amp;', '&') AS target FROM found WHERE target0 <> ''),
+link AS (SELECT node AS src, host AS src_host, path AS src_path,
+    CASE WHEN instr(target, '://') > 0 THEN target WHEN starts_with(target, '//') THEN {scheme} || ':' || target
+         WHEN starts_with(target, '/') THEN {scheme} || '://' || host || target
+         ELSE {scheme} || '://' || host || regexp_replace(path, '[^/]*$', '') || target END AS dst_url FROM target),
+ends AS (SELECT * FROM (SELECT src, src_host, src_path, {parts('dst_url', 'dst_')} FROM link)
+         WHERE src IS NOT NULL AND dst_node IS NOT NULL),
+both_ways AS (SELECT src AS a, dst_node AS b FROM ends UNION SELECT dst_node, src FROM ends),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
+verdicts AS (SELECT src AS node, {rule('src_host', 'src_path', 'v')} AS v FROM ends
+             UNION SELECT dst_node, {rule('dst_host', 'dst_path', 'v')} FROM ends),
+carried AS (SELECT r.a AS node, bool_or(coalesce(v = 'block', false)) AND NOT bool_or(coalesce(v = 'allow', false)) AS c
+            FROM (SELECT a, b FROM reach UNION SELECT a, a FROM both_ways) r JOIN verdicts ON verdicts.node = r.b GROUP BY 1)
+SELECT page_id, host, path, {rule('host', 'path', 'rule')} AS rule,
+  coalesce({rule('host', 'path', 'v')}, CASE WHEN c THEN 'block' ELSE 'allow' END) AS verdict
+FROM pg LEFT JOIN carried ON carried.node = pg.node"""
+
+
+@query("op5_url_filter", _url_sql())
+def op5_url_filter(spark, base):
+    """Verdict of every page by rules and by its aliases."""
+    from .url_filter import url_filter
+    return (url_filter(read_table(spark, base, "pages"), URL_RULES)
+            .select("page_id", "host", "path", "rule", "verdict"))
+
+
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+@query("op7_chat_format", f"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '{CONTROL}'), (-1, 1, 'assistant', '{CONTROL}')),
+n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST,
+        text NULLS FIRST) AS seq, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+e AS (SELECT *, length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|'))
+        + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')) AS size FROM n)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY seq) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(size + length('<|im_start|>') + length('<|im_end|>') + 2)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""")
+def op7_chat_format(spark, base):
+    """Formatted conversations, read back from the formatted text."""
+    from pyspark.sql import Window
+    from .chat import chat_format, read_back
+    rows = read_table(spark, base, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"),
+                 F.lit(r).alias("role"), F.lit(CONTROL).alias("text"))
+        for i, r in enumerate(("user", "assistant"))])).alias("x")).select("x.*")
+    rows = rows.unionByName(own)
+    # every row is one whole message; its place is the sequence number
+    seq = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    events = (rows.withColumn("seq", seq)
+              .select("conv_id", "seq", F.col("seq").alias("message"), "role", F.lit("message").alias("kind"), "text"))
+    back = read_back(chat_format(events))
+    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"),
+                       F.sha2(F.array_join(line, "").cast("binary"), 256).alias("turns_sha256"),
+                       F.char_length("loss_text").cast("long").alias("loss_chars"),
+                       F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+                       F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+SHARD_BYTES = 64 << 20
+
+
+@query("op8_sharding", f"""
+WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+g AS (SELECT d.*, depth, h >> (60 - depth) AS prefix FROM d, generate_series(0, 40) s(depth)),
+b AS (SELECT depth, prefix, sum(n_bytes) AS bytes FROM g GROUP BY ALL),
+leaf AS (SELECT b.depth, b.prefix FROM b LEFT JOIN b up ON up.depth = b.depth - 1 AND up.prefix = b.prefix >> 1
+         WHERE b.bytes <= {SHARD_BYTES} AND (b.depth = 0 OR up.bytes > {SHARD_BYTES}))
+SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth::INT, '0') END AS shard,
+  0::BIGINT AS page, false AS oversized
+FROM g JOIN leaf USING (depth, prefix)""")
+def op8_sharding(spark, base):
+    """Shard of every document: hash buckets of at most 64 MiB of text."""
+    from .sharding import shard
+    return shard(read_table(spark, base, "documents"), SHARD_BYTES)
+
+
+@query("op9_embedding_near_dedup")
+def op9_embedding_near_dedup(spark, base):
+    """Components of embeddings with cosine 0.9 or more."""
+    from .embedding_dedup import near_duplicates
+    return near_duplicates(read_table(spark, base, "embeddings").select("vec_id", "embedding"), threshold=0.9)
+
+
+@query("op6_benchmark_decontamination")
+def op6_benchmark_decontamination(spark, base):
+    """Benchmark items found in every whole text."""
+    from .decontaminate import decontaminate
+    docs = read_table(spark, base, "documents").select("doc_id", "text")
+    found = decontaminate(docs, read_table(spark, base, "benchmark"), hits="hits")
+    return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"),
+                        F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"]))).alias("item_ids"),
+                        F.coalesce(F.array_max(F.transform("hits", lambda h: h["score"])), F.lit(0.0)).alias("best_score"))

@@ -112,8 +112,8 @@ def repeated_spans(docs: DataFrame, words: int = 20) -> DataFrame:
         functools.partial(_wide, length=words, core=CORE),
         "core long, off long, h long, doc_id long, key long, start long"))
     remove(spark, bodies_path, tens_path)
-    lead = (wide.groupBy("core", "off", "h").agg(F.min(F.struct("doc_id", "key", "start")).alias("lead"),
-                                                 F.count("*").alias("k")).where("k > 1").drop("k"))
+    lead, _ = save(wide.groupBy("core", "off", "h").agg(F.min(F.struct("doc_id", "key", "start")).alias("lead"),
+                                                        F.count("*").alias("k")).where("k > 1").drop("k"))
     single = (wide.join(lead, ["core", "off", "h"])
               .where(~F.struct("doc_id", "key", "start").eqNullSafe(F.col("lead")))
               .select("doc_id", "key", "start", (F.col("start") + words).alias("end")))

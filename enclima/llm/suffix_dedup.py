@@ -119,7 +119,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
            .groupBy("core", "ctx").agg(F.collect_list("blk").alias("blks")))
     full, _ = save(bodies.join(ask, ["core", "ctx"]).mapInArrow(
         functools.partial(_full, length=length), "core long, ctx long, n long, off long, h long"))
-    again = full.groupBy("core", "off", "h").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    again, _ = save(full.groupBy("core", "off", "h").agg(F.count("*").alias("k")).where("k > 1").drop("k"))
     window_dup = (full.where("n = 1").join(again, ["core", "off", "h"])
                   .select("core", "ctx", F.col("off").alias("o1"), F.col("off").alias("o2")))
     at = first + F.col("pos").bitwiseAND(255)
