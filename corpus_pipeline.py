@@ -72,7 +72,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draws documents by calibrated probabilities."""
-    return mix(docs, MIX_TARGETS, rounds=MIX_ROUNDS).where("mix_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "doc_id", "text", "lang",
+                         "source")
+    return mix(packed, MIX_TARGETS, rounds=MIX_ROUNDS).where("mix_kept").select("whole.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

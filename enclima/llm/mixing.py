@@ -3,8 +3,11 @@
 Tokens are summed per cell (source, language, topic). The cell weights are
 raked: scaled to the target marginal of each dimension in turn, again and
 again. A cell's calibrated probability is its raked weight over its tokens,
-scaled so that the largest is 1; a document is drawn by its cell's probability
-with a hash of its id, so the draw is the same in every run.
+scaled to a reference cell and 1 at most; a document is drawn by its cell's
+probability with a hash of its id, so the draw is the same in every run. The
+reference is the largest ratio but for cells that together hold ``trim`` of the
+raked weight or less: those few scarce cells are kept whole, so that they do
+not thin out all others. With trim 0 all marginals are met in expectation.
 
 Only DataFrame and SQL functions are used. The targets are parameters; a value
 that they don't name falls to the cell value ``other``, so the number of cells
@@ -28,6 +31,7 @@ from .common import remove, save
 DIMS = ("source", "lang", "topic")
 OTHER = "other"
 ROUNDS = 12
+TRIM = 0.1
 SEED = "mix"
 
 
@@ -81,23 +85,27 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = R
 
 
 def fit(docs: DataFrame, targets: dict[str, dict[str, float]], topic_column: Column | None = None,
-        rounds: int = ROUNDS) -> DataFrame:
+        rounds: int = ROUNDS, trim: float = TRIM) -> DataFrame:
     """Cell table: mix_source, mix_lang, mix_topic, tokens, w, p."""
     named = cells_of(docs, targets, topic() if topic_column is None else topic_column)
     cells, path = save(named.groupBy(*(f"mix_{d}" for d in DIMS)).agg(F.sum("mix_tokens").alias("tokens")))
     ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(F.lit(0.0))
-    top = F.max("ratio").over(Window.partitionBy())
-    out, _ = save(rake(cells, targets, rounds).withColumn("ratio", ratio)
-                  .withColumn("p", F.when(top > 0, F.col("ratio") / top).otherwise(F.lit(0.0))).drop("ratio"))
+    scarce = F.sum("w").over(Window.orderBy(F.desc("ratio"), *[f"mix_{d}" for d in DIMS]))
+    ref = F.max(F.when(F.col("scarce") > trim * F.sum("w").over(Window.partitionBy()), F.col("ratio"))).over(
+        Window.partitionBy())
+    out, _ = save(rake(cells, targets, rounds).withColumn("ratio", ratio).withColumn("scarce", scarce)
+                  .withColumn("ref", ref)
+                  .withColumn("p", F.when(F.col("ref") > 0, F.least(F.col("ratio") / F.col("ref"), F.lit(1.0)))
+                              .otherwise(F.lit(0.0))).drop("ratio", "scarce", "ref"))
     remove(docs.sparkSession, path)
     return out
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]], topic_column: Column | None = None,
-        rounds: int = ROUNDS) -> DataFrame:
+        rounds: int = ROUNDS, trim: float = TRIM) -> DataFrame:
     """``docs`` with mix_source, mix_lang, mix_topic, mix_tokens, mix_p and
     mix_kept (drawn or not). Keep the rows with mix_kept for the mixture."""
-    cells = fit(docs, targets, topic_column, rounds)
+    cells = fit(docs, targets, topic_column, rounds, trim)
     named = cells_of(docs, targets, topic() if topic_column is None else topic_column)
     keys = [f"mix_{d}" for d in DIMS]
     table = F.broadcast(cells.select(*keys, F.round("p", 6).alias("mix_p")))     # bounded by the targets
