@@ -17,8 +17,9 @@ their sets have a Jaccard similarity of 0.8 or more.
   each shared shingle, and every member with the first of its group (pairs
   linear in the entries); links are united. Then all pairs of the same
   shingles whose sets are still in different components are verified, so no
-  component misses a link, and large groups of near copies never become all
-  their pairs.
+  component misses a link. Most pairs of a large group of near copies are in
+  one component by then; of the others, those whose parity bits (1024 per set)
+  differ too much for a link are not formed.
 
 Edge cases: null and empty texts, and texts of separators only, have empty
 sets and link with nothing; fewer than 5 words make one shingle of the whole
@@ -40,6 +41,7 @@ from . import windows as W
 from .common import SHINGLE_WORDS, components, keyed_texts, remove, same, save
 
 SKETCH_BITS = 18
+PARITY = 1024
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -91,7 +93,14 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-PROFILE = "doc_id long, key long, n long, sid long, gid long, prefix array<long>"
+def parity_bits(s: np.ndarray) -> np.ndarray:
+    """Parity of the set's elements per counter, as PARITY / 64 longs. Bits
+    that differ between two sets are at most their symmetric difference."""
+    odd = np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+PROFILE = "doc_id long, key long, n long, sid long, gid long, prefix array<long>, bits array<long>"
 
 
 def _profiles(batches, k: int, percent: int, sketch):
@@ -99,20 +108,22 @@ def _profiles(batches, k: int, percent: int, sketch):
     order = sketch.value
     for batch in batches:
         for part in W.slices(batch, "text"):
-            n, sid, gid, prefix = [], [], [], []
+            n, sid, gid, prefix, bits = [], [], [], [], []
             for s in shingle_sets(part, k):
                 n.append(len(s))
                 if not len(s):
-                    sid.append(None), gid.append(None), prefix.append(None)
+                    for col in (sid, gid, prefix, bits):
+                        col.append(None)
                     continue
                 ranked = s[np.lexsort((s, order[_slot(s)]))][:prefix_length(len(s), percent)].view(np.int64)
                 sid.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
                 gid.append(xxhash.xxh3_64_intdigest(ranked.tobytes(), len(s)) - (1 << 63))
                 prefix.append(ranked)
+                bits.append(parity_bits(s))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()),
-                 pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "key", "n", "sid", "gid", "prefix"])
+                 pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                ["doc_id", "key", "n", "sid", "gid", "prefix", "bits"])
 
 
 def _sets(batches, k: int):
@@ -143,6 +154,14 @@ def _fits(percent: int):
     return (100 * small >= percent * large) & (rest >= need)
 
 
+def _near(percent: int):
+    """Parity bound: sets that differ in more bits than linked sets differ in
+    elements cannot be linked."""
+    differ = functools.reduce(lambda a, b: a + b, [
+        F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(PARITY // 64)])
+    return differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+
+
 def _linked(texts: DataFrame, profiles: DataFrame, pairs: DataFrame, k: int, percent: int):
     """Verified pairs (a, b) of set ids; sets are read from one document each.
     Returns (links, path)."""
@@ -196,12 +215,15 @@ def ngram_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 80) -> Da
               .select("token", "sid", "n", "p", F.coalesce("root", "sid").alias("root")))
     mixed, mixed_path = save(placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
                              .where("lo <> hi").select("token"))
-    placed, placed_path = save(placed.join(mixed, "token"))
-    x = placed.select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"),
-                      F.col("root").alias("ra"))
-    y = placed.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"),
-                      F.col("root").alias("rb"))
-    across = (x.join(y, (x.token == y.token) & (F.col("ra") < F.col("rb")) & _fits(percent))
+    bits = usable.groupBy("sid").agg(F.first("bits").alias("bits"))
+    placed, placed_path = save(placed.join(mixed, "token").join(bits, "sid"))
+    sides = []
+    for side in "ab":
+        sides.append(placed.select("token", F.col("sid").alias(side), F.col("n").alias(f"n{side}"),
+                                   F.col("p").alias(f"p{side}"), F.col("root").alias(f"r{side}"),
+                                   F.col("bits").alias(f"bits_{side}")))
+    x, y = sides
+    across = (x.join(y, (x.token == y.token) & (F.col("ra") < F.col("rb")) & _fits(percent) & _near(percent))
               .select("a", "b").distinct())
     more, more_path = _linked(texts, profiles, across, k, percent)
     label2, _ = save(components(links.unionByName(more)))
