@@ -13,8 +13,9 @@ their sets have a Jaccard similarity of 0.8 or more.
   pairs that share a prefix shingle are filtered by size and position, then
   expanded to their distinct sets (copies of a set count once) and verified on
   the whole sets.
-* Rounds: first every group is paired with the first and the last group of
-  each shared shingle, and every member with the first of its group (pairs
+* Rounds: first every group is paired, for each shared shingle, with the group
+  that has the fewest rarer shingles (the one nearest to a common original)
+  and with one other, and every member with the first of its group (pairs
   linear in the entries); links are united. Then all pairs of the same
   shingles whose sets are still in different components are verified, so no
   component misses a link. Most pairs of a large group of near copies are in
@@ -192,7 +193,7 @@ def ngram_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 80) -> Da
     token = usable.select("sid", "gid", "n", F.posexplode("prefix").alias("p", "token"))
     # written first, so that the join has plain exchanges and a hot shingle is split
     shared, shared_path = save(token.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"),
-                                                          F.min("gid").alias("first"), F.max("gid").alias("last"))
+                                                          F.min(F.struct("p", "gid")).gid.alias("first"), F.max("gid").alias("last"))
                                .where("lo <> hi").select("token", "first", "last"))
     entries, entries_path = save(token.join(shared, "token")
                                  .select("token", "sid", "gid", "n", "p", "first", "last").distinct())
