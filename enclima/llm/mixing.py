@@ -74,7 +74,9 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = R
     The cell table is bounded by the targets, so it is held in one partition
     and all steps are window sums in one task without a shuffle."""
     cur = cells.coalesce(1).withColumn("w", F.col("tokens").cast("double"))
-    for _ in range(rounds):
+    for i in range(rounds):
+        if i and i % ROUNDS == 0:               # keep the plan shallow
+            cur = save(cur)[0].coalesce(1)
         for d in DIMS:
             goal = F.lit(0.0)
             for value, share in sorted(targets[d].items()):
