@@ -13,12 +13,11 @@ from .calendar import (add_calendar_features, bin_label, month_end, week_end,
                        year_end, pandas_weekday)
 from .nulls import clamp_negative, nan_to_null, sum_or_zero
 from .stats import adjusted_r2, relative_diff
-from .joins import broadcast_bounded
 
 __all__ = [
     "add_calendar_features", "bin_label", "month_end", "week_end", "year_end", "pandas_weekday",
     "clamp_negative", "nan_to_null", "sum_or_zero", "adjusted_r2", "relative_diff",
-    "lon_wrap", "rnd", "broadcast_bounded", "col_of", "lit_time",
+    "lon_wrap", "rnd", "col_of", "lit_time",
 ]
 
 

@@ -50,8 +50,8 @@ def peak_instant(df: DataFrame, ts: str, value: str) -> DataFrame:
 
 def rows_on_day_of(df: DataFrame, ts: str, instants: DataFrame, instant_ts: str) -> DataFrame:
     """All rows of ``df`` on the calendar day of the instant(s) (FLT-3 + JOI-9);
-    ``instants`` is a top-k result (k rows), so it is broadcast."""
-    days = F.broadcast(instants.select(F.to_date(F.col(instant_ts)).alias("_day")).distinct())
+    the join strategy is the planner's choice."""
+    days = instants.select(F.to_date(F.col(instant_ts)).alias("_day")).distinct()
     return df.join(days, F.to_date(F.col(ts)) == F.col("_day"), "left_semi")
 
 

@@ -7,7 +7,6 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import broadcast_bounded
 
 from ..functions import clamp_negative
 
@@ -50,7 +49,7 @@ def row_total(df: DataFrame, cols: Iterable[str], out: str = "total") -> DataFra
     cols = list(cols)
     expr = F.lit(0.0)
     for c in cols:
-        expr = expr + F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+        expr = expr + F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0))
     return df.withColumn(out, expr)
 
 
@@ -60,8 +59,8 @@ def row_mean(df: DataFrame, cols: Iterable[str], out: str = "mean") -> DataFrame
     total = F.lit(0.0)
     count = F.lit(0)
     for c in cols:
-        total = total + F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        count = count + F.when(F.col(c).isNotNull(), 1).otherwise(0)
+        total = total + F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0))
+        count = count + F.when(F.col(f"`{c}`").isNotNull(), 1).otherwise(0)
     return df.withColumn(out, F.try_divide(total, count))
 
 
@@ -106,24 +105,27 @@ def missing_cells(df: DataFrame, cols: Iterable[str] | None = None) -> Column:
     cols = list(cols) if cols is not None else df.columns
     expr = F.lit(0)
     for c in cols:
-        expr = expr + F.count_if(F.col(c).isNull())
+        expr = expr + F.count_if(F.col(f"`{c}`").isNull())
     return expr
 
 
-def patch_rows(df: DataFrame, ts: str, patches: DataFrame) -> DataFrame:
+def patch_rows(df: DataFrame, ts: str, patches: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     """``df.loc[target] = df.loc[source].values`` for every (target_date,
-    source_date) pair of ``patches`` (a small table, broadcast after its size
-    is proven)."""
-    p = broadcast_bounded(patches)
-    others = [c for c in df.columns if c != ts]
-    replaced = (df.join(p, F.col(ts) == F.col("source_date"), "inner")
+    source_date) pair of ``patches``, per series where ``keys`` name one. A
+    target whose source row is absent keeps its own row."""
+    keys = list(keys)
+    others = [F.col(f"`{c}`") for c in df.columns if c != ts]
+    replaced = (df.join(patches, F.col(ts) == F.col("source_date"), "inner")
                   .select(F.col("target_date").alias(ts), *others))
-    kept = df.join(p, F.col(ts) == F.col("target_date"), "left_anti")
-    return kept.unionByName(replaced)
+    found = replaced.select(F.col(ts).alias("_at"), *[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
+    match = F.col(ts) == F.col("_at")
+    for i, k in enumerate(keys):
+        match = match & F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}"))
+    return df.join(found, match, "left_anti").unionByName(replaced)
 
 
 def clamp_columns(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    return df.withColumns({c: clamp_negative(c) for c in cols})
+    return df.withColumns({c: clamp_negative(F.col(f"`{c}`")) for c in cols})
 
 
 def preview(df: DataFrame, ts: str, n: int = 5) -> DataFrame:

@@ -68,7 +68,8 @@ def std_normalize(df: DataFrame, keys: Sequence[str], value: str, out: str | Non
     return j.withColumn(out or value, F.try_divide(F.col(value), F.col("_std"))).drop("_std")
 
 
-def anomaly_index(df: DataFrame, keys: Sequence[str], ts: str, value: str, window: int = 3):
+def anomaly_index(df: DataFrame, keys: Sequence[str], ts: str, value: str, window: int = 3,
+                  bucket: Column | None = None):
     """Full index (WIN-4): anomaly -> trailing mean -> divide by sample std.
 
     Returns ``(monthly, climatology, index)`` like the reference helper; the
@@ -77,7 +78,7 @@ def anomaly_index(df: DataFrame, keys: Sequence[str], ts: str, value: str, windo
     keys = list(keys)
     clim = climatology(df, keys, ts, value)
     an = anomaly(df, keys, ts, value, out="_an")
-    rolled = rolling_mean(an, keys, ts, "_an", window)
+    rolled = rolling_mean(an, keys, ts, "_an", window, bucket=bucket)
     idx = std_normalize(rolled, keys, "_an").select(*keys, ts, F.col("_an").alias("index"))
     return df, clim, idx
 
@@ -123,6 +124,8 @@ def decompose(df: DataFrame, keys: Sequence[str], ts: str, value: str, period: i
 
     This is the classical moving-average method, not LOESS/MSTL.
     """
+    if period != 12:
+        raise ValueError("the cycle position is the month of the year: only period 12 is supported")
     keys = list(keys)
     h = period // 2
     w = _w(keys, ts)

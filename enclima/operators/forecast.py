@@ -7,7 +7,7 @@ reproduced. Built-in forecasters:
 * ``naive``     - last context value for every step
 * ``seasonal``  - value one season earlier (period ``m``)
 * ``linear``    - direct multi-horizon linear model on the context vector (one
-                  ridge model per series and step, fitted in one Gram pass),
+                  ridge model per series and step),
                   optionally with known future exogenous values appended.
 """
 
@@ -15,11 +15,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .regress import gram, solve
+from .regress import fit_groups
 
 
 def _ctx_values(ctx: str = "context") -> Column:
@@ -45,35 +44,25 @@ def _features(ctx: Column, exog: Column | None) -> Column:
 
 
 def fit_linear(windows: DataFrame, keys: Sequence[str], context: int, horizon: int,
-               exog: Column | None = None, n_exog: int = 0, ridge: float = 1e-3) -> dict:
+               exog: Column | None = None, n_exog: int = 0, ridge: float = 1e-3) -> DataFrame:
     """Per series: ``horizon`` ridge models ``y[t+h] ~ context[t]`` fitted on
-    the given (training) windows. Returns ``{key: (coef p x H, intercept H)}``."""
+    the given (training) windows. Returns one row per series: weights ``_w``
+    (H x p) and intercepts ``_b`` (H)."""
     keys = list(keys)
     x = _features(_ctx_values(), exog)
     y = F.transform(F.col("horizon"), lambda s: s["v"])
     ok = F.forall(x, lambda v: v.isNotNull()) & F.forall(y, lambda v: v.isNotNull())
     src = windows.where(ok)
-    stats = gram(src, x, y, context + n_exog, horizon, keys)
-    return {k: solve(st, ridge * max(st[0], 1.0)) for k, st in stats.items()}
+    return fit_groups(src, x, y, context + n_exog, horizon, keys, ridge)
 
 
-def linear(windows: DataFrame, keys: Sequence[str], models: dict, horizon: int,
+def linear(windows: DataFrame, keys: Sequence[str], models: DataFrame, horizon: int,
            exog: Column | None = None, out: str = "forecast") -> DataFrame:
-    """Apply fitted linear models: coefficients travel as a small per-series
-    table (one row per series) joined on the series key."""
+    """Apply fitted linear models: one row of coefficients per series, joined
+    on the series key."""
     keys = list(keys)
     x = _features(_ctx_values(), exog)
-    if keys:
-        rows = [tuple(k) + ([[float(v) for v in coef[:, h]] for h in range(horizon)], [float(v) for v in icpt])
-                for k, (coef, icpt) in models.items()]
-        key_types = {f.name: f.dataType.simpleString() for f in windows.schema.fields if f.name in keys}
-        schema = ", ".join(f"`{c}` {key_types[c]}" for c in keys) + ", _w array<array<double>>, _b array<double>"
-        j = windows.join(windows.sparkSession.createDataFrame(rows, schema), keys, "inner")
-    else:
-        coef, icpt = models[()]
-        j = windows.withColumns({
-            "_w": F.array(*[F.array(*[F.lit(float(v)) for v in coef[:, h]]) for h in range(horizon)]),
-            "_b": F.array(*[F.lit(float(v)) for v in icpt])})
+    j = windows.join(models, keys, "inner") if keys else windows.crossJoin(models)      # without keys: one row
     pred = F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), lambda h: F.element_at(F.col("_b"), h + 1) + F.aggregate(
         F.zip_with(x, F.element_at(F.col("_w"), h + 1), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v))
     return j.withColumn(out, pred).drop("_w", "_b")

@@ -18,7 +18,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import broadcast_bounded
 
 from ..functions import lon_wrap
 from ..functions.nulls import nan_to_null
@@ -45,11 +44,19 @@ def wrap_longitudes(df: DataFrame, lon: str = "lon", out: str = "lon") -> DataFr
 
 
 def cells_in_regions(grid: DataFrame, regions: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Every (cell, region) whose box holds the cell, inclusive bounds (FLT-4)."""
-    r = broadcast_bounded(regions)
-    cond = ((F.col(lat) >= F.col("south")) & (F.col(lat) <= F.col("north"))
-            & (F.col(lon) >= F.col("west")) & (F.col(lon) <= F.col("east")))
-    return grid.join(r, cond, "inner").drop("north", "south", "west", "east")
+    """Every (cell, region) whose box holds the cell, inclusive bounds (FLT-4).
+
+    The boxes are a caller's dimension (a few rows): they become one array
+    literal that is filtered per cell, so there is no join at all."""
+    names = [c for c in regions.columns if c not in ("north", "south", "west", "east")]
+    boxes = regions.collect()
+    if not boxes:
+        return grid.withColumns({c: F.lit(None).cast(regions.schema[c].dataType) for c in names}).where(F.lit(False))
+    literal = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in regions.columns]) for r in boxes])
+    held = F.filter(literal, lambda b: (F.col(lat) >= b["south"]) & (F.col(lat) <= b["north"])
+                    & (F.col(lon) >= b["west"]) & (F.col(lon) <= b["east"]))
+    cells = grid.withColumn("_box", F.explode(held))
+    return cells.select(*[F.col(f"`{c}`") for c in grid.columns], *[F.col(f"_box.{c}").alias(c) for c in names])
 
 
 def region_stat(grid: DataFrame, regions: DataFrame, stat: str = "mean", by: str = "region",

@@ -1,13 +1,11 @@
 """Least squares and random forests (REG-1..4).
 
-OLS / ridge use one distributed Gram pass: every task folds its rows into
-``n, sum(x), sum(y), X'X, X'Y`` with numpy (Arrow batches via
-``mapInPandas``), the per-task partials are added by a hash aggregate on the
-array position, and only the ``p x p`` and ``p x q`` sums reach the driver,
-which solves the small system with a pseudo-inverse after centring (the
-minimum-norm solution, as ``lstsq``). Very small systems (a few dozen product
-terms) are summed by one JVM aggregate instead. Predictions are a projection
-with the coefficients as literals, inside codegen.
+OLS / ridge use two distributed passes: the means, then ``X'X`` and ``X'Y`` of
+the centred values. Every task folds its rows with numpy (Arrow batches via
+``mapInPandas``), the partials are added by a hash aggregate on the array
+position, and each key's ``p x p`` system is solved in an executor with a
+scaled pseudo-inverse (the minimum-norm solution, as ``lstsq``). Predictions
+of one model are a projection with its coefficients as literals.
 """
 
 from __future__ import annotations
@@ -20,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _partial_gram(keys: Sequence[str], p: int, q: int):
+def _fold(keys: Sequence[str], p: int, q: int, products: bool):
+    """Per task and key: row count and sums, or centred products. ``_m`` holds
+    the means in the second pass."""
     def fn(batches):
         import pandas as pd
         acc: dict = {}
@@ -32,7 +32,12 @@ def _partial_gram(keys: Sequence[str], p: int, q: int):
                 k = k if isinstance(k, tuple) else (k,)
                 x = np.stack(g["_x"].to_numpy()).astype(float).reshape(len(g), p)
                 y = np.stack(g["_y"].to_numpy()).astype(float).reshape(len(g), q)
-                part = np.concatenate([[len(g)], x.sum(0), y.sum(0), (x.T @ x).ravel(), (x.T @ y).ravel()])
+                if products:
+                    m = np.asarray(g["_m"].iloc[0], float)
+                    x, y = x - m[:p], y - m[p:]
+                    part = np.concatenate([[len(g)], (x.T @ x).ravel(), (x.T @ y).ravel()])
+                else:
+                    part = np.concatenate([[len(g)], x.sum(0), y.sum(0)])
                 acc[k] = acc[k] + part if k in acc else part
         rows = [list(k) + [v.tolist()] for k, v in acc.items()]
         cols = list(keys) + ["_s"]
@@ -40,82 +45,85 @@ def _partial_gram(keys: Sequence[str], p: int, q: int):
     return fn
 
 
-# Up to this many sums of products one JVM aggregate is used (no Python
-# worker start-up); larger systems compile slowly as SQL and fold rows with
-# numpy inside each task instead.
-SQL_GRAM_MAX_TERMS = 64
-
-
-def _gram_sql(src: DataFrame, keys: Sequence[str], p: int, q: int) -> dict:
-    """Sums of products as one JVM hash aggregate (partial + final, codegen)."""
-    xs = [F.col("_x")[i] for i in range(p)]
-    ys = [F.col("_y")[k] for k in range(q)]
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(xs[i]).alias(f"sx{i}") for i in range(p)]
-    aggs += [F.sum(ys[k]).alias(f"sy{k}") for k in range(q)]
-    aggs += [F.sum(xs[i] * xs[j]).alias(f"xx{i}_{j}") for i in range(p) for j in range(i, p)]
-    aggs += [F.sum(xs[i] * ys[k]).alias(f"xy{i}_{k}") for i in range(p) for k in range(q)]
-    res = {}
-    for r in src.groupBy(*keys).agg(*aggs).collect():  # one row per key
-        sxx = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                sxx[i, j] = sxx[j, i] = r[f"xx{i}_{j}"] or 0.0
-        sxy = np.array([[r[f"xy{i}_{k}"] or 0.0 for k in range(q)] for i in range(p)]).reshape(p, q)
-        res[tuple(r[c] for c in keys)] = (float(r["n"]), np.array([r[f"sx{i}"] or 0.0 for i in range(p)]),
-                                          np.array([r[f"sy{k}"] or 0.0 for k in range(q)]), sxx, sxy)
-    return res
-
-
-def gram(df: DataFrame, x: Column, y: Column, p: int, q: int, keys: Sequence[str] = ()) -> dict:
-    """Sufficient statistics of ``y ~ x`` per key.
-
-    ``x``/``y`` are ``ARRAY<DOUBLE>`` columns of length ``p``/``q``; rows with
-    any NULL must be removed by the caller. Returns ``{key_tuple: (n, sx, sy,
-    Sxx, Sxy)}``. Tiny systems run as one JVM aggregate; larger ones fold rows
-    with numpy inside each task (``mapInPandas``) and add the partials with a
-    hash aggregate."""
-    keys = list(keys)
-    src = df.select(*keys, x.alias("_x"), y.alias("_y"))
-    if p * (p + 1) // 2 + p * q <= SQL_GRAM_MAX_TERMS:
-        return _gram_sql(src, keys, p, q)
-    key_fields = [f for f in src.schema.fields if f.name in keys]
-    schema = T.StructType(key_fields + [T.StructField("_s", T.ArrayType(T.DoubleType()))])
-    parts = src.mapInPandas(_partial_gram(keys, p, q), schema)
-    summed = (parts.select(*keys, F.posexplode("_s").alias("_i", "_v"))
-                   .groupBy(*keys, "_i").agg(F.sum("_v").alias("_v")))
-    out: dict = {}
-    size = 1 + p + q + p * p + p * q
-    for r in summed.collect():  # (keys x size) numbers: the model's own size
-        k = tuple(r[c] for c in keys)
-        out.setdefault(k, np.zeros(size))[r["_i"]] = r["_v"]
-    res = {}
-    for k, s in out.items():
-        n = s[0]
-        sx, sy = s[1:1 + p], s[1 + p:1 + p + q]
-        sxx = s[1 + p + q:1 + p + q + p * p].reshape(p, p)
-        sxy = s[1 + p + q + p * p:].reshape(p, q)
-        res[k] = (n, sx, sy, sxx, sxy)
-    return res
-
-
-def solve(stats, ridge: float = 0.0):
-    """Centred least squares: ``coef (p x q)`` and ``intercept (q)``."""
-    n, sx, sy, sxx, sxy = stats
-    if n == 0:
-        raise ValueError("no rows to fit")
-    mx, my = sx / n, sy / n
-    cxx = sxx - n * np.outer(mx, mx)
-    cxy = sxy - n * np.outer(mx, my)
+def _summed(src: DataFrame, keys: Sequence[str], p: int, q: int, products: bool) -> DataFrame:
+    """One array per key: the element-wise sum of the tasks' partials."""
+    fields = [f for f in src.schema.fields if f.name in keys]
+    schema = T.StructType(fields + [T.StructField("_s", T.ArrayType(T.DoubleType()))])
+    parts = src.mapInPandas(_fold(keys, p, q, products), schema)
+    cells = (parts.select(*keys, F.posexplode("_s").alias("_i", "_v"))
+             .groupBy(*keys, "_i").agg(F.sum("_v").alias("_v")))
+    return (cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_c"))
+            .select(*keys, F.col("_c._v").alias("_s")))
+
+
+def solve(n: float, mean: np.ndarray, cxx: np.ndarray, cxy: np.ndarray, ridge: float = 0.0):
+    """Least squares from centred products: ``coef (p x q)``, ``intercept
+    (q)``. Columns are scaled to unit length first; directions whose eigenvalue
+    is below ``p * eps * n`` of the largest are dropped (minimum norm in the
+    original units for exactly collinear columns)."""
+    p = len(cxx)
+    scale = np.sqrt(np.diag(cxx))
+    # a constant column differs from its mean by rounding only: no information
+    flat = scale <= 1e-12 * np.sqrt(max(n, 1.0)) * np.abs(mean[:p])
+    scale[flat] = 1.0
+    cxx = np.where(flat[:, None] | flat[None, :], 0.0, cxx)
+    cxy = np.where(flat[:, None], 0.0, cxy)
     if ridge:
-        coef = np.linalg.solve(cxx + ridge * np.eye(len(mx)), cxy)
+        coef = np.linalg.solve(cxx + ridge * np.eye(p), cxy)
     else:
-        coef = np.linalg.pinv(cxx, hermitian=True) @ cxy
-    return coef, my - mx @ coef
+        unit = cxx / np.outer(scale, scale)
+        val, vec = np.linalg.eigh(unit)
+        keep = val > max(p, 1) * np.finfo(float).eps * max(n, 1.0) * val.max(initial=0.0)
+        # least squares on the kept directions, then the least-norm member of
+        # the solutions that differ only by dropped directions
+        base = (vec[:, keep] / val[keep]) @ (vec[:, keep].T @ (cxy / scale[:, None])) / scale[:, None]
+        null = vec[:, ~keep] / scale[:, None]
+        coef = base - null @ np.linalg.pinv(null) @ base if null.shape[1] else base
+    return coef, mean[p:] - mean[:p] @ coef
+
+
+def fit_groups(df: DataFrame, x: Column, y: Column, p: int, q: int, keys: Sequence[str] = (),
+               ridge: float = 0.0) -> DataFrame:
+    """``y ~ x`` per key: (keys, _w array<array<double>> q x p, _b array<double>).
+
+    ``x``/``y`` are ``ARRAY<DOUBLE>`` columns of length ``p``/``q`` without
+    NULLs. Two passes: means, then products of the centred values, both folded
+    in each task and summed by a hash aggregate. Each key's system is solved in
+    an executor; nothing reaches the driver. ``ridge`` is per row."""
+    keys = list(keys)
+    one = keys or ["_all"]
+    src = df.select(*([F.col(f"`{k}`") for k in keys] or [F.lit(0).alias("_all")]), x.alias("_x"), y.alias("_y"))
+    sums = _summed(src, one, p, q, False)
+    mean = sums.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(one)], F.transform(
+        F.slice("_s", 2, p + q), lambda v: v / F.col("_s")[0]).alias("_m"))
+    match = F.lit(True)
+    for i, k in enumerate(one):
+        match = match & F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}"))
+    drop = [f"_k{i}" for i in range(len(one))]
+    prod = _summed(src.join(mean, match).drop(*drop), one, p, q, True)
+    both = prod.join(mean, match).drop(*drop)
+
+    def fit(batches):
+        import pandas as pd
+        for pdf in batches:
+            w, b = [], []
+            for s, m in zip(pdf["_s"], pdf["_m"]):
+                s, m = np.asarray(s, float), np.asarray(m, float)
+                coef, icpt = solve(s[0], m, s[1:1 + p * p].reshape(p, p), s[1 + p * p:].reshape(p, q),
+                                   ridge * max(s[0], 1.0))
+                w.append([list(map(float, row)) for row in coef.T])
+                b.append(list(map(float, icpt)))
+            yield pd.concat([pdf[one].reset_index(drop=True), pd.DataFrame({"_w": w, "_b": b})], axis=1)
+
+    fields = [f for f in src.schema.fields if f.name in one]
+    schema = T.StructType(fields + [T.StructField("_w", T.ArrayType(T.ArrayType(T.DoubleType()))),
+                                    T.StructField("_b", T.ArrayType(T.DoubleType()))])
+    out = both.mapInPandas(fit, schema)
+    return out if keys else out.drop("_all")
 
 
 class LinearModel:
-    """Multi-target linear model fitted in one Gram pass."""
+    """Multi-target linear model."""
 
     def __init__(self, features: Sequence[str], targets: Sequence[str], coef: np.ndarray, intercept: np.ndarray):
         self.features, self.targets = list(features), list(targets)
@@ -128,11 +136,11 @@ class LinearModel:
         clean = drop_incomplete(df, features + targets)
         x = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
         y = F.array(*[F.col(f"`{c}`").cast("double") for c in targets])
-        st = gram(clean, x, y, len(features), len(targets)).get(())
-        if st is None:
+        row = fit_groups(clean, x, y, len(features), len(targets), (), ridge).first()      # one small model
+        if row is None:
             raise ValueError("no complete rows to fit")
-        coef, icpt = solve(st, ridge)
-        return cls(features, targets, coef, icpt)
+        return cls(features, targets, np.array(row["_w"], float).reshape(len(targets), len(features)).T,
+                   np.array(row["_b"], float))
 
     def prediction(self, target: str) -> Column:
         j = self.targets.index(target)

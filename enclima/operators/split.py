@@ -123,25 +123,38 @@ def with_neighbours(df: DataFrame, keys: Sequence[str], ts: str, bucket: Column,
                     after: int) -> DataFrame:
     """Split a long series into time buckets for windowing.
 
-    Every row is tagged with its bucket ``_b`` (consecutive integers, e.g.
-    ``year(ts)``) and ``_own = true``; the last ``before`` rows of each bucket
-    are copied into the next bucket and the first ``after`` rows into the
-    previous one with ``_own = false``. A row window of at most ``before``
-    preceding and ``after`` following rows computed per (keys, bucket) then
-    equals the one over the whole series for every own row, provided the
-    series is dense (no empty bucket inside it) and every bucket other than
-    the first and the last holds at least ``max(before, after)`` rows (true
-    for year buckets of a dense daily/weekly/monthly series with windows up
-    to a year). No task ever holds a whole series."""
+    Every row is tagged with its bucket ``_b`` (a value that grows with time,
+    e.g. ``year(ts)``) and ``_own = true``; the ``before`` rows that precede a
+    bucket and the ``after`` rows that follow it are copied into it with
+    ``_own = false``, from as many buckets as they span. A row window of at
+    most ``before`` preceding and ``after`` following rows computed per (keys,
+    bucket) then equals the one over the whole series for every own row, for
+    any bucket sizes and gaps.
+
+    Only a bucket's rows are ranked in one task; a row's place in the series is
+    its rank plus the row counts of the earlier buckets (one small row per
+    bucket)."""
     keys = list(keys)
     b = df.withColumn("_b", bucket.cast("long"))
-    w = Window.partitionBy(*keys, "_b")
-    ranked = (b.withColumn("_rd", F.row_number().over(w.orderBy(F.col(ts).desc())))
-               .withColumn("_ra", F.row_number().over(w.orderBy(F.col(ts).asc()))))
-    own = ranked.withColumn("_own", F.lit(True))
-    prev = ranked.where(F.col("_rd") <= before).withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False))
-    nxt = ranked.where(F.col("_ra") <= after).withColumn("_b", F.col("_b") - 1).withColumn("_own", F.lit(False))
-    return own.unionByName(prev).unionByName(nxt).drop("_rd", "_ra")
+    sizes = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    reach = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b"))
+    spans = (sizes.withColumn("_end", reach)
+             .groupBy(*keys).agg(F.collect_list(F.struct("_b", (F.col("_end") - F.col("_n")).alias("_start"), "_end"))
+                                 .alias("_spans")).select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)],
+                                                          "_spans"))
+    match = F.lit(True)
+    for i, k in enumerate(keys):
+        match = match & F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(F.col(ts)))
+    placed = b.withColumn("_r", rank).join(spans, match).drop(*[f"_k{i}" for i in range(len(keys))])
+    mine = F.element_at(F.filter("_spans", lambda s: s["_b"].eqNullSafe(F.col("_b"))), 1)
+    placed = placed.withColumn("_at", mine["_start"] + F.col("_r"))
+    needed = F.filter("_spans", lambda s: s["_b"].eqNullSafe(F.col("_b"))
+                      | ((F.col("_at") <= s["_start"]) & (F.col("_at") > s["_start"] - before))
+                      | ((F.col("_at") > s["_end"]) & (F.col("_at") <= s["_end"] + after)))
+    copies = placed.withColumn("_to", F.explode(F.transform(needed, lambda s: s["_b"])))
+    return (copies.withColumn("_own", F.col("_to").eqNullSafe(F.col("_b"))).withColumn("_b", F.col("_to"))
+            .drop("_r", "_spans", "_at", "_to"))
 
 
 def context_windows(df: DataFrame, keys: Sequence[str], ts: str, value: str, context: int, horizon: int,

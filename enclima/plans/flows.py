@@ -244,7 +244,7 @@ def forecast_study(daily_long: DataFrame, context: int = 8, horizon: int = 4, se
 
     def windows(part):
         return split.context_windows(z.where(F.col("split") == part), ["series"], "Data", "value",
-                                     context, horizon)
+                                     context, horizon, bucket=F.year("Data"))
 
     # the test windows feed three forecasters: write them once
     test_w, train_w = materialize(windows("test")), windows("train")

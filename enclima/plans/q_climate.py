@@ -101,7 +101,7 @@ ix AS (SELECT sub, Data, r / STDDEV_SAMP(r) OVER (PARTITION BY sub) AS idx FROM
 
 @query("anomaly_index", sql=f"WITH {ANOMALY_INDEX_SQL} SELECT sub, Data, {R('idx', 6)} AS idx FROM ix")
 def anomaly_index_q(spark, base):
-    _, _, idx = climate.anomaly_index(load_monthly(spark, base), ["sub"], "Data", "value")
+    _, _, idx = climate.anomaly_index(load_monthly(spark, base), ["sub"], "Data", "value", bucket=F.year("Data"))
     return idx.select("sub", "Data", rnd("index", 6).alias("idx"))
 
 
@@ -116,13 +116,13 @@ dd AS (SELECT k.series, cal.Data, COALESCE(SUM(c.value), 0) AS value
 SELECT series, Data, {R('value')} AS value,
   {R('LAG(value, 15) OVER w')} AS value_lag15,
   {R('LAG(value, 30) OVER w')} AS value_lag30,
-  {R('LAG(value, 60) OVER w')} AS value_lag60
+  {R('LAG(value, 60) OVER w')} AS value_lag60, {R('LAG(value, 400) OVER w')} AS value_lag400
 FROM dd WINDOW w AS (PARTITION BY series ORDER BY Data)""")
 def lags(spark, base):
     d = resample.resample(gen_cells(spark, base), "ts", ["series"], "value", "day", "sum")
-    out = climate.add_lags(d, ["series"], "Data", "value", [15, 30, 60], bucket=F.year("Data"))
+    out = climate.add_lags(d, ["series"], "Data", "value", [15, 30, 60, 400], bucket=F.year("Data"))
     return out.select("series", "Data", *[rnd(c).alias(c) for c in
-                                          ["value", "value_lag15", "value_lag30", "value_lag60"]])
+                                          ["value", "value_lag15", "value_lag30", "value_lag60", "value_lag400"]])
 
 
 # --- DEC-1 ------------------------------------------------------------------
@@ -168,7 +168,7 @@ SELECT sub, Data, {R('idx', 6)} AS idx, {R('lo', 6)} AS lo, {R('hi', 6)} AS hi,
        ELSE 'El Niño forte' END AS phase
 FROM dd""")
 def phase_label_q(spark, base):
-    _, _, idx = climate.anomaly_index(load_monthly(spark, base), ["sub"], "Data", "value")
+    _, _, idx = climate.anomaly_index(load_monthly(spark, base), ["sub"], "Data", "value", bucket=F.year("Data"))
     st = idx.groupBy("sub").agg(F.min("index").alias("lo"), F.max("index").alias("hi"))
     lab = climate.phase_label(idx, ["sub"], "index").join(st, ["sub"])
     return lab.select("sub", "Data", rnd("index", 6).alias("idx"), rnd("lo", 6).alias("lo"),

@@ -10,6 +10,7 @@ from ..dims import patches_df
 from ..functions.calendar import hour_start
 from ..functions import add_calendar_features, rnd
 from ..operators import align, clean, reshape, resample, scale
+from ..session import materialize
 from . import standins as S
 from .q_reshape import CLASSES, EVENT_TYPES, SUBS, _q, class_subsystem_wide, gen_classes, round_all
 from .q_sources import GRID_SQL, region_table
@@ -95,14 +96,11 @@ def null_fill_drop_count(spark, base):
     g = gen_classes(spark, base)
     w = reshape.class_subsystem_wide(g, "ts", "cls", "sub", "value", CLASSES, SUBS)
     cols = [c for c in w.columns if c != "ts"]
-    # per-row flags before filling (isna count, dropna survivor), then
-    # fillna(0): a single pass and a single aggregate
-    flagged = w.withColumn("_missing", sum(F.when(F.col(f"`{c}`").isNull(), 1).otherwise(0) for c in cols))
-    flagged = flagged.withColumn("_complete", F.when(F.col("_missing") == 0, 1).otherwise(0))
-    filled = clean.fill_missing(flagged, cols, 0.0)
-    return filled.agg(F.count("*").alias("n_rows"), F.sum("_missing").cast("long").alias("n_missing"),
-                      F.sum("_complete").cast("long").alias("n_complete"),
-                      rnd(sum(F.sum(F.col(f"`{c}`")) for c in cols)).alias("filled_total"))
+    w = materialize(w)                                          # read by three operators
+    counted = w.agg(F.count("*").alias("n_rows"), clean.missing_cells(w, cols).alias("n_missing"))
+    complete = clean.drop_incomplete(w, cols).agg(F.count("*").alias("n_complete"))
+    filled = clean.fill_missing(w, cols, 0.0).agg(rnd(sum(F.sum(F.col(f"`{c}`")) for c in cols)).alias("filled_total"))
+    return counted.crossJoin(complete).crossJoin(filled)        # one row each
 
 
 # --- NUL-5 ------------------------------------------------------------------
@@ -116,6 +114,15 @@ def row_patch(spark, base):
     return round_all(p, ["Data"])
 
 
+@query("row_patch_absent_source", sql=f"""
+WITH {GEN_CLASS_DAILY_SQL}
+SELECT Data, {', '.join(f'{R(_q(c))} AS {_q(c)}' for c in CLASSES)} FROM gcd""")
+def row_patch_absent_source(spark, base):
+    """A patch whose source day lies outside the table changes nothing."""
+    far = [(PATCH[0][0], "2090-01-01")]
+    return round_all(clean.patch_rows(gen_class_daily(spark, base), "Data", patches_df(spark, far)), ["Data"])
+
+
 # --- PRJ-5 ------------------------------------------------------------------
 @query("row_total", sql=f"""
 WITH {_class_wide_cte()}

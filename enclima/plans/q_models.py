@@ -55,19 +55,24 @@ def ts_cv_folds(spark, base):
 
 
 # --- WIN-9 ------------------------------------------------------------------
-_W_SQL = f"""{_CELLS_DAY_SQL},
+def _windows_sql(context, horizon):
+    return f"""{_CELLS_DAY_SQL},
 w AS (SELECT series, Data AS origin, value,
         COUNT(*) OVER wc AS nc, MIN(Data) OVER wc AS ctx_start, AVG(value) OVER wc AS ctx_mean,
         COUNT(*) OVER wh AS nh, MAX(Data) OVER wh AS hz_end, AVG(value) OVER wh AS hz_mean
       FROM dd
-      WINDOW wc AS (PARTITION BY series ORDER BY Data ROWS BETWEEN {CONTEXT - 1} PRECEDING AND CURRENT ROW),
-             wh AS (PARTITION BY series ORDER BY Data ROWS BETWEEN 1 FOLLOWING AND {HORIZON} FOLLOWING)),
-fw AS (SELECT * FROM w WHERE nc = {CONTEXT} AND nh = {HORIZON})"""
+      WINDOW wc AS (PARTITION BY series ORDER BY Data ROWS BETWEEN {context - 1} PRECEDING AND CURRENT ROW),
+             wh AS (PARTITION BY series ORDER BY Data ROWS BETWEEN 1 FOLLOWING AND {horizon} FOLLOWING)),
+fw AS (SELECT * FROM w WHERE nc = {context} AND nh = {horizon})"""
 
 
-def gen_windows(spark, base):
+_W_SQL = _windows_sql(CONTEXT, HORIZON)
+LONG_CONTEXT, LONG_HORIZON = 512, 96
+
+
+def gen_windows(spark, base, context=CONTEXT, horizon=HORIZON):
     # year buckets with overlapping edges: no task holds a whole series
-    return split.context_windows(gen_daily_long(spark, base), ["series"], "Data", "value", CONTEXT, HORIZON,
+    return split.context_windows(gen_daily_long(spark, base), ["series"], "Data", "value", context, horizon,
                                  bucket=F.year("Data"))
 
 
@@ -75,13 +80,29 @@ def _arr_mean(c):
     return F.aggregate(F.transform(F.col(c), lambda s: s["v"]), F.lit(0.0), lambda a, v: a + v) / F.size(c)
 
 
+def _window_rows(w):
+    return w.select("series", "origin", F.element_at("context", 1)["t"].alias("ctx_start"),
+                    rnd(_arr_mean("context")).alias("ctx_mean"), F.element_at("horizon", -1)["t"].alias("hz_end"),
+                    rnd(_arr_mean("horizon")).alias("hz_mean"))
+
+
 @query("context_windows", sql=f"""WITH {_W_SQL}
 SELECT series, origin, ctx_start, {R('ctx_mean')} AS ctx_mean, hz_end, {R('hz_mean')} AS hz_mean FROM fw""")
 def context_windows(spark, base):
-    w = gen_windows(spark, base)
+    return _window_rows(gen_windows(spark, base))
+
+
+@query("context_windows_long", sql=f"""WITH {_windows_sql(LONG_CONTEXT, LONG_HORIZON)}
+SELECT series, origin, ctx_start, {R(f'ctx_mean * {LONG_CONTEXT}', 2)} AS ctx_total, hz_end,
+  {R(f'hz_mean * {LONG_HORIZON}', 2)} AS hz_total FROM fw""")
+def context_windows_long(spark, base):
+    """Windows longer than their year bucket: 512 days of context, 96 of horizon
+    (totals of cent values, so that no rounding tie arises)."""
+    w = gen_windows(spark, base, LONG_CONTEXT, LONG_HORIZON)
     return w.select("series", "origin", F.element_at("context", 1)["t"].alias("ctx_start"),
-                    rnd(_arr_mean("context")).alias("ctx_mean"), F.element_at("horizon", -1)["t"].alias("hz_end"),
-                    rnd(_arr_mean("horizon")).alias("hz_mean"))
+                    rnd(_arr_mean("context") * LONG_CONTEXT, 2).alias("ctx_total"),
+                    F.element_at("horizon", -1)["t"].alias("hz_end"),
+                    rnd(_arr_mean("horizon") * LONG_HORIZON, 2).alias("hz_total"))
 
 
 # --- WIN-10, FCS-1 (naive) --------------------------------------------------
@@ -151,10 +172,13 @@ def _linear_forecast(spark, base, with_exog: bool):
     if with_exog:
         z = scale.apply_scaler(z, scale.fit_scaler(z, [], "load", where=F.col("split") == "train"), [], "load")
     exog = ["load"] if with_exog else []
-    w = split.context_windows(z, ["series"], "Data", "value", CONTEXT, HORIZON, exog=exog)
+    w = split.context_windows(z, ["series"], "Data", "value", CONTEXT, HORIZON, exog=exog, bucket=F.year("Data"))
     w = w.join(z.select("series", F.col("Data").alias("origin"), "split"), ["series", "origin"])
+    # a training window ends inside the training period
+    cut = d.where(F.col("split") == "train").agg(F.max("Data")).first()[0]
+    learn = (F.col("split") == "train") & (F.element_at("horizon", -1)["t"] <= F.lit(cut))
     ex = F.col("exog_horizon") if with_exog else None
-    models = forecast.fit_linear(w.where(F.col("split") == "train"), ["series"], CONTEXT, HORIZON,
+    models = forecast.fit_linear(w.where(learn), ["series"], CONTEXT, HORIZON,
                                  exog=ex, n_exog=HORIZON * len(exog))
     fc = forecast.linear(w.where(F.col("split") == "test"), ["series"], models, HORIZON, exog=ex)
     om = forecast.overlap_mean(forecast.explode_forecasts(fc, ["series"]), ["series"])

@@ -60,7 +60,7 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
     if extra:
         conf.update(extra)
     existing = SparkSession.getActiveSession()
-    if "spark.checkpoint.dir" not in conf and existing is None:
+    if "spark.checkpoint.dir" not in conf and existing is None and master.startswith("local["):
         # Tests / local runs only: a cluster names its shared folder itself.
         conf["spark.checkpoint.dir"] = tempfile.mkdtemp(
             prefix="enclima-ckpt-", dir=os.environ.get("ENCLIMA_SCRATCH", "/tmp"))
@@ -73,17 +73,19 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder for intermediates, named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared file system folder and is used as
-    is. Only when it is unset (local tests) a private scratch folder is made.
-    """
-    current = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    Unset, it is an error on a cluster (executors would write to their own
+    disks); a local session gets one scratch folder for its lifetime."""
+    context = spark.sparkContext
+    current = context.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        # Unset only in ad-hoc local sessions; never on a cluster.
-        current = tempfile.mkdtemp(prefix="enclima-ckpt-", dir=os.environ.get("ENCLIMA_SCRATCH", "/tmp"))
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = context.getCheckpointDir() or tempfile.mkdtemp(
+            prefix="enclima-ckpt-", dir=os.environ.get("ENCLIMA_SCRATCH", "/tmp"))
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(current)
     return current
 
 

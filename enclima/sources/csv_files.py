@@ -19,9 +19,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.nulls import nan_to_null
+
 from ..operators.reshape import union_by_name
 
 
+# Texts that a CSV reader takes as missing.
+MISSING_MARKS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+                 "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
 def list_files(spark: SparkSession, pattern: str) -> list[str]:
     """Paths matching a Hadoop glob (driver-side listing, no data read)."""
     jvm = spark.sparkContext._jvm
@@ -90,12 +97,15 @@ def with_file_period(df: DataFrame, file_col: str = "_file") -> DataFrame:
 
 def typed_measurements(df: DataFrame, ts: str, ts_format: str, numeric: Sequence[str], strict: bool = True) -> DataFrame:
     """Parse the time column as naive local time and the numeric columns as
-    double: strict (ANSI ``cast`` raises on bad text, like ``errors='raise'``)
+    double. The usual missing marks and NaN become NULL; other text is strict (ANSI ``cast`` raises on bad text, like ``errors='raise'``)
     or lenient (``try_cast`` gives NULL, like ``errors='coerce'``)."""
     out = df.withColumn(ts, F.to_timestamp_ntz(F.col(ts), F.lit(ts_format)) if "H" in ts_format
                         else F.to_date(F.col(ts), ts_format))
-    cast = (lambda c: F.col(f"`{c}`").cast("double")) if strict else (lambda c: F.expr(f"try_cast(`{c}` AS DOUBLE)"))
-    return out.withColumns({c: cast(c) for c in numeric})
+    def number(c):
+        text = F.trim(F.col(f"`{c}`").cast("string"))
+        text = F.when(~text.isin(MISSING_MARKS), text)
+        return nan_to_null(text.cast("double") if strict else text.try_cast("double"))
+    return out.withColumns({c: number(c) for c in numeric})
 
 
 # --- sinks --------------------------------------------------------------------------

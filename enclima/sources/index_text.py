@@ -19,7 +19,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.joins import broadcast_bounded
+from ..functions.nulls import nan_to_null
 
 from ..dims import sentinels_df
 from ..operators.reshape import pivot_masks
@@ -42,7 +42,7 @@ def parse_wide_lines(lines: DataFrame, index: str = "index", line: str = "line")
                          F.posexplode(F.slice("_t", 2, 12)).alias("_p", "_v"))
                  .where(F.col("_y").isNotNull()))
     return rows.select("index", F.make_date("_y", F.col("_p") + 1, F.lit(1)).alias("Data"),
-                       F.expr("try_cast(_v AS DOUBLE)").alias("value"))
+                       nan_to_null(F.expr("try_cast(_v AS DOUBLE)")).alias("value"))
 
 
 def parse_semicolon_rows(rows: DataFrame, index: str, date: str, value: str) -> DataFrame:
@@ -50,7 +50,7 @@ def parse_semicolon_rows(rows: DataFrame, index: str, date: str, value: str) ->
     # drop the three leading characters, keep the whole rest of the text
     d = F.to_date(F.expr(f"substr(trim(`{date}`), 4)"), "ddMMMyyyy")
     return rows.select(F.col(index).alias("index"), F.trunc(d, "MM").alias("Data"),
-                       F.expr(f"try_cast(trim(`{value}`) AS DOUBLE)").alias("value"))
+                       nan_to_null(F.expr(f"try_cast(trim(`{value}`) AS DOUBLE)")).alias("value"))
 
 
 def read_semicolon_files(spark: SparkSession, path: str) -> DataFrame:
@@ -65,9 +65,9 @@ def read_semicolon_files(spark: SparkSession, path: str) -> DataFrame:
 def null_sentinels(df: DataFrame, sentinels: DataFrame | None = None, index: str = "index",
                    value: str = "value") -> DataFrame:
     """Per-index sentinel -> NULL by exact double equality (NUL-1). The
-    sentinel table is a literal dimension (32 rows) and is broadcast."""
+    sentinel table is a literal dimension (32 rows); the planner knows its size."""
     s = sentinels if sentinels is not None else sentinels_df(df.sparkSession)
-    s = broadcast_bounded(s.withColumnRenamed("index", "_sidx"))
+    s = s.withColumnRenamed("index", "_sidx")
     j = df.join(s, F.col(index) == F.col("_sidx"), "left")
     return j.withColumn(value, F.when(F.col("invalid").isNull() | (F.col(value) != F.col("invalid")),
                                       F.col(value))).drop("_sidx", "invalid")
