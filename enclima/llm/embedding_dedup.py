@@ -5,8 +5,15 @@ builds a hierarchical navigable small-world graph over its vectors, then
 streams the vectors of all classes through it: every vector queries every
 shard. On each batch of queries a sample is audited against brute force over
 the shard; while its recall is below the target, the beam is doubled and the
-batch repeated. Pairs found are verified by cosine in double precision, links
-are united to components.
+batch repeated. A query whose beam would have to be wider than ``WIDEST``, or a
+batch whose audit still fails there, is compared with the whole shard: the
+exact way for members of large groups. Pairs found are verified by cosine in
+double precision.
+
+Of its pairs a shard returns the number of links per query, one of the linked
+vectors, and one edge for any two of the shard's vectors that a query joins
+for the first time: rows grow with queries and vectors, not with the pairs of a
+group. Links are counted from the side of the query.
 
 A shard holds at most about ``shard_rows`` vectors; their graph is the task's
 memory. Queries are streamed.
@@ -35,6 +42,8 @@ RECALL = 0.98
 AUDIT = 8
 SLACK = 1e-4                                    # float32 search against the double-precision threshold
 QUERIES = 512
+WIDEST = 128                                    # widest beam; beyond it a query reads its whole shard
+PAIRS = 1 << 18                                 # similarities held at once in double precision
 
 
 def _matrix(column) -> np.ndarray:
@@ -48,58 +57,94 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class _Shard:
-    def __init__(self, ids: np.ndarray, x: np.ndarray, threshold: float):
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, threshold: float):
         from .hnsw import SmallWorld
-        self.ids, self.x, self.threshold = ids, x, threshold
+        self.ids, self.sizes, self.x, self.threshold = ids, sizes, x, threshold
         self.graph = SmallWorld(x)
         self.ef = 16
+        self.root = np.arange(len(ids))             # what queries have joined so far
 
-    def pairs(self, ids: np.ndarray, x: np.ndarray):
-        """Verified pairs of a batch of queries, after its audit."""
+    def _beams(self, x: np.ndarray):
+        """Candidate pairs (row, position) of a batch of queries after its
+        audit, and the rows that need the whole shard."""
         low = self.threshold - SLACK
-        own = np.arange(0, len(ids), AUDIT)
+        own = np.arange(0, len(x), AUDIT)
         truth = x[own].astype(np.float32) @ self.graph.x.T >= low
         while True:
-            r, i = self.graph.within(x, low, self.ef)
+            r, i, wide = self.graph.within(x, low, self.ef, WIDEST)
             found = np.zeros(truth.shape, bool)
             audited = r % AUDIT == 0
             found[r[audited] // AUDIT, i[audited]] = True
-            want = truth.sum()
-            if (found & truth).sum() >= RECALL * want or self.ef >= len(self.ids):
-                break
+            found[wide[wide % AUDIT == 0] // AUDIT] = True
+            if (found & truth).sum() >= RECALL * truth.sum():
+                return r, i, wide
+            if 2 * self.ef > WIDEST:
+                return r[:0], i[:0], np.arange(len(x))
             self.ef *= 2
-        cos = np.einsum("kd,kd->k", x[r], self.x[i])
-        ok = (cos >= self.threshold) & (ids[r] != self.ids[i])
-        return ids[r[ok]], self.ids[i[ok]]
+
+    def links(self, ids: np.ndarray, x: np.ndarray):
+        """(cid, other, linked) rows of a batch of queries."""
+        r, i, wide = self._beams(x)
+        ok = np.concatenate([np.einsum("kd,kd->k", x[r[a:a + PAIRS]], self.x[i[a:a + PAIRS]]) >= self.threshold
+                             for a in range(0, max(len(r), 1), PAIRS)])
+        r, i = r[ok], i[ok]
+        order = np.argsort(r, kind="stable")
+        r, i = r[order], i[order]
+        cid, other, linked = [], [], []
+        rows, first = np.unique(r, return_index=True)
+        for row, hits in zip(rows.tolist(), np.split(i, first[1:])):
+            self._join(ids[row], hits, cid, other, linked)
+        step = max(1, PAIRS // len(self.ids))
+        for a in range(0, len(wide), step):
+            near = x[wide[a:a + step]] @ self.x.T >= self.threshold
+            for row, hit in zip(wide[a:a + step].tolist(), near):
+                self._join(ids[row], np.flatnonzero(hit), cid, other, linked)
+        return cid, other, linked
+
+    def _join(self, query: int, hits: np.ndarray, cid: list, other: list, linked: list) -> None:
+        hits = hits[self.ids[hits] != query]
+        if not len(hits):
+            return
+        roots = np.unique(self.root[hits])
+        cid.append(query)
+        other.append(self.ids[roots[0]])
+        linked.append(self.sizes[hits].sum())
+        if len(roots) > 1:
+            cid.extend(self.ids[roots[1:]])
+            other.extend([self.ids[roots[0]]] * (len(roots) - 1))
+            linked.extend([0] * (len(roots) - 1))
+            to = np.arange(len(self.ids))
+            to[roots] = roots[0]
+            self.root = to[self.root]
 
 
 def _search(batches, threshold: float):
     """Rows sorted by (dim, shard, query): a shard's vectors, then all queries."""
-    shard, at, ids, xs = None, None, [], []
+    shard, at, ids, sizes, xs = None, None, [], [], []
     for batch in batches:
         key = np.stack([np.asarray(batch.column(c)) for c in ("dim", "shard")], 1)
         is_query = np.asarray(batch.column("is_query").cast(pa.int8())).astype(bool)
-        cid = np.asarray(batch.column("cid"))
+        cid, size = np.asarray(batch.column("cid")), np.asarray(batch.column("size"))
         cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1) | (is_query[1:] != is_query[:-1])) + 1
         for a, b in zip(np.append(0, cut), np.append(cut, len(cid))):
             if a == b:
                 continue
             if at is None or (key[a] != at).any():
-                shard, at, ids, xs = None, key[a], [], []
+                shard, at, ids, sizes, xs = None, key[a], [], [], []
             x = unit(_matrix(batch.column("vec").slice(a, b - a)))
             if not is_query[a]:
                 ids.append(cid[a:b])
+                sizes.append(size[a:b])
                 xs.append(x)
                 continue
             if shard is None:
                 if not ids:
                     continue
-                shard = _Shard(np.concatenate(ids), np.concatenate(xs), threshold)
-                ids, xs = [], []
+                shard = _Shard(np.concatenate(ids), np.concatenate(sizes), np.concatenate(xs), threshold)
+                ids, sizes, xs = [], [], []
             for c in range(a, b, QUERIES):
-                left, right = shard.pairs(cid[c:min(b, c + QUERIES)], x[c - a:c - a + QUERIES])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["a", "b"])
+                out = shard.links(cid[c:min(b, c + QUERIES)], x[c - a:c - a + QUERIES])
+                yield pa.RecordBatch.from_arrays([pa.array(col, pa.int64()) for col in out], ["cid", "other", "linked"])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, shard_rows: int = SHARD_ROWS,
@@ -118,20 +163,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, shard_rows: int
         F.first("vec").alias("vec"), F.count("*").alias("size"), F.min("vec_id").alias("least"))
         .withColumn("dim", F.size("vec")))
     shards = max(min_shards, math.ceil(classes.count() / shard_rows))
-    base = classes.select("dim", "cid", "vec")
+    base = classes.select("dim", "cid", "size", "vec")
     shard = F.pmod(F.xxhash64("cid", F.lit(3)), F.lit(shards)).cast("int")
-    work = (base.select("dim", shard.alias("shard"), F.lit(False).alias("is_query"), "cid", "vec")
+    work = (base.select("dim", shard.alias("shard"), F.lit(False).alias("is_query"), "cid", "size", "vec")
             .unionByName(base.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-                                     F.lit(True).alias("is_query"), "cid", "vec")))
+                                     F.lit(True).alias("is_query"), "cid", "size", "vec")))
     dealt = work.repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "is_query", "cid")
-    found = dealt.mapInArrow(functools.partial(_search, threshold=threshold), "a long, b long")
-    links, _ = save(found.distinct())
-    label, _ = save(components(links))
-    size = classes.select("cid", "size")
-    ends = (links.select(F.col("a").alias("cid"), F.col("b").alias("other"))
-            .unionByName(links.select(F.col("b").alias("cid"), F.col("a").alias("other"))))
-    degree = (ends.join(size.select(F.col("cid").alias("other"), "size"), "other")
-              .groupBy("cid").agg(F.sum("size").alias("linked")))
+    found, found_path = save(dealt.mapInArrow(functools.partial(_search, threshold=threshold),
+                                              "cid long, other long, linked long"))
+    label, _ = save(components(found, "cid", "other"))
+    degree = found.groupBy("cid").agg(F.sum("linked").alias("linked"))
     named = (classes.select("cid", "size", "least").join(degree, "cid", "left")
              .join(label.select(F.col("node").alias("cid"), "root"), "cid", "left")
              .withColumn("root", F.coalesce("root", "cid")))
@@ -141,5 +182,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, shard_rows: int
     out = (rows.select("vec_id", "cid").join(state, "cid", "left")
            .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                    F.when(F.col("cid").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")))
-    remove(spark, classes_path)
+    remove(spark, classes_path, found_path)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

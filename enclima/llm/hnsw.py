@@ -136,17 +136,18 @@ class SmallWorld:
             entry = ids[:, 0]
         return self._layer(q, entry, 0, ef, len(self.x))
 
-    def within(self, q: np.ndarray, least: float, ef: int):
+    def within(self, q: np.ndarray, least: float, ef: int, widest: int):
         """(row, id) pairs found with similarity >= least. Beams that are full
-        of such vectors are widened until they are not."""
+        of such vectors are widened until they are not; rows whose beam would
+        have to be wider than ``widest`` are returned apart, without pairs."""
         q = np.ascontiguousarray(q, np.float32)
-        rows, out_r, out_i = np.arange(len(q)), [], []
-        while len(rows):
+        rows, out_r, out_i = np.arange(len(q)), [np.zeros(0, int)], [np.zeros(0, int)]
+        while len(rows) and ef <= widest:
             ids, sims = self.search(q[rows], ef)
             hit = (ids >= 0) & (sims >= least)
-            full = hit.all(axis=1) & (ef < len(self.x))
+            full = hit.all(axis=1)
             r, c = np.nonzero(hit & ~full[:, None])
             out_r.append(rows[r])
             out_i.append(ids[r, c])
-            rows, ef = rows[full], min(2 * ef, len(self.x))
-        return (np.concatenate(out_r), np.concatenate(out_i)) if out_r else (np.zeros(0, int), np.zeros(0, int))
+            rows, ef = rows[full], 2 * ef
+        return np.concatenate(out_r), np.concatenate(out_i), rows

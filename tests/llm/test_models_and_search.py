@@ -86,6 +86,23 @@ def test_embedding_links_match_brute_force(spark):
     assert near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embedding_group_wider_than_the_beams(spark):
+    """Members of a large group are compared with their whole shards; the rows
+    that a shard returns grow with its vectors, not with the group's pairs."""
+    from enclima.llm.embedding_dedup import WIDEST, _Shard
+    rng = np.random.default_rng(5)
+    near = rng.normal(size=16) + 0.05 * rng.normal(size=(3 * WIDEST, 16))
+    x = np.concatenate([near, rng.normal(size=(60, 16))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = np.arange(len(x))
+    cid, other, linked = _Shard(ids, np.ones(len(x), np.int64), x, 0.9).links(ids, x)
+    assert len(cid) <= 2 * len(x)
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in near_duplicates(table, 0.9, min_shards=2).collect()}
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert want.max() > 2 * WIDEST and got == dict(enumerate(want.tolist()))
+
+
 LANGS = {"aa": ["kolo", "mirta", "sven"], "bb": ["tugh", "rax", "pelto"], "cc": ["ünxe", "wöry", "çazi"]}
 
 
