@@ -8,12 +8,14 @@ measured sizes), nothing is forced here.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lit_time
 from .clean import drop_incomplete
 
 
@@ -55,6 +57,17 @@ def rows_on_day_of(df: DataFrame, ts: str, instants: DataFrame, instant_ts: str)
     return df.join(days, F.to_date(F.col(ts)) == F.col("_day"), "left_semi")
 
 
+def rows_on_instant_day(df: DataFrame, ts: str, instant: DataFrame, instant_ts: str) -> DataFrame:
+    """As ``rows_on_day_of`` for one instant (the first row of ``instant``): the
+    day is read first and becomes a literal range on ``ts``, which reaches the
+    scan of ``df``. Without an instant there are no rows."""
+    row = instant.select(F.to_date(F.col(instant_ts)).alias("_day")).first()
+    if row is None or row[0] is None:
+        return df.where(F.lit(False))
+    lo = dt.datetime(row[0].year, row[0].month, row[0].day)
+    return df.where((F.col(ts) >= lit_time(lo)) & (F.col(ts) < lit_time(lo + dt.timedelta(days=1))))
+
+
 def model_delta(metrics: DataFrame, models: Sequence[str], by: str = "source", model: str = "model",
                 value: str = "mse") -> DataFrame:
     """Relative change of ``value`` between every ordered pair of the listed

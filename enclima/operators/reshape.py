@@ -92,14 +92,13 @@ def class_subsystem_wide(df: DataFrame, ts: str, cls: str, sub: str, value: str,
 def multi_measure_pivot(df: DataFrame, ts: str, key: str, measures: Sequence[str],
                         keys: Iterable | None = None, sep: str = "_") -> DataFrame:
     """``groupby([ts, key]).sum().unstack(key)`` with ``{key}_{measure}`` names
-    (AGG-1 + RSH-4), as one aggregation on ``ts``."""
+    (AGG-1 + RSH-4). The rows are summed per (ts, key) first, one sum per
+    measure; only those cells are spread to ``keys`` x ``measures`` columns."""
     keys = distinct_values(df, key) if keys is None else list(keys)
-    exprs = []
-    for k in keys:
-        m = F.col(key) == F.lit(k)
-        for meas in measures:
-            exprs.append(_cell_sum(m, F.col(meas).cast("double")).alias(f"{k}{sep}{meas}"))
-    return df.groupBy(ts).agg(*exprs)
+    cells = df.groupBy(ts, key).agg(*[F.coalesce(F.sum(F.col(f"`{m}`").cast("double")), F.lit(0.0)).alias(f"_m{i}")
+                                      for i, m in enumerate(measures)])
+    return cells.groupBy(ts).agg(*[F.first(F.when(F.col(key) == F.lit(k), F.col(f"_m{i}")), ignorenulls=True)
+                                   .alias(f"{k}{sep}{m}") for k in keys for i, m in enumerate(measures)])
 
 
 def unpivot_wide(df: DataFrame, ids: Sequence[str], cols: Sequence[str] | None = None,

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import rnd
-from ..operators import climate, resample, scale
+from ..operators import clean, climate, resample, scale
+from ..session import materialize
 from . import standins as S
 from .q_reshape import _CELLS_SQL, gen_cells, gen_classes
 from .registry import CLASS_SQL, GEN_CTE, LOAD_CTE, R, query
@@ -42,6 +43,29 @@ def year_share(spark, base):
                     rnd(F.lit(100.0) * F.col("value") / F.sum("value").over(w)).alias("share_pct"))
 
 
+# --- PIP-11: monthly means -> yearly sums, shares and order of the classes -----------
+@query("yearly_mix", sql=f"""
+WITH {GEN_CTE}, c AS (SELECT ts, {CLASS_SQL} AS cls, SUM(value) AS v FROM gen GROUP BY ALL),
+m AS (SELECT last_day(CAST(ts AS DATE)) AS Data, cls, AVG(v) AS v FROM c GROUP BY ALL),
+y AS (SELECT make_date(year(Data), 12, 31) AS Data, cls, SUM(v) AS v FROM m WHERE year(Data) > 1994 GROUP BY ALL),
+t AS (SELECT cls, RANK() OVER (ORDER BY SUM(v) DESC, cls) AS rnk FROM y GROUP BY cls)
+SELECT Data, cls, {R('v', 6)} AS total, {R('100 * v / SUM(v) OVER (PARTITION BY Data)')} AS share_pct,
+  CAST(rnk AS INTEGER) AS rnk FROM y JOIN t USING (cls)""")
+def yearly_mix(spark, base):
+    """Yearly sums of the monthly means of each class, their shares of the year
+    and the classes' order by grand total, after the year cut."""
+    cells = gen_classes(spark, base).groupBy("ts", "cls").agg(F.sum("value").alias("value"))
+    m = resample.resample(cells, "ts", ["cls"], "value", "month", "mean", dense=False)
+    m = clean.year_range(m, "Data", after=1994)
+    y = materialize(resample.resample(m.withColumnRenamed("Data", "month"), "month", ["cls"], "value", "year", "sum",
+                                      dense=False))
+    # one row per class: the global ordering runs on a handful of rows
+    order = y.groupBy("cls").agg(F.sum("value").alias("v")).select(
+        "cls", F.rank().over(Window.orderBy(F.col("v").desc(), "cls")).alias("rnk"))
+    share = F.lit(100.0) * F.col("value") / F.sum("value").over(Window.partitionBy("Data"))
+    return y.join(order, "cls").select("Data", "cls", rnd("value", 6).alias("total"), rnd(share).alias("share_pct"), "rnk")
+
+
 # --- SRT-2 ------------------------------------------------------------------
 @query("source_order", sql=f"""
 WITH {GEN_CTE}, t AS (SELECT {CLASS_SQL} AS cls, SUM(value) AS v FROM gen GROUP BY ALL)

@@ -10,11 +10,11 @@ from . import flows
 from . import standins as S
 from .q_frames import PATCH, WIDE_COLS, dense_daily_wide_sql
 from .q_reshape import LOAD_MEASURES, SUBS, _q
-from .q_sources import INDICES, grid_sql, region_table
+from .q_sources import BOXES, INDICES, grid_sql, region_table
 from .registry import CLASS_SQL, GEN_CTE, LOAD_CTE, R, query
 
 CARGA = [f"CARGA_{s}" for s in SUBS]
-REGION_COLS = [f"{r}_sst" for r in ["NIN 1.2", "NIN 3", "NIN 3.4", "NIN 4"]]
+REGION_COLS = [f"{r}_sst" for r in BOXES]
 CAL = ["year", "month", "day", "weekday", "dayofyear", "quarter"]
 TARGETS = [c for c in WIDE_COLS if "OTHER" not in c]
 
@@ -158,8 +158,8 @@ def _training_sql():
 gtw AS (SELECT Data, {gcols} FROM dm GROUP BY Data),
 {ld_sql},
 {grid_sql("r_")},
-rm AS (SELECT Data, parent, AVG(value) AS v FROM r_cells GROUP BY ALL),
-rw AS (SELECT Data, {', '.join(f"MAX(v) FILTER (WHERE parent = '{r[:-4]}') AS {_q(r)}" for r in REGION_COLS)}
+rm AS (SELECT Data, region, AVG(value) AS v FROM r_cells GROUP BY ALL),
+rw AS (SELECT Data, {', '.join(f"MAX(v) FILTER (WHERE region = '{r[:-4]}') AS {_q(r)}" for r in REGION_COLS)}
        FROM rm GROUP BY Data),
 f0 AS (SELECT gtw.*, {', '.join(f'ldd.{_q(c)}' for c in CARGA)}, {cal},
               {', '.join(f'rw.{_q(c)}' for c in REGION_COLS)}

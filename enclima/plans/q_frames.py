@@ -13,7 +13,7 @@ from ..operators import align, clean, reshape, resample, scale
 from ..session import materialize
 from . import standins as S
 from .q_reshape import CLASSES, EVENT_TYPES, SUBS, _q, class_subsystem_wide, gen_classes, round_all
-from .q_sources import GRID_SQL, region_table
+from .q_sources import BOXES, GRID_SQL, region_table
 from .registry import CLASS_SQL, GEN_CTE, HOURLY_CTE, LOAD_CTE, R, query
 
 PATCH = [("1998-12-01", "1998-12-02")]
@@ -211,13 +211,13 @@ def align_inner(spark, base):
 
 
 # --- JOI-4 ------------------------------------------------------------------
-_REG = ["NIN 1.2", "NIN 3", "NIN 3.4", "NIN 4"]
+_REG = BOXES
 
 
 @query("align_left", sql=f"""
 WITH {LOAD_DAILY_SQL}, {GRID_SQL},
-rm AS (SELECT Data, parent, AVG(value) AS v FROM cells GROUP BY ALL),
-rw AS (SELECT Data, {', '.join(f"MAX(v) FILTER (WHERE parent = '{r}') AS {_q(r + '_sst')}" for r in _REG)}
+rm AS (SELECT Data, region, AVG(value) AS v FROM cells GROUP BY ALL),
+rw AS (SELECT Data, {', '.join(f"MAX(v) FILTER (WHERE region = '{r}') AS {_q(r + '_sst')}" for r in _REG)}
        FROM rm GROUP BY Data)
 SELECT ldd.Data, {', '.join(f'{R("ldd." + _q("CARGA_" + s))} AS {_q("CARGA_" + s)}' for s in SUBS)},
        {', '.join(f'{R("rw." + _q(r + "_sst"), 6)} AS {_q(r + "_sst")}' for r in _REG)}
@@ -289,12 +289,41 @@ SELECT date_trunc('hour', ts) AS Data,
   {R('SUM(value)')} AS total
 FROM hr WHERE CAST(ts AS DATE) IN (SELECT day FROM pk) GROUP BY 1""")
 def peak_profile(spark, base):
-    pk = align.peak_instant(hourly_totals(spark, base), "Data", "total")
-    day_rows = align.rows_on_day_of(S.hourly_fact(spark, base), "ts", pk, "Data")
-    h = day_rows.withColumn("Data", hour_start("ts"))
-    wide = reshape.pivot_series(h, "Data", "key", "value", values=EVENT_TYPES, prefix="EV_")
-    tot = h.groupBy("Data").agg(F.sum("value").alias("total"))
-    return round_all(wide.join(tot, "Data"), ["Data"])
+    # one pass over the events; the peak, its day and the total come from the hours
+    hours = materialize(S.hourly_fact(spark, base).groupBy(hour_start("ts").alias("Data"), "key")
+                        .agg(F.sum("value").alias("value")))
+    pk = align.peak_instant(hours.groupBy("Data").agg(F.sum("value").alias("total")), "Data", "total")
+    masks = {**{f"EV_{k}": F.col("key") == F.lit(k) for k in EVENT_TYPES}, "total": F.lit(True)}
+    wide = reshape.pivot_masks(align.rows_on_day_of(hours, "Data", pk, "Data"), ["Data"], masks, "value")
+    return round_all(wide, ["Data"])
+
+
+# --- PIP-10: load peak -> that day's load and generation by class -----------------
+def _peak_generation_sql():
+    load = ", ".join(f"SUM(value) FILTER (WHERE sub = '{s}') AS {_q('CARGA_' + s)}" for s in SUBS)
+    gen = ", ".join(f"SUM(value) FILTER (WHERE cls = '{c}') AS {_q(c)}" for c in CLASSES)
+    out = ", ".join([f"{R('lw.' + _q('CARGA_' + s))} AS {_q('CARGA_' + s)}" for s in SUBS]
+                    + [f"{R('gw.' + _q(c))} AS {_q(c)}" for c in CLASSES])
+    return f"""WITH {GEN_CTE}, {LOAD_CTE},
+lt AS (SELECT ts, SUM(value) AS total FROM ld GROUP BY ts),
+pk AS (SELECT CAST(ts AS DATE) AS day FROM lt ORDER BY total DESC, ts LIMIT 1),
+lw AS (SELECT ts AS Data, {load} FROM ld WHERE CAST(ts AS DATE) IN (SELECT day FROM pk) GROUP BY 1),
+gw AS (SELECT ts AS Data, {gen} FROM (SELECT ts, {CLASS_SQL} AS cls, value FROM gen)
+       WHERE CAST(ts AS DATE) IN (SELECT day FROM pk) GROUP BY 1)
+SELECT lw.Data, {out} FROM lw LEFT JOIN gw ON lw.Data = gw.Data"""
+
+
+@query("peak_load_generation", sql=_peak_generation_sql())
+def peak_load_generation(spark, base):
+    """Load and generation by class on the day of the highest total load."""
+    cells = materialize(S.load_fact(spark, base).groupBy(F.col("ts").alias("Data"), "sub")
+                        .agg(F.sum("value").alias("value")))
+    pk = align.peak_instant(cells.groupBy("Data").agg(F.sum("value").alias("total")), "Data", "total")
+    load = reshape.pivot_series(align.rows_on_day_of(cells, "Data", pk, "Data"), "Data", "sub", "value",
+                                values=SUBS, prefix="CARGA_")
+    gen = align.rows_on_instant_day(gen_classes(spark, base), "ts", pk, "Data").withColumnRenamed("ts", "Data")
+    wide = reshape.pivot_series(gen, "Data", "cls", "value", values=CLASSES)
+    return round_all(align.align([load, wide], "Data", "left"), ["Data"])
 
 
 # --- AGG-18, SCL-1 ----------------------------------------------------------

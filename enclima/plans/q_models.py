@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import clamp_negative, rnd
 from ..operators import align, evaluate, forecast, split
 from ..operators.regress import LinearModel
+from ..session import materialize
 from .q_frames import (_CELLS_DAY_SQL, GEN_CLASS_DAILY_SQL, LOAD_DAILY_SQL, gen_class_daily, gen_daily_long,
                        load_daily)
 from .q_reshape import CLASSES, _q
@@ -70,9 +71,9 @@ _W_SQL = _windows_sql(CONTEXT, HORIZON)
 LONG_CONTEXT, LONG_HORIZON = 512, 96
 
 
-def gen_windows(spark, base, context=CONTEXT, horizon=HORIZON):
+def gen_windows(spark, base, context=CONTEXT, horizon=HORIZON, daily=None):
     # year buckets with overlapping edges: no task holds a whole series
-    return split.context_windows(gen_daily_long(spark, base), ["series"], "Data", "value", context, horizon,
+    return split.context_windows(gen_daily_long(spark, base) if daily is None else daily, ["series"], "Data", "value", context, horizon,
                                  bucket=F.year("Data"))
 
 
@@ -111,8 +112,8 @@ ex AS (SELECT series, origin, CAST(s AS INTEGER) AS step, CAST(origin + CAST(s A
               value AS predicted FROM fw, range(1, {HORIZON + 1}) t(s))"""
 
 
-def naive_exploded(spark, base):
-    return forecast.explode_forecasts(forecast.naive(gen_windows(spark, base), HORIZON), ["series"])
+def naive_exploded(spark, base, daily=None):
+    return forecast.explode_forecasts(forecast.naive(gen_windows(spark, base, daily=daily), HORIZON), ["series"])
 
 
 @query("forecast_explode", sql=f"""WITH {_EXPLODE_SQL}
@@ -137,8 +138,9 @@ j AS (SELECT om.series, om.Data, dd.value AS actual, om.predicted FROM om JOIN d
 SELECT series, last_day(Data) AS Data, {R('AVG(actual)', 6)} AS actual, {R('AVG(predicted)', 6)} AS predicted
 FROM j GROUP BY ALL""")
 def forecast_naive(spark, base):
-    om = forecast.overlap_mean(naive_exploded(spark, base), ["series"])
-    actual = gen_daily_long(spark, base).withColumnRenamed("value", "actual")
+    daily = materialize(gen_daily_long(spark, base))            # one pass over the facts
+    om = forecast.overlap_mean(naive_exploded(spark, base, daily), ["series"])
+    actual = daily.withColumnRenamed("value", "actual")
     a, p = align.restrict_to_common(actual, om, "Data")
     j = p.join(a, ["series", "Data"])
     m = evaluate.month_mean(j, ["series"], "Data", ["actual", "predicted"])
@@ -270,8 +272,9 @@ _R2 = ("CASE WHEN VAR_POP(actual) * COUNT(*) > 0 THEN 1 - SUM((actual - predicte
        "WHEN SUM((actual - predicted) ^ 2) = 0 THEN 1.0 ELSE 0.0 END")
 
 
-def monthly_naive(spark, base):
-    return evaluate.month_mean(scored_daily(spark, base).withColumnRenamed("naive", "predicted"),
+def monthly_naive(spark, base, scored=None):
+    scored = scored_daily(spark, base) if scored is None else scored
+    return evaluate.month_mean(scored.withColumnRenamed("naive", "predicted"),
                                ["series"], "Data", ["actual", "predicted"])
 
 
@@ -299,9 +302,9 @@ me AS (SELECT series, {_R2} AS r2 FROM mm WHERE actual IS NOT NULL AND predicted
 SELECT series, n_daily, {R('r2', 6)} AS r2, {R('1 - (1 - r2) * (n_daily - 1) / (n_daily - 1 - 1)', 6)} AS adj_r2
 FROM me JOIN nd USING (series)""")
 def adjusted_r2(spark, base):
-    nd = scored_daily(spark, base).where(F.col("naive").isNotNull()).groupBy("series").agg(
-        F.count("*").alias("n_daily"))
-    m = evaluate.regression_metrics(monthly_naive(spark, base), ["series"], "actual", "predicted").join(nd, "series")
+    sc = materialize(scored_daily(spark, base))                 # one pass over the facts
+    nd = sc.where(F.col("naive").isNotNull()).groupBy("series").agg(F.count("*").alias("n_daily"))
+    m = evaluate.regression_metrics(monthly_naive(spark, base, sc), ["series"], "actual", "predicted").join(nd, "series")
     m = evaluate.with_adjusted_r2(m, "n_daily", 1)
     return m.select("series", "n_daily", rnd("r2", 6).alias("r2"), rnd("adj_r2", 6).alias("adj_r2"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..dims import regions_df
+from ..dims import ENSO_REGIONS, regions_df
 from ..functions import rnd
 from ..operators import regions as REG
 from ..sources import index_text as IT
@@ -154,16 +154,32 @@ def dateline_region(spark, base):
 
 
 # --- PIP-5, GEO-1 wide ----------------------------------------------------------
-def region_table(spark, base, variable="sea_surface_temperature"):
+BOXES = list(ENSO_REGIONS)
+
+
+def region_table(spark, base, variable="sea_surface_temperature", stat="mean"):
+    """One column per box; both halves of the box at the date line are kept."""
     from ..sources.grid import variable_label
-    series = REG.region_stat(grid(spark, base), regions_df(spark), "mean", by="parent")
-    return REG.region_wide(series, variable_label(variable), regions=["NIN 1.2", "NIN 3", "NIN 3.4", "NIN 4"])
+    series = REG.region_stat(grid(spark, base), regions_df(spark), stat)
+    return REG.region_wide(series, variable_label(variable), regions=BOXES)
 
 
-@query("region_table", sql=f"""WITH {GRID_SQL}, m AS (SELECT Data, parent, AVG(value) AS v FROM cells GROUP BY ALL)
-SELECT Data, {', '.join(f'{R(f"MAX(v) FILTER (WHERE parent = {chr(39)}{r}{chr(39)})", 6)} AS "{r}_sst"'
-                        for r in ["NIN 1.2", "NIN 3", "NIN 3.4", "NIN 4"])}
-FROM m GROUP BY Data""")
-def region_table_q(spark, base):
-    w = region_table(spark, base)
+def _region_table_sql(stat):
+    cols = ", ".join(f'{R(f"MAX(v) FILTER (WHERE region = {chr(39)}{r}{chr(39)})", 6)} AS "{r}_sst"' for r in BOXES)
+    return f"""WITH {GRID_SQL}, m AS (SELECT Data, region, {stat}(value) AS v FROM cells GROUP BY ALL)
+SELECT Data, {cols} FROM m GROUP BY Data"""
+
+
+def _region_table_rows(spark, base, stat):
+    w = region_table(spark, base, stat=stat)
     return w.select("Data", *[rnd(F.col(f"`{c}`"), 6).alias(c) for c in w.columns if c != "Data"])
+
+
+@query("region_table", sql=_region_table_sql("AVG"))
+def region_table_q(spark, base):
+    return _region_table_rows(spark, base, "mean")
+
+
+@query("region_table_median", sql=_region_table_sql("MEDIAN"))
+def region_table_median(spark, base):
+    return _region_table_rows(spark, base, "median")
