@@ -197,6 +197,7 @@ def ngram_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 80) -> Da
                                .where("lo <> hi").select("token", "first", "last"))
     entries, entries_path = save(token.join(shared, "token")
                                  .select("token", "sid", "gid", "n", "p", "first", "last").distinct())
+    remove(spark, shared_path)
     members, members_path = save(entries.select("gid", "sid", "n").distinct())
     # round 1: groups against the first and the last group of each shingle
     own = entries.select("token", "gid", "n", "p", "first", "last").distinct()
@@ -210,6 +211,7 @@ def ngram_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 80) -> Da
            .join(lead.select(F.col("gid").alias("gb"), F.col("lead").alias("b")), "gb").select("a", "b"))
     inside = members.join(lead, "gid").where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
     links, links_path = _linked(texts, profiles, one.unionByName(inside).distinct(), k, percent)
+    remove(spark, members_path)
     label, label_path = save(components(links))
     # round 2: whatever shares a shingle across components
     placed = (entries.select("token", "sid", "n", "p").join(label.withColumnRenamed("node", "sid"), "sid", "left")
@@ -218,6 +220,7 @@ def ngram_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 80) -> Da
                              .where("lo <> hi").select("token"))
     bits = usable.groupBy("sid").agg(F.first("bits").alias("bits"))
     placed, placed_path = save(placed.join(mixed, "token").join(bits, "sid"))
+    remove(spark, entries_path, label_path, mixed_path)
     sides = []
     for side in "ab":
         sides.append(placed.select("token", F.col("sid").alias(side), F.col("n").alias(f"n{side}"),
@@ -228,7 +231,7 @@ def ngram_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 80) -> Da
               .select("a", "b").distinct())
     more, more_path = _linked(texts, profiles, across, k, percent)
     label2, _ = save(components(links.unionByName(more)))
-    remove(spark, shared_path, entries_path, members_path, label_path, mixed_path, placed_path, links_path, more_path)
+    remove(spark, placed_path, links_path, more_path)
     return _labelled(profiles, label2)
 
 
