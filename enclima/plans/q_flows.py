@@ -16,6 +16,7 @@ from .registry import CLASS_SQL, GEN_CTE, LOAD_CTE, R, query
 CARGA = [f"CARGA_{s}" for s in SUBS]
 REGION_COLS = [f"{r}_sst" for r in BOXES]
 CAL = ["year", "month", "day", "weekday", "dayofyear", "quarter"]
+HYDRO_COLS = [f"{s}_{m}" for s in SUBS for m in LOAD_MEASURES]
 TARGETS = [c for c in WIDE_COLS if "OTHER" not in c]
 
 
@@ -134,21 +135,28 @@ def indices_table(spark, base):
 
 
 # --- PIP-6 ------------------------------------------------------------------
-def standin_training(spark, base, fit_on="all"):
+def standin_training(spark, base, fit_on="all", hydro=False):
     targets = flows.to_wide(gen_tables(spark, base, hourly=False)["daily_MWmed"], names=WIDE_COLS)
     load = flows.to_wide(ld_tables(spark, base, hourly=False)["daily_MWmed"], names=CARGA)
-    return flows.training_frame(targets, load, [region_table(spark, base)], drop=("OTHER",),
+    others = [region_table(spark, base)]
+    if hydro:
+        others.append(flows.hydrology_daily(S.load_fact(spark, base), "ts", "sub", LOAD_MEASURES, SUBS))
+    return flows.training_frame(targets, load, others, drop=("OTHER",),
                                 after=1994, before=2001, test_size=0.3, fit_on=fit_on)
 
 
-def _training_sql():
+def _training_sql(hydro=False, digits=None):
+    """``digits``: rounding of targets and predictors (None: as the query shows
+    them; otherwise that many decimals everywhere)."""
     gd = _gen_daily_wide_sql()
     gen_part = gd[len("WITH "):gd.index("SELECT Data, ")]
     gcols = ", ".join(f"COALESCE(MAX(a) FILTER (WHERE series = '{c}'), 0) AS {_q(c)}" for c in TARGETS)
-    exog = CARGA + CAL + REGION_COLS
+    others = REGION_COLS + (HYDRO_COLS if hydro else [])
+    exog = CARGA + CAL + others
     z = ", ".join(
-        f"{R(f'({_q(c)} - AVG({_q(c)}) OVER ()) / COALESCE(NULLIF(STDDEV_POP({_q(c)}) OVER (), 0), 1)', 6)} AS {_q(c)}"
+        f"{R(f'({_q(c)} - AVG({_q(c)}) OVER ()) / COALESCE(NULLIF(STDDEV_POP({_q(c)}) OVER (), 0), 1)', digits or 6)} AS {_q(c)}"
         for c in exog)
+    hyd = ", ".join(f"SUM({m}) FILTER (WHERE sub = '{s}') AS {_q(s + '_' + m)}" for s in SUBS for m in LOAD_MEASURES)
     cal = ("CAST(year(Data) AS DOUBLE) AS year, CAST(month(Data) AS DOUBLE) AS month, CAST(day(Data) AS DOUBLE) AS day, "
            "CAST(isodow(Data) - 1 AS DOUBLE) AS weekday, CAST(dayofyear(Data) AS DOUBLE) AS dayofyear, "
            "CAST(quarter(Data) AS DOUBLE) AS quarter")
@@ -161,41 +169,99 @@ gtw AS (SELECT Data, {gcols} FROM dm GROUP BY Data),
 rm AS (SELECT Data, region, AVG(value) AS v FROM r_cells GROUP BY ALL),
 rw AS (SELECT Data, {', '.join(f"MAX(v) FILTER (WHERE region = '{r[:-4]}') AS {_q(r)}" for r in REGION_COLS)}
        FROM rm GROUP BY Data),
+hw AS (SELECT CAST(ts AS DATE) AS Data, {hyd} FROM ld0 GROUP BY 1),
 f0 AS (SELECT gtw.*, {', '.join(f'ldd.{_q(c)}' for c in CARGA)}, {cal},
-              {', '.join(f'rw.{_q(c)}' for c in REGION_COLS)}
-       FROM gtw JOIN ldd USING (Data) JOIN rw USING (Data)
+              {', '.join(_q(c) for c in others)}
+       FROM gtw JOIN ldd USING (Data) JOIN rw USING (Data){' JOIN hw USING (Data)' if hydro else ''}
        WHERE {' AND '.join(f'ldd.{_q(c)} IS NOT NULL' for c in CARGA)}
-         AND {' AND '.join(f'rw.{_q(c)} IS NOT NULL' for c in REGION_COLS)}
+         AND {' AND '.join(f'{_q(c)} IS NOT NULL' for c in others)}
          AND Data >= DATE '1995-01-01' AND Data < DATE '2001-01-01'),
 f1 AS (SELECT *, ROW_NUMBER() OVER (ORDER BY Data) AS rn, COUNT(*) OVER () AS n FROM f0)
-SELECT Data, {', '.join(f'{R(_q(c))} AS {_q(c)}' for c in TARGETS)}, {z},
+SELECT Data, {', '.join(f'{R(_q(c), digits or 4)} AS {_q(c)}' for c in TARGETS)}, {z},
        CASE WHEN rn <= n - CAST(ceil(CAST(0.3 AS DOUBLE) * n) AS BIGINT) THEN 'train' ELSE 'test' END AS split
 FROM f1"""
 
 
-@query("training_frame", sql=_training_sql())
-def training_frame(spark, base):
-    frame, tcols, ecols = standin_training(spark, base)
+def _training_rows(frame, tcols, ecols):
     return frame.select("Data", *[rnd(F.col(f"`{c}`")).alias(c) for c in tcols],
                         *[rnd(F.col(f"`{c}`"), 6).alias(c) for c in ecols], "split")
 
 
-# --- PIP-7, REG-1, CLP-1, EVL-1..3 (rows-only; metrics checked in pytest) --------------
-@query("ols_study")
+@query("training_frame", sql=_training_sql())
+def training_frame(spark, base):
+    return _training_rows(*standin_training(spark, base))
+
+
+@query("training_frame_hydrology", sql=_training_sql(hydro=True))
+def training_frame_hydrology(spark, base):
+    return _training_rows(*standin_training(spark, base, hydro=True))
+
+
+# --- PIP-7, REG-1, CLP-1, EVL-1..3 --------------------------------------------------
+def _ols_ctes(predictors, tag):
+    """Least squares of every target on ``predictors`` over the train rows of
+    ``fr``, solved by Gauss-Jordan elimination of the centred normal equations
+    (a predictor that is constant in the train rows gets no weight), and the
+    scores of the clamped test predictions: ends in a CTE ``sc_{tag}``."""
+    p, m = len(predictors), len(TARGETS)
+    mean = "AVG({0}) FILTER (WHERE split = 'train') OVER ()"
+    xs = ", ".join(f"{_q(c)} - {mean.format(_q(c))}" for c in predictors)
+    ys = ", ".join(_q(c) for c in TARGETS)
+    ms = ", ".join(mean.format(_q(c)) for c in TARGETS)
+    names = ", ".join(f"'{t}'" for t in TARGETS)
+    return f"""
+xy_{tag} AS (SELECT Data, split, [{xs}] AS xs, [{ys}] AS ys, [{ms}] AS ms FROM fr),
+e_{tag} AS (SELECT Data, unnest(range(1, {p + 1})) AS i, unnest(xs) AS v FROM xy_{tag} WHERE split = 'train'),
+y_{tag} AS (SELECT Data, unnest(range(1, {m + 1})) AS t, unnest(ys) - unnest(ms) AS v FROM xy_{tag} WHERE split = 'train'),
+m_{tag} AS (SELECT a.i, b.i AS j, SUM(a.v * b.v) AS v FROM e_{tag} a JOIN e_{tag} b USING (Data) GROUP BY ALL
+  UNION ALL SELECT a.i, {p} + y.t AS j, SUM(a.v * y.v) AS v FROM e_{tag} a JOIN y_{tag} y USING (Data) GROUP BY ALL),
+el_{tag} AS (SELECT 0 AS k, i, j, v FROM m_{tag}
+  UNION ALL SELECT c.k + 1, c.i, c.j, CASE WHEN d.v < 1e-6 THEN CASE WHEN c.i = c.k + 1 THEN 0 ELSE c.v END
+      WHEN c.i = c.k + 1 THEN c.v / d.v ELSE c.v - f.v * r.v / d.v END
+  FROM el_{tag} c JOIN el_{tag} r ON r.i = c.k + 1 AND r.j = c.j JOIN el_{tag} d ON d.i = c.k + 1 AND d.j = c.k + 1
+  JOIN el_{tag} f ON f.i = c.i AND f.j = c.k + 1 WHERE c.k < {p}),
+w_{tag} AS (SELECT j - {p} AS t, list(v ORDER BY i) AS w FROM el_{tag} WHERE k = {p} AND j > {p} GROUP BY 1),
+pr_{tag} AS (SELECT t, last_day(Data) AS Data, ys[t] AS actual, greatest(ms[t] + list_dot_product(xs, w), 0) AS predicted
+  FROM xy_{tag}, w_{tag} WHERE split = 'test'),
+nd_{tag} AS (SELECT t, COUNT(*) AS n_daily FROM pr_{tag} GROUP BY t),
+mo_{tag} AS (SELECT t, Data, AVG(actual) AS actual, AVG(predicted) AS predicted FROM pr_{tag} GROUP BY ALL),
+sc_{tag} AS (SELECT [{names}][t] AS target, n_daily, mse, r2,
+    1 - (1 - r2) * (n_daily - 1) / NULLIF(n_daily - {p} - 1, 0) AS adj_r2
+  FROM (SELECT t, AVG((actual - predicted) ^ 2) AS mse,
+               1 - SUM((actual - predicted) ^ 2) / (VAR_POP(actual) * COUNT(*)) AS r2 FROM mo_{tag} GROUP BY t)
+  JOIN nd_{tag} USING (t))"""
+
+
+def _ols_sql(models):
+    return f"""WITH RECURSIVE fr AS ({_training_sql(digits=12)}),
+{', '.join(_ols_ctes(cols, tag) for tag, cols in models.items())}
+{' UNION ALL '.join(f"SELECT '{tag}' AS model, target, n_daily, {R('r2')} AS r2, {R('adj_r2')} AS adj_r2, "
+                    f"{R('mse', -3)} AS mse FROM sc_{tag}" for tag in models)}"""
+
+
+def _metric_rows(met):
+    return met.select("model", "target", "n_daily", rnd("r2").alias("r2"), rnd("adj_r2").alias("adj_r2"),
+                      rnd("mse", -3).alias("mse"))
+
+
+LOAD_PREDICTORS = CARGA + CAL
+
+
+@query("ols_study", sql=_ols_sql({"ols": LOAD_PREDICTORS + REGION_COLS}))
 def ols_study(spark, base):
     frame, tcols, ecols = standin_training(spark, base)
     met, _, _ = flows.ols_study(frame, tcols, ecols)
-    return met
+    return _metric_rows(met)
 
 
 # --- REG-2 ------------------------------------------------------------------
-@query("ols_ablation")
+@query("ols_ablation", sql=_ols_sql({"ols_load": LOAD_PREDICTORS, "ols_load_sst": LOAD_PREDICTORS + REGION_COLS}))
 def ols_ablation(spark, base):
     frame, tcols, ecols = standin_training(spark, base)
     load_only = [c for c in ecols if c not in REGION_COLS]
     a, _, _ = flows.ols_study(frame, tcols, load_only, model="ols_load")
     b, _, _ = flows.ols_study(frame, tcols, ecols, model="ols_load_sst")
-    return a.unionByName(b)
+    return _metric_rows(a.unionByName(b))
 
 
 # --- REG-3, PIP-8 -------------------------------------------------------------

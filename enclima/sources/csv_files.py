@@ -55,11 +55,12 @@ def _first_line(spark: SparkSession, path: str) -> str:
 
 
 def read_layouts(spark: SparkSession, pattern: str, columns: Sequence[str], sep: str = ";",
-                 rename: Mapping[str, str] | None = None) -> DataFrame:
+                 rename: Mapping[str, str] | None = None, position: str | None = None) -> DataFrame:
     """Read every file matching ``pattern`` keeping ``columns`` by name.
 
     Values stay strings (typing is the caller's choice: strict ``cast`` under
-    ANSI or lenient ``try_cast``); ``_file`` holds the file name."""
+    ANSI or lenient ``try_cast``); ``_file`` holds the file name. ``position``
+    names a column that orders the rows of a file as they stand in it."""
     from concurrent.futures import ThreadPoolExecutor
     files = list_files(spark, pattern)
     # one short read per file (its header line); metadata-sized work, done
@@ -77,7 +78,11 @@ def read_layouts(spark: SparkSession, pattern: str, columns: Sequence[str], sep:
         schema = ", ".join(f"`{h}` string" for h in header)
         df = (spark.read.option("sep", sep).option("header", "true").option("enforceSchema", "false")
                    .schema(schema).csv(paths))
-        parts.append(df.select(*[F.col(f"`{c}`") for c in columns], F.col("_metadata.file_name").alias("_file")))
+        kept = [*[F.col(f"`{c}`") for c in columns], F.col("_metadata.file_name").alias("_file")]
+        if position:        # splits of a file in order, then the rows of a split
+            kept.append(F.struct(F.col("_metadata.file_block_start").alias("split"),
+                                 F.monotonically_increasing_id().alias("row")).alias(position))
+        parts.append(df.select(*kept))
     if not parts:
         raise FileNotFoundError(pattern)
     out = union_by_name(parts)
