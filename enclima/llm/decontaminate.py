@@ -5,17 +5,22 @@ queries. Passages are windows of 2h words, h apart, with h at least the length
 of the longest item of the index, so that an item copied anywhere into a text
 lies within one passage.
 
-* Score: BM25 of an item for the distinct words of a passage, divided by the
-  item's score for its own words. 1 means that all of the item's words occur.
-* Retrieve: items are in blocks of eight of similar length. For the rarer
+* Entries: the whole item, and its question (all but its last sentence) if that
+  has five words or more, each with its own weights.
+* Score: BM25 of an entry for the distinct words of a passage, divided by the
+  entry's score for its own words. 1 means that all of its words occur.
+* Retrieve: entries are in blocks of eight of similar length. For the rarer
   words the index holds each block's largest impact; for the common ones, the
-  most that they can add to any item of the block. A passage's block sums bound
+  most that they can add to any entry of the block. A passage's block sums bound
   its scores, and only blocks whose bound reaches the threshold are scored
-  item by item. All items at or above the threshold are retrieved.
-* Verify: the 5-word shingles of the item's question (all but its last
-  sentence) and answer (its last sentence) are looked up in the passage. A text
-  is contaminated if 0.8 or more of the item's shingles occur, or of those of
-  its question (of five words or more).
+  entry by entry. All entries at or above the threshold are retrieved. An entry
+  whose heaviest words can be missing while 0.8 of its shingles occur has a
+  lower threshold: the least score that such a passage can have.
+* Verify: the 5-word shingles of the item, its question and its answer (its last
+  sentence) are looked up in every passage that retrieves one of its entries. A
+  text is contaminated if in a passage 0.8 or more of the item's shingles occur,
+  or of those of its question (of five words or more). Score and shares are the
+  largest over the passages.
 
 Index statistics come from all items. The index is cut into parts of a bounded
 number of postings (items of similar length together); a part is small enough
@@ -71,31 +76,54 @@ def split_item(text: str) -> tuple[str, str]:
     return (body[:cut + 1], body[cut + 1:]) if cut >= 0 else (body, "")
 
 
-ITEMS = ("item long, item_id long, n_words long, terms array<struct<t:long,tf:long>>, "
+def word_terms(units: np.ndarray, k: int = SHINGLE_WORDS) -> list[dict]:
+    """Distinct words with their count and the number of distinct shingles that hold them."""
+    t, tf = np.unique(units.view(np.int64), return_counts=True)
+    n = np.ones(len(t), np.int64)
+    if len(units) >= k:
+        first = np.unique(W.rolling(units, k), return_index=True)[1]
+        held = np.searchsorted(t, units.view(np.int64)[first[:, None] + np.arange(k)])
+        pair = np.unique(np.arange(len(first))[:, None] * len(t) + held)
+        n = np.bincount(pair % len(t), minlength=len(t))
+    return [{"t": x, "tf": y, "n": z} for x, y, z in zip(t.tolist(), tf.tolist(), n.tolist())]
+
+
+def least_score(weight: np.ndarray, held: np.ndarray, shingles: int) -> float:
+    """Least score of a passage with SIMILARITY of an entry's shingles: a word is
+    missing only if all ``held`` shingles that hold it are, and a missing
+    shingle takes part in the loss of at most SHINGLE_WORDS words."""
+    gone = shingles - int(np.ceil(SIMILARITY * shingles - 1e-9))
+    can = np.flatnonzero(held <= gone)
+    can = can[np.argsort(-weight[can] / held[can], kind="stable")]
+    left = SHINGLE_WORDS * gone - (np.cumsum(held[can]) - held[can])
+    return 1 - float((weight[can] * np.clip(left / held[can], 0, 1)).sum())
+
+
+_TERMS = "array<struct<t:long,tf:long,n:long>>"
+ITEMS = (f"item long, item_id long, n_words long, q_words long, terms {_TERMS}, q_terms {_TERMS}, "
          "question array<long>, answer array<long>, whole array<long>")
 
 
 def _items(batches):
     for batch in batches:
-        out = [[] for _ in range(7)]
+        out = [[] for _ in range(9)]
         for row, item_id, text in zip(*(batch.column(c).to_pylist() for c in ("item", "item_id", "text"))):
             def hashes(s):
                 raw = np.frombuffer(s.encode(), np.uint8)
                 return lower_words(raw, np.array([0]), np.array([len(raw)]))[0]
             units = hashes(text)
-            q, a = split_item(text)
-            t, tf = np.unique(units.view(np.int64), return_counts=True)
-            for col, v in zip(out, (row, item_id, len(units),
-                                    [{"t": x, "tf": y} for x, y in zip(t.tolist(), tf.tolist())],
-                                    word_shingles(hashes(q)).view(np.int64), word_shingles(hashes(a)).view(np.int64),
+            q, a = (hashes(part) for part in split_item(text))
+            asked = SHINGLE_WORDS <= len(q) < len(units)
+            for col, v in zip(out, (row, item_id, len(units), len(q), word_terms(units), word_terms(q) if asked else [],
+                                    word_shingles(q).view(np.int64), word_shingles(a).view(np.int64),
                                     word_shingles(units).view(np.int64))):
                 col.append(v)
         longs = pa.list_(pa.int64())
+        terms = pa.list_(pa.struct([("t", pa.int64()), ("tf", pa.int64()), ("n", pa.int64())]))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in out[:3]]
-            + [pa.array(out[3], pa.list_(pa.struct([("t", pa.int64()), ("tf", pa.int64())])))]
-            + [pa.array(c, longs) for c in out[4:]],
-            ["item", "item_id", "n_words", "terms", "question", "answer", "whole"])
+            [pa.array(c, pa.int64()) for c in out[:4]] + [pa.array(c, terms) for c in out[4:6]]
+            + [pa.array(c, longs) for c in out[6:]],
+            ["item", "item_id", "n_words", "q_words", "terms", "q_terms", "question", "answer", "whole"])
 
 
 class Part:
@@ -103,22 +131,31 @@ class Part:
 
     def __init__(self, items: list[dict], threshold: float):
         items.sort(key=lambda r: (r["n_words"], r["item"]))
-        self.threshold = threshold
         self.ids = [r["item_id"] for r in items]
         self.half = max(16, max(r["n_words"] for r in items))
-        self.terms = [np.array(r["t"], np.int64) for r in items]
-        self.impact = [np.array(r["w"], np.float64) for r in items]
         as_hash = lambda v: np.array(v, np.int64).view(np.uint64)
         self.question, self.answer, self.whole = ([as_hash(r[c]) for r in items] for c in ("question", "answer", "whole"))
+        self.asked = [r["q_words"] >= SHINGLE_WORDS for r in items]
+        # entries: (words, item, postings, shingles)
+        entries = [(r["n_words"], i, r["p"], len(r["whole"])) for i, r in enumerate(items)]
+        entries += [(r["q_words"], i, r["q"], len(r["question"])) for i, r in enumerate(items) if r["q"]]
+        entries.sort(key=lambda e: e[:2])
+        self.owner = [i for _, i, _, _ in entries]
+        self.terms = [np.array([x["t"] for x in p], np.int64) for _, _, p, _ in entries]
+        self.impact = [np.array([x["w"] for x in p], np.float64) for _, _, p, _ in entries]
+        self.need = np.array([min(threshold, least_score(w, np.array([x["n"] for x in p], np.int64), size))
+                              for w, (_, _, p, size) in zip(self.impact, entries)]) - 1e-9
+        self.whole_entry = {i: e for e, (_, i, p, _) in enumerate(entries) if p is items[i]["p"]}
         term, weight = np.concatenate(self.terms), np.concatenate(self.impact)
-        item = np.repeat(np.arange(len(items)), [len(t) for t in self.terms])
+        item = np.repeat(np.arange(len(entries)), [len(t) for t in self.terms])
         self.vocab, t, df = np.unique(term, return_inverse=True, return_counts=True)
-        block, self.n_blocks = item // BLOCK, (len(items) + BLOCK - 1) // BLOCK
-        common = df[t] > max(4, COMMON_SHARE * len(items))
-        # the most that common words add to an item, per block
-        rest = np.bincount(item[common], weights=weight[common], minlength=len(items))
+        block, self.n_blocks = item // BLOCK, (len(entries) + BLOCK - 1) // BLOCK
+        common = df[t] > max(4, COMMON_SHARE * len(entries))
+        self.block_need = np.minimum.reduceat(self.need, np.arange(0, len(entries), BLOCK))
+        # the most that common words add to an entry, per block
+        rest = np.bincount(item[common], weights=weight[common], minlength=len(entries))
         self.rest = np.zeros(self.n_blocks)
-        np.maximum.at(self.rest, np.arange(len(items)) // BLOCK, rest)
+        np.maximum.at(self.rest, np.arange(len(entries)) // BLOCK, rest)
         # block-max postings of the rarer words, by term
         key = t[~common].astype(np.int64) * self.n_blocks + block[~common]
         cells, where = np.unique(key, return_inverse=True)
@@ -154,7 +191,7 @@ class Part:
             rows = min(step, len(names) - i * step)
             bound = np.bincount((cell_p[a:b] - i * step) * self.n_blocks + cell_b[a:b], weights=cell_w[a:b],
                                 minlength=rows * self.n_blocks).reshape(rows, self.n_blocks) + self.rest
-            for p, blk in np.argwhere(bound >= self.threshold - 1e-9):
+            for p, blk in np.argwhere(bound >= self.block_need):
                 out.append((int(names[i * step + p]), int(blk)))
         owner = np.searchsorted(base - 1, [p for p, _ in out], side="right") - 1
         found = []
@@ -166,25 +203,24 @@ class Part:
     def hits(self, units, lo, hi):
         """Verified hits per text: {text: {item position: values}}."""
         out: dict[int, dict[int, tuple]] = {}
-        last, seen, grams = None, None, None
+        last, seen, grams, done = None, None, {}, set()
         for d, a, z, blk in self.candidates(units, lo, hi):
             if (d, a) != last:
-                last, seen, grams = (d, a), np.unique(units[a:z].view(np.int64)), None
-            for i in range(blk * BLOCK, min(len(self.ids), blk * BLOCK + BLOCK)):
-                score = float(self.impact[i][np.isin(self.terms[i], seen)].sum())
-                if score < self.threshold - 1e-9:
+                last, seen, grams, done = (d, a), np.unique(units[a:z].view(np.int64)), {}, set()
+            for e in range(blk * BLOCK, min(len(self.owner), blk * BLOCK + BLOCK)):
+                i = self.owner[e]
+                if i in done or self._score(e, seen) < self.need[e]:
                     continue
-                if grams is None:
-                    grams = {}
-                full = self._share(self.whole[i], units[a:z], grams)
-                q = self._share(self.question[i], units[a:z], grams)
-                ans = self._share(self.answer[i], units[a:z], grams)
-                old = out.setdefault(d, {}).get(i)
-                new = (score, q, ans, full)
-                if old is None or new[3] > old[3]:
-                    out[d][i] = new
+                done.add(i)
+                new = (self._score(self.whole_entry[i], seen),
+                       *(self._share(s[i], units[a:z], grams) for s in (self.question, self.answer, self.whole)))
+                old = out.setdefault(d, {}).get(i, new)
+                out[d][i] = tuple(map(max, old, new))
         return out
 
+    def _score(self, entry: int, seen: np.ndarray) -> float:
+        return float(self.impact[entry][np.isin(self.terms[entry], seen)].sum())
+
     @staticmethod
     def _share(want: np.ndarray, units: np.ndarray, grams: dict) -> float:
         if not len(want):
@@ -204,8 +240,7 @@ def _scan(batches, parts, column: str, names: list[str]):
             for p in parts.value:
                 for d, items in p.hits(units, lo, hi).items():
                     for i, (score, q, a, full) in sorted(items.items()):
-                        asked = len(p.question[i]) > 1 or len(p.whole[i]) == len(p.question[i])
-                        if full >= SIMILARITY or (asked and q >= SIMILARITY):
+                        if full >= SIMILARITY or (p.asked[i] and q >= SIMILARITY):
                             found[d] = [*found[d], {"item_id": p.ids[i], "score": round(score, 6), "question": round(q, 6),
                                                     "answer": round(a, 6), "overlap": round(full, 6)}]
             yield pa.RecordBatch.from_arrays(
@@ -213,8 +248,9 @@ def _scan(batches, parts, column: str, names: list[str]):
 
 
 def index_table(benchmark: DataFrame) -> DataFrame | None:
-    """The index as a table (part, item, item_id, n_words, t, w, question,
-    answer, whole), one row per item; None without items."""
+    """The index as a table (part, item, item_id, n_words, q_words, p, q,
+    question, answer, whole), one row per item; p and q are the postings (word,
+    weight, shingles) of the item and of its question. None without items."""
     items, _ = save(
         benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"),
                          F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -223,17 +259,19 @@ def index_table(benchmark: DataFrame) -> DataFrame | None:
     n, avg = items.agg(F.count("*"), F.avg("n_words")).first()
     if not n:
         return None
-    post = items.select("item", "n_words", F.explode("terms").alias("x")).select("item", "n_words", "x.*")
-    df = post.groupBy("t").agg(F.count("*").alias("df"))
+    df = items.select(F.explode("terms.t").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     impact = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_words") / F.lit(avg)))
-    lists = (post.join(df, "t").withColumn("w", impact).groupBy("item")
-             .agg(F.sort_array(F.collect_list(F.struct("t", "w"))).alias("p"), F.sum("w").alias("own")))
-    table = (items.drop("terms").join(lists, "item")
-             .withColumns({"t": F.col("p.t"), "w": F.transform("p.w", lambda w: w / F.col("own"))}).drop("p", "own"))
+    table = items.drop("terms", "q_terms")
+    for name, terms, length in (("p", "terms", "n_words"), ("q", "q_terms", "q_words")):
+        post = items.select("item", F.col(length).alias("n_words"), F.explode(terms).alias("x")).select("item", "n_words", "x.*")
+        lists = (post.join(df, "t").withColumn("w", impact).groupBy("item")
+                 .agg(F.sort_array(F.collect_list(F.struct("t", "w", "n"))).alias(name), F.sum("w").alias("own")))
+        share = F.transform(name, lambda x: F.struct(x["t"].alias("t"), (x["w"] / F.col("own")).alias("w"), x["n"].alias("n")))
+        table = table.join(lists, "item", "left").withColumn(name, share).drop("own")
     # parts: items of one length band, dealt by hash to enough buckets
     band = F.floor(F.log2(F.col("n_words").cast("double")))
-    size = table.withColumn("band", band).groupBy("band").agg(F.sum(F.size("t")).alias("postings"))
+    size = table.withColumn("band", band).groupBy("band").agg(F.sum(F.size("p") + F.coalesce(F.size("q"), F.lit(0))).alias("postings"))
     buckets = F.greatest(F.lit(1), F.ceil(F.col("postings") / F.lit(PART_POSTINGS))).cast("int")
     out, _ = save(table.withColumn("band", band).join(size.withColumn("buckets", buckets), "band")
                   .withColumn("part", F.struct("band", F.pmod(F.xxhash64("item"), F.col("buckets")).alias("bucket")))

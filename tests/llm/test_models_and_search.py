@@ -64,6 +64,37 @@ def test_block_max_bound_loses_no_passage(spark):
     assert len(word_shingles(np.arange(3, dtype=np.uint64))) == 1 and split_item("A b. C d.") == ("A b.", " C d.")
 
 
+def test_question_only_copies_are_found(spark, documents):
+    """A copy of the question alone is a leak, however heavy the answer's words
+    are, and a passage with more of the whole item does not hide it."""
+    table = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    asked = {r.item_id: split_item(r.text)[0] for r in table.collect()}
+    asked = {i: q for i, q in asked.items() if len(brute.words(q)) >= 5}
+    filler = " ".join(f"zz{i}" for i in range(300))
+    rows = documents([(i, f"{filler} {q} {filler}") for i, q in asked.items()])
+    got = {r.doc_id: {h.item_id for h in r.hits if h.question == 1} for r in decontaminate(rows, table).collect()}
+    assert len(got) > 150 and all(i in found for i, found in got.items())
+
+    question, answer = "one two three four five.", " ".join(f"a{i}" for i in range(40))
+    common = " ".join(["same words again and again"] * 3 + [f"w{i}" for i in range(60)])
+    own = spark.createDataFrame([(1, f"{question} {answer}"), (2, f"{common} rare{0}")] +
+                                [(i, common + f" other{i}. yes") for i in range(3, 30)], "item_id long, text string")
+    rows = documents([(1, f"{question} {filler} {answer} {filler}"), (2, question), (3, answer.replace("a39", "b"))])
+    found = {r.doc_id: {h.item_id: h for h in r.hits} for r in decontaminate(rows, own).collect()}
+    assert found[1][1].question == found[2][1].question == 1 and found[1][1].overlap >= 0.8
+    assert set(found[3]) == {1}
+
+
+def test_heavy_words_missing_from_a_leaked_item(spark, documents):
+    """0.8 of an item's shingles occur, but less than half of its weight."""
+    usual = " ".join(f"u{i}" for i in range(60))
+    bench = [(0, f"{usual} h1 h2 h3 h4 h5 h6 h7 h8 h9 h10 h11")] + [(i, f"{usual} x{i}") for i in range(1, 400)]
+    rows = documents([(1, usual)])
+    hits = decontaminate(rows, spark.createDataFrame(bench, "item_id long, text string")).first().hits
+    item = [h for h in hits if h.item_id == 0]
+    assert item and item[0].overlap >= 0.8 and item[0].score < 0.5
+
+
 def test_embedding_links_match_brute_force(spark):
     rnd = np.random.default_rng(2)
     base = rnd.normal(size=(700, 24))
