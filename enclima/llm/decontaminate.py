@@ -10,22 +10,24 @@ lies within one passage.
 * Score: BM25 of an entry for the distinct words of a passage, divided by the
   entry's score for its own words. 1 means that all of its words occur.
 * Retrieve: entries are in blocks of eight of similar length. For the rarer
-  words the index holds each block's largest impact; for the common ones, the
-  most that they can add to any entry of the block. A passage's block sums bound
-  its scores, and only blocks whose bound reaches the threshold are scored
-  entry by entry. All entries at or above the threshold are retrieved. An entry
-  whose heaviest words can be missing while 0.8 of its shingles occur has a
-  lower threshold: the least score that such a passage can have.
+  words the index holds each block's largest impact as postings, for the common
+  ones as a table of words and blocks. A passage's block sums bound its scores
+  (every passage with a word of the index has some), and only blocks whose bound
+  reaches the threshold are scored entry by entry. All entries at or above the
+  threshold are retrieved. An entry whose heaviest words can be missing while
+  0.8 of its shingles occur has a lower threshold: the least score that such a
+  passage can have.
 * Verify: the 5-word shingles of the item, its question and its answer (its last
   sentence) are looked up in every passage that retrieves one of its entries. A
   text is contaminated if in a passage 0.8 or more of the item's shingles occur,
   or of those of its question (of five words or more). Score and shares are the
   largest over the passages.
 
-Index statistics come from all items. The index is cut into parts of a bounded
-number of postings (items of similar length together); a part is small enough
-to be sent to all tasks, and texts pass through the parts in groups of
-``PARTS_AT_ONCE``, row by row, without a shuffle.
+Index statistics come from all items; equal items are held once, with all their
+ids. The index is cut into parts of a bounded number of postings (items of
+similar length together); a part is small enough to be sent to all tasks, and
+texts pass through the parts in groups of ``PARTS_AT_ONCE``, row by row, without
+a shuffle.
 
 Edge cases: null and empty texts and items match nothing; an item of fewer
 than 5 words is one shingle; repeated items are all reported; with an empty
@@ -100,13 +102,13 @@ def least_score(weight: np.ndarray, held: np.ndarray, shingles: int) -> float:
 
 
 _TERMS = "array<struct<t:long,tf:long,n:long>>"
-ITEMS = (f"item long, item_id long, n_words long, q_words long, terms {_TERMS}, q_terms {_TERMS}, "
+ITEMS = (f"item long, item_id long, same binary, n_words long, q_words long, terms {_TERMS}, q_terms {_TERMS}, "
          "question array<long>, answer array<long>, whole array<long>")
 
 
 def _items(batches):
     for batch in batches:
-        out = [[] for _ in range(9)]
+        out = [[] for _ in range(10)]
         for row, item_id, text in zip(*(batch.column(c).to_pylist() for c in ("item", "item_id", "text"))):
             def hashes(s):
                 raw = np.frombuffer(s.encode(), np.uint8)
@@ -114,16 +116,18 @@ def _items(batches):
             units = hashes(text)
             q, a = (hashes(part) for part in split_item(text))
             asked = SHINGLE_WORDS <= len(q) < len(units)
-            for col, v in zip(out, (row, item_id, len(units), len(q), word_terms(units), word_terms(q) if asked else [],
+            for col, v in zip(out, (row, item_id, units.tobytes() + len(q).to_bytes(8),
+                                    len(units), len(q), word_terms(units), word_terms(q) if asked else [],
                                     word_shingles(q).view(np.int64), word_shingles(a).view(np.int64),
                                     word_shingles(units).view(np.int64))):
                 col.append(v)
         longs = pa.list_(pa.int64())
         terms = pa.list_(pa.struct([("t", pa.int64()), ("tf", pa.int64()), ("n", pa.int64())]))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in out[:4]] + [pa.array(c, terms) for c in out[4:6]]
-            + [pa.array(c, longs) for c in out[6:]],
-            ["item", "item_id", "n_words", "q_words", "terms", "q_terms", "question", "answer", "whole"])
+            [pa.array(c, pa.int64()) for c in out[:2]] + [pa.array(out[2], pa.binary())]
+            + [pa.array(c, pa.int64()) for c in out[3:5]] + [pa.array(c, terms) for c in out[5:7]]
+            + [pa.array(c, longs) for c in out[7:]],
+            ["item", "item_id", "same", "n_words", "q_words", "terms", "q_terms", "question", "answer", "whole"])
 
 
 class Part:
@@ -131,7 +135,7 @@ class Part:
 
     def __init__(self, items: list[dict], threshold: float):
         items.sort(key=lambda r: (r["n_words"], r["item"]))
-        self.ids = [r["item_id"] for r in items]
+        self.ids = [r["item_ids"] for r in items]
         self.half = max(16, max(r["n_words"] for r in items))
         as_hash = lambda v: np.array(v, np.int64).view(np.uint64)
         self.question, self.answer, self.whole = ([as_hash(r[c]) for r in items] for c in ("question", "answer", "whole"))
@@ -149,13 +153,17 @@ class Part:
         term, weight = np.concatenate(self.terms), np.concatenate(self.impact)
         item = np.repeat(np.arange(len(entries)), [len(t) for t in self.terms])
         self.vocab, t, df = np.unique(term, return_inverse=True, return_counts=True)
+        self.word, self.weight = t, weight
+        self.start = np.cumsum([0] + [len(t) for t in self.terms])
         block, self.n_blocks = item // BLOCK, (len(entries) + BLOCK - 1) // BLOCK
         common = df[t] > max(4, COMMON_SHARE * len(entries))
         self.block_need = np.minimum.reduceat(self.need, np.arange(0, len(entries), BLOCK))
-        # the most that common words add to an entry, per block
-        rest = np.bincount(item[common], weights=weight[common], minlength=len(entries))
-        self.rest = np.zeros(self.n_blocks)
-        np.maximum.at(self.rest, np.arange(len(entries)) // BLOCK, rest)
+        # block maxima of the common words, at most two cells per posting
+        words = np.unique(t[common])
+        self.column = np.full(len(self.vocab), -1)
+        self.column[words] = np.arange(len(words))
+        self.rest = np.zeros((len(words), self.n_blocks))
+        np.maximum.at(self.rest, (self.column[t[common]], block[common]), weight[common])
         # block-max postings of the rarer words, by term
         key = t[~common].astype(np.int64) * self.n_blocks + block[~common]
         cells, where = np.unique(key, return_inverse=True)
@@ -163,14 +171,13 @@ class Part:
         np.maximum.at(top, where, weight[~common])
         self.block, self.top = cells % self.n_blocks, top
         self.begin = np.searchsorted(cells // self.n_blocks, np.arange(len(self.vocab) + 1))
-        self.rare = np.diff(self.begin) > 0
 
     def candidates(self, units, lo, hi):
         """(text, first word, past-the-last word, block) of passages whose bound
         reaches the threshold."""
         at = np.searchsorted(self.vocab, units.view(np.int64))
         at = np.minimum(at, len(self.vocab) - 1)
-        known = np.flatnonzero((self.vocab[at] == units.view(np.int64)) & self.rare[at])
+        known = np.flatnonzero(self.vocab[at] == units.view(np.int64))
         if not len(known):
             return []
         text = np.searchsorted(hi, known, side="right")          # texts without words are skipped by hi
@@ -180,19 +187,22 @@ class Part:
         size = len(self.vocab)
         pair = np.unique(np.concatenate([chunk * size + at[known], (chunk - 1) * size + at[known]]))
         passage, term = pair // size, pair % size
-        count = self.begin[term + 1] - self.begin[term]
-        n = int(count.sum())
-        post = np.repeat(self.begin[term], count) + np.arange(n) - np.repeat(np.cumsum(count) - count, count)
-        names, dense = np.unique(np.repeat(passage, count), return_inverse=True)
-        out, step = [], max(1, 4_000_000 // self.n_blocks)
-        cell_p, cell_b, cell_w = dense, self.block[post], self.top[post]
-        edges = np.searchsorted(cell_p, np.arange(0, len(names) + step, step))
+        names, dense = np.unique(passage, return_inverse=True)
+        out, step = [], max(1, 4_000_000 // max(self.n_blocks, len(self.rest)))
+        edges = np.searchsorted(dense, np.arange(0, len(names) + step, step))
         for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            rows = min(step, len(names) - i * step)
-            bound = np.bincount((cell_p[a:b] - i * step) * self.n_blocks + cell_b[a:b], weights=cell_w[a:b],
-                                minlength=rows * self.n_blocks).reshape(rows, self.n_blocks) + self.rest
-            for p, blk in np.argwhere(bound >= self.block_need):
-                out.append((int(names[i * step + p]), int(blk)))
+            rows, row, word = min(step, len(names) - i * step), dense[a:b] - i * step, term[a:b]
+            usual = self.column[word] >= 0
+            has = np.zeros((rows, len(self.rest)))
+            has[row[usual], self.column[word[usual]]] = 1
+            row, word = row[~usual], word[~usual]
+            count = self.begin[word + 1] - self.begin[word]
+            post = np.repeat(self.begin[word] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            bound = has @ self.rest + np.bincount(
+                np.repeat(row, count) * self.n_blocks + self.block[post], weights=self.top[post],
+                minlength=rows * self.n_blocks).reshape(rows, self.n_blocks)
+            for p, blk in np.argwhere(bound >= self.block_need).tolist():
+                out.append((int(names[i * step + p]), blk))
         owner = np.searchsorted(base - 1, [p for p, _ in out], side="right") - 1
         found = []
         for (p, blk), d in zip(out, owner.tolist()):
@@ -203,23 +213,33 @@ class Part:
     def hits(self, units, lo, hi):
         """Verified hits per text: {text: {item position: values}}."""
         out: dict[int, dict[int, tuple]] = {}
-        last, seen, grams, done = None, None, {}, set()
+        last, grams, done = None, {}, set()
+        at = np.minimum(np.searchsorted(self.vocab, units.view(np.int64)), len(self.vocab) - 1)
+        at[self.vocab[at] != units.view(np.int64)] = len(self.vocab)
+        seen, inside = np.zeros(len(self.vocab) + 1, bool), at[:0]
         for d, a, z, blk in self.candidates(units, lo, hi):
             if (d, a) != last:
-                last, seen, grams, done = (d, a), np.unique(units[a:z].view(np.int64)), {}, set()
-            for e in range(blk * BLOCK, min(len(self.owner), blk * BLOCK + BLOCK)):
+                seen[inside] = False
+                last, inside, grams, done = (d, a), at[a:z], {}, set()
+                seen[inside] = True
+                seen[-1] = False
+            e0, e1 = blk * BLOCK, min(len(self.owner), blk * BLOCK + BLOCK)
+            for e in (e0 + np.flatnonzero(self._scores(e0, e1, seen) >= self.need[e0:e1])).tolist():
                 i = self.owner[e]
-                if i in done or self._score(e, seen) < self.need[e]:
+                if i in done:
                     continue
                 done.add(i)
-                new = (self._score(self.whole_entry[i], seen),
+                own = self.whole_entry[i]
+                new = (float(self._scores(own, own + 1, seen)[0]),
                        *(self._share(s[i], units[a:z], grams) for s in (self.question, self.answer, self.whole)))
                 old = out.setdefault(d, {}).get(i, new)
                 out[d][i] = tuple(map(max, old, new))
         return out
 
-    def _score(self, entry: int, seen: np.ndarray) -> float:
-        return float(self.impact[entry][np.isin(self.terms[entry], seen)].sum())
+    def _scores(self, first: int, end: int, seen: np.ndarray) -> np.ndarray:
+        """Scores of the entries first..end - 1; ``seen`` marks the passage's words."""
+        a, z = self.start[first], self.start[end]
+        return np.add.reduceat(self.weight[a:z] * seen[self.word[a:z]], self.start[first:end] - a)
 
     @staticmethod
     def _share(want: np.ndarray, units: np.ndarray, grams: dict) -> float:
@@ -241,15 +261,15 @@ def _scan(batches, parts, column: str, names: list[str]):
                 for d, items in p.hits(units, lo, hi).items():
                     for i, (score, q, a, full) in sorted(items.items()):
                         if full >= SIMILARITY or (p.asked[i] and q >= SIMILARITY):
-                            found[d] = [*found[d], {"item_id": p.ids[i], "score": round(score, 6), "question": round(q, 6),
-                                                    "answer": round(a, 6), "overlap": round(full, 6)}]
+                            found[d] = [*found[d], *({"item_id": x, "score": round(score, 6), "question": round(q, 6),
+                                                      "answer": round(a, 6), "overlap": round(full, 6)} for x in p.ids[i])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, _HIT) if c == column else part.column(c) for c in names], names)
 
 
 def index_table(benchmark: DataFrame) -> DataFrame | None:
-    """The index as a table (part, item, item_id, n_words, q_words, p, q,
-    question, answer, whole), one row per item; p and q are the postings (word,
+    """The index as a table (part, item, item_ids, n_words, q_words, p, q,
+    question, answer, whole), one row per distinct item; p and q are the postings (word,
     weight, shingles) of the item and of its question. None without items."""
     items, _ = save(
         benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"),
@@ -262,6 +282,10 @@ def index_table(benchmark: DataFrame) -> DataFrame | None:
     df = items.select(F.explode("terms.t").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     impact = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_words") / F.lit(avg)))
+    # equal items are one entry with all ids
+    ids = items.groupBy("same").agg(F.min("item").alias("item"), F.array_sort(F.collect_list(F.struct("item_id"))).alias("ids"))
+    ids = ids.select("item", F.col("ids.item_id").alias("item_ids"))
+    items, _ = save(items.drop("same", "item_id").join(ids, "item"))
     table = items.drop("terms", "q_terms")
     for name, terms, length in (("p", "terms", "n_words"), ("q", "q_terms", "q_words")):
         post = items.select("item", F.col(length).alias("n_words"), F.explode(terms).alias("x")).select("item", "n_words", "x.*")

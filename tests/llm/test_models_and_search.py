@@ -95,6 +95,25 @@ def test_heavy_words_missing_from_a_leaked_item(spark, documents):
     assert item and item[0].overlap >= 0.8 and item[0].score < 0.5
 
 
+def test_repeated_items_stay_findable(spark, documents):
+    """Benchmarks of repeated items only, and one item in a third of the rows."""
+    own = [b for b in items(8, seed=9).values() if len(brute.words(b)) >= 8]
+    other = [b for b in items(60, seed=10).values()]
+    for bench in ([own[0]] * 5, [b for b in own for _ in range(6)], [own[0]] * 30 + other,
+                  [f"{b}{' ' * j}".replace(" ", "  " if j % 2 else " ") for b in own for j in range(6)]):
+        table = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+        docs = dict(enumerate(sorted(set(bench))))
+        got = {r.doc_id: {h.item_id for h in r.hits} for r in decontaminate(documents(docs.items()), table).collect()}
+        for d, text in docs.items():
+            assert {i for i, b in enumerate(bench) if brute.words(b) == brute.words(text)} <= got[d]
+    # all words common, no two items equal
+    words = [f"c{i}" for i in range(30)]
+    bench = [" ".join(random.Random(i).sample(words, 30)) for i in range(6)]
+    table = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
+    got = {r.doc_id: {h.item_id for h in r.hits} for r in decontaminate(documents(enumerate(bench)), table).collect()}
+    assert got == {i: {i} for i in range(6)}
+
+
 def test_embedding_links_match_brute_force(spark):
     rnd = np.random.default_rng(2)
     base = rnd.normal(size=(700, 24))
