@@ -46,10 +46,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of linked texts: the smallest doc_id
     (of several rows with that id, the one with the smallest hash of id and
-    text; wholly equal rows once). Rows without words and rows with a null
+    text; wholly equal rows once). Texts of one doc_id that are not linked are
+    in groups of their own, so that none goes without a copy kept. Rows without words and rows with a null
     doc_id are linked with nothing and stay."""
     found = ngram_join(docs.select("doc_id", "text")).where("component_id IS NOT NULL AND set_id IS NOT NULL")
-    lead = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("lead")).select(
+    lead = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("lead")).select(
         F.col("lead.doc_id").alias("lead_id"), F.col("lead.key").alias("lead_key"))
     lead, _ = save(lead)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

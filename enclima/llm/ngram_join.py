@@ -26,7 +26,8 @@ Edge cases: null and empty texts, and texts of separators only, have empty
 sets and link with nothing; fewer than 5 words make one shingle of the whole
 sequence; rows with a null doc_id are sized but link with nothing (component
 null); rows that share a doc_id are separate sets of one document: they carry
-one component.
+one component, and what is linked with any of them carries it too. ``root``
+tells the texts apart: it is equal for sets joined by links of texts alone.
 """
 
 from __future__ import annotations
@@ -184,8 +185,9 @@ def _linked(texts: DataFrame, profiles: DataFrame, pairs: DataFrame, k: int, per
 
 def ngram_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, key (hash of id and text),
-    n_shingles, set_id (equal for equal sets), component_id (smallest doc_id
-    reachable by links)."""
+    n_shingles, set_id (equal for equal sets), root (equal for sets joined by
+    links), component_id (smallest doc_id reachable by links and by texts of
+    one doc_id)."""
     spark, texts = docs.sparkSession, keyed_texts(docs)
     sketch = spark.sparkContext.broadcast(count_sketch(texts, k))
     profiles, _ = save(texts.mapInArrow(functools.partial(_profiles, k=k, percent=percent, sketch=sketch), PROFILE))
@@ -232,15 +234,33 @@ def ngram_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 80) -> Da
     more, more_path = _linked(texts, profiles, across, k, percent)
     label2, _ = save(components(links.unionByName(more)))
     remove(spark, placed_path, links_path, more_path)
-    return _labelled(profiles, label2)
-
-
-def _labelled(profiles: DataFrame, label: DataFrame) -> DataFrame:
-    """Component ids: sets of one document id count as one document."""
-    node = (profiles.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"))
-            .join(label.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
-            .withColumn("root", F.coalesce("root", "set_id")))
-    least = node.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return (node.join(least, "root", "left")
-            .select("doc_id", "key", "n_shingles", "set_id",
+    # the sets of one doc_id: the first against the others
+    owned = usable.select("doc_id", "sid")
+    first = (owned.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("last")).where("a <> last")
+             .select("doc_id", "a"))
+    own, own_path = save(owned.join(first, "doc_id").where("sid <> a").select("a", F.col("sid").alias("b")).distinct())
+    joined = None
+    if not own.isEmpty():
+        joined, _ = save(components(label2.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(own)))
+    remove(spark, own_path)
+    return _labelled(profiles, label2, joined)
+
+
+def _labelled(profiles: DataFrame, label: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """Roots by links (``label``), and component ids by links and by sets of one
+    document id (``joined``, if an id has several sets); a row without words goes with its document."""
+    rows = profiles.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"))
+    empty, full = rows.where("set_id IS NULL"), rows.where("set_id IS NOT NULL")
+    home = (full.join(empty.select("doc_id").distinct(), "doc_id").groupBy("doc_id").agg(F.min("set_id").alias("at")))
+    rows = (full.withColumn("at", F.col("set_id"))
+            .unionByName(empty.join(home, "doc_id", "left").select(*rows.columns, "at")))
+    node = (rows.join(label.select(F.col("node").alias("at"), "root"), "at", "left")
+            .withColumn("whole", F.coalesce("root", "at")))
+    if joined is not None:
+        node = (node.drop("whole").join(joined.select(F.col("node").alias("at"), F.col("root").alias("whole")), "at", "left")
+                .withColumn("whole", F.coalesce("whole", "at")))
+    node = node.withColumn("root", F.when(F.col("set_id").isNotNull(), F.coalesce("root", "set_id")))
+    least = node.where("whole IS NOT NULL").groupBy("whole").agg(F.min("doc_id").alias("least"))
+    return (node.join(least, "whole", "left")
+            .select("doc_id", "key", "n_shingles", "set_id", "root",
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")))

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from enclima.llm.ngram_join import ngram_join
 from enclima.llm.substring_dedup import substring_dedup
 from enclima.llm.suffix_dedup import suffix_dedup
@@ -74,6 +75,20 @@ def test_empty_repeated_and_extra_columns(spark, documents, op):
         assert {r.doc_id: r.component_id for r in out} == {1: 1, 2: 1, 3: 3, None: None}
 
 
+def test_texts_under_one_id(spark, documents):
+    """Two texts of one document, each with a near copy of its own."""
+    rnd = random.Random(8)
+    a, b, c, d = (" ".join(f"{x}{rnd.randrange(10**6)}" for _ in range(80)) for x in "abcd")
+    rows = [(5, a), (5, b), (5, ""), (3, b + " end"), (9, a + " end"), (7, c), (8, d), (8, c[::-1]), (None, a)]
+    got = {(r.doc_id, r.n_shingles): r for r in ngram_join(documents(rows)).collect()}
+    assert {k: r.component_id for k, r in got.items() if k[0] is not None} == {
+        (5, 76): 3, (5, 0): 3, (3, 77): 3, (9, 77): 3, (7, 76): 7, (8, 76): 8}
+    assert got[3, 77].root != got[9, 77].root
+    kept = corpus_pipeline.near_duplicates(spark, documents(rows), "")
+    assert sorted((r.doc_id, r.text) for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(
+        [(5, a), (3, b + " end"), (5, ""), (7, c), (8, d), (8, c[::-1])])
+
+
 def test_components_of_a_chain_and_a_star(spark):
     from enclima.llm.common import components
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(300, 360)] + [(5, 5)]
