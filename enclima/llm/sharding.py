@@ -15,7 +15,8 @@ a bucket is continued by overflow pages. Rows are dealt to pages by a running
 byte sum; the sum is taken first per slice of the bucket's rows (a second hash
 over the row), then over the slices, so no page needs the whole bucket in one
 task unless its rows are wholly equal; equal rows are counted and their pages
-computed from the count.
+computed from the count. Even pages hold the rows within one limit's length of
+the running sum, odd pages the row that straddles two; oversized rows come last.
 
 Only DataFrame and SQL functions are used. Edge cases: a single document over
 the limit is a shard of its own, flagged ``oversized``; a null or empty text
@@ -128,19 +129,24 @@ def _pages(full: DataFrame, max_bytes: int) -> DataFrame:
     """Overflow pages of buckets whose rows all have one hash."""
     keys = ["h", "doc_id", "n_bytes", "row"]
     equal = full.groupBy(*keys).agg(F.count("*").alias("k"))
-    per = F.greatest(F.lit(1), F.floor(F.lit(max_bytes) / F.greatest(F.col("n_bytes"), F.lit(1)))).cast("long")
-    equal = equal.withColumns({"per": per, "need": F.ceil(F.col("k") / per).cast("long")})
-    # pages of a bucket: first by slices of the second hash, then within a slice
-    slice_of = F.pmod("row", F.lit(1024))
-    equal = equal.withColumn("slice", slice_of)
-    base = (equal.groupBy("h", "slice").agg(F.sum("need").alias("need"))
-            .withColumn("before", F.coalesce(F.sum("need").over(
-                Window.partitionBy("h").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            .drop("need"))
+    big = F.col("n_bytes") > max_bytes
+    equal = equal.withColumns({"sum": F.when(big, F.lit(0)).otherwise(F.col("k") * F.col("n_bytes")),
+                               "alone": F.when(big, F.col("k")).otherwise(F.lit(0))})
+    # bytes before a row: first by slices of the second hash, then within a slice
+    equal = equal.withColumn("slice", F.pmod("row", F.lit(1024)))
+    earlier = Window.partitionBy("h").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = (equal.groupBy("h", "slice").agg(F.sum("sum").alias("sum"), F.sum("alone").alias("alone"))
+            .withColumns({"sum_before": F.coalesce(F.sum("sum").over(earlier), F.lit(0)),
+                          "alone_before": F.coalesce(F.sum("alone").over(earlier), F.lit(0)),
+                          "total": F.sum("sum").over(Window.partitionBy("h"))}).drop("sum", "alone"))
     inner = Window.partitionBy("h", "slice").orderBy("row", "doc_id", "n_bytes").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("before") + F.coalesce(F.sum("need").over(inner), F.lit(0))
-    return (equal.join(base, ["h", "slice"]).withColumn("start", start)
-            .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-            .select("doc_id", "n_bytes", bit_string(F.col("h"), F.lit(BITS)).alias("shard"),
-                    (F.col("start") + F.floor(F.col("i") / F.col("per"))).cast("long").alias("page"),
-                    (F.col("n_bytes") > max_bytes).alias("oversized")))
+    placed = (equal.join(base, ["h", "slice"])
+              .withColumns({x: F.col(f"{x}_before") + F.coalesce(F.sum(x).over(inner), F.lit(0)) for x in ("sum", "alone")})
+              .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+              .withColumn("at", F.col("sum") + F.col("i") * F.col("n_bytes")))
+    part = F.expr(f"at div {int(max_bytes)}")
+    last = F.expr(f"(at + greatest(n_bytes, 1L) - 1) div {int(max_bytes)}")
+    page = (F.when(big, F.expr(f"2 * (total div {int(max_bytes)}) + 2") + F.col("alone") + F.col("i"))
+            .otherwise(2 * part + F.when(part == last, F.lit(0)).otherwise(F.lit(1))))
+    return placed.select("doc_id", "n_bytes", bit_string(F.col("h"), F.lit(BITS)).alias("shard"),
+                         page.cast("long").alias("page"), big.alias("oversized"))

@@ -53,6 +53,18 @@ def test_shards_fit_and_cover(spark, documents):
     assert sharding.shard(documents([]), 10).count() == 0
 
 
+def test_overflow_pages_are_filled(spark, documents):
+    """Many different texts under one hash share pages."""
+    rows = [(None, f"{i:04d}" + "x" * (i % 30)) for i in range(500)] + [(None, "y" * 50)] * 20 + [(None, "z" * 400), (None, "w" * 300)]
+    out = sharding.shard(documents(rows), 300).collect()
+    size = defaultdict(int)
+    for r in out:
+        size[r.shard, r.page] += r.n_bytes
+    assert len(out) == len(rows) and sum(size.values()) == sum(len(t) for _, t in rows)
+    assert sorted(b for b in size.values() if b > 300) == [400] and [r.n_bytes for r in out if r.oversized] == [400]
+    assert len(size) <= 2 * sum(size.values()) / 300 + 2
+
+
 EVENTS = "conv_id long, seq long, message long, role string, kind string, text string"
 
 
