@@ -242,3 +242,16 @@ def op6_benchmark_decontamination(spark, base):
     return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"),
                         F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"]))).alias("item_ids"),
                         F.coalesce(F.array_max(F.transform("hits", lambda h: h["score"])), F.lit(0.0)).alias("best_score"))
+
+
+TOKEN_LIMIT = 1024
+
+
+@query("op13_token_counts")
+def op13_token_counts(spark, base):
+    """Tokens of every whole text and the longest prefix within the limit,
+    read from the stored counts of all prefixes."""
+    from .token_counts import prefix_counts, truncate
+    counted = prefix_counts(read_table(spark, base, "documents").select("doc_id", "text"))
+    return truncate(counted, TOKEN_LIMIT).select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fit_chars")
