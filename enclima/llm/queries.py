@@ -255,3 +255,62 @@ def op13_token_counts(spark, base):
     counted = prefix_counts(read_table(spark, base, "documents").select("doc_id", "text"))
     return truncate(counted, TOKEN_LIMIT).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fit_chars")
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark, base):
+    """Groups and links of two tokenizers' tokens for every whole text."""
+    from .token_alignment import align
+    found = align(read_table(spark, base, "documents").select("doc_id", "text"), hashed=True)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                        F.col("groups").alias("groups_sha256"))
+
+
+CLUSTERS, CLUSTER_ROUNDS = 8, 10
+
+
+def _cluster_sql() -> str:
+    """Rounds as common table expressions over (vector, dimension) rows."""
+    def floor_div(s, n):
+        return f"(({s}) - ((({s}) % ({n})) + ({n})) % ({n})) // ({n})"
+
+    def assign(i):
+        return f"""
+d{i} AS MATERIALIZED (SELECT x.r, c.c, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS d
+  FROM x JOIN c{i} c ON c.j = x.j GROUP BY x.r, c.c),
+a{i} AS MATERIALIZED (SELECT r, c, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, c) AS k FROM d{i})
+  WHERE k = 1)"""
+
+    steps = []
+    for i in range(CLUSTER_ROUNDS):
+        steps.append(assign(i) + f""",
+m{i} AS (SELECT a.c, x.j, sum(x.v)::BIGINT AS s, count(*) AS n FROM a{i} a JOIN x USING (r) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT c.c, c.j, CASE WHEN m.n IS NULL THEN c.v ELSE {floor_div('m.s', 'm.n')} END::BIGINT AS v
+  FROM c{i} c LEFT JOIN m{i} m ON m.c = c.c AND m.j = c.j)""")
+    last = CLUSTER_ROUNDS
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS MATERIALIZED (SELECT r, generate_subscripts(embedding, 1) AS j,
+                     floor(1024 * unnest(embedding)::DOUBLE)::BIGINT AS v FROM kept),
+o AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), embedding) - 1 AS c FROM kept),
+c0 AS MATERIALIZED (SELECT o.c, x.j, x.v FROM o JOIN x USING (r) WHERE o.c < {CLUSTERS}),
+{",".join(steps)},{assign(last)},
+h AS (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c{last} GROUP BY c)
+SELECT kept.vec_id, a.c::INT AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+  (sum(a.d) OVER ())::BIGINT AS inertia, h.centroid_sha256
+FROM a{last} a JOIN kept USING (r) JOIN h USING (c)"""
+
+
+@query("op12_centroid_clustering", _cluster_sql())
+def op12_centroid_clustering(spark, base):
+    """Integer k-means over all 64-component embeddings."""
+    from .centroids import cluster, with_inertia
+    assigned, centroids = cluster(read_table(spark, base, "embeddings").select("vec_id", "embedding"),
+                                  k=CLUSTERS, rounds=CLUSTER_ROUNDS, dim=64, scale=1024, seed="3:")
+    digest = F.lit(None).cast("string")
+    for c, centroid in enumerate(centroids):
+        digest = F.when(F.col("cluster") == c, F.sha2(F.lit(",".join(map(str, centroid))).cast("binary"), 256)).otherwise(digest)
+    return with_inertia(assigned).withColumn("centroid_sha256", digest)
