@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..dims import FUEL_CLASS, patches_df
 from ..functions import add_calendar_features, clamp_negative, sum_or_zero
 from ..operators import align, clean, evaluate, forecast, reshape, resample, scale, split
-from ..operators.regress import LinearModel, random_forest
+from ..operators.forest import DEFAULTS, fit_forests
+from ..operators.regress import LinearModel
 from ..session import materialize
 from ..sources import index_text as IT
 
@@ -172,57 +173,62 @@ def ols_study(frame: DataFrame, targets: Sequence[str], exogs: Sequence[str], mo
     return _score(pred, n_daily, len(exogs), model), pred, m
 
 
-def rf_predictions(frame: DataFrame, targets: Sequence[str], exogs: Sequence[str], parallelism: int = 4,
-                   **rf_args) -> DataFrame:
-    """REG-3: one forest per target on the train rows; long test predictions.
-    Independent fits are submitted from ``parallelism`` driver threads (as
-    Spark ML's ``CrossValidator(parallelism=...)`` does), so their jobs share
-    the cluster instead of queueing."""
-    from concurrent.futures import ThreadPoolExecutor
-    train = frame.where(F.col("split") == "train")
-    test = frame.where(F.col("split") == "test")
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        models = list(pool.map(lambda t: random_forest(train, exogs, t, **rf_args), targets))
-    out = None
-    for t, pm in zip(targets, models):
-        part = pm.transform(test).select(F.lit(t).alias("target"), "Data", F.col(f"`{t}`").alias("actual"),
-                                         clamp_negative(F.col("prediction")).alias("predicted"))
-        out = part if out is None else out.unionByName(part)
+def rf_predictions(frame: DataFrame, targets: Sequence[str], exogs: Sequence[str], seed: int = 69,
+                   **params) -> DataFrame:
+    """REG-3: one joint forest of all targets, grown on the train rows; long
+    test predictions, clamped at 0."""
+    forest = fit_forests(frame.where(F.col("split") == "train"), exogs, targets, [params], "Data", seed=seed)
+    found = forest.predict(frame.where(F.col("split") == "test"), ["Data", *targets])
+    at = {t: F.col("prediction")[i] for i, t in enumerate(targets)}
+    out = materialize(_long_predictions(found, targets, at.__getitem__))
+    forest.discard()
     return out
 
 
 def rf_study(frame: DataFrame, targets: Sequence[str], exogs: Sequence[str], **rf_args):
-    """PIP-8: the OLS study with per-target random forests."""
+    """PIP-8: the OLS study with a joint random forest."""
     pred = rf_predictions(frame, targets, exogs, **rf_args)
     n_daily = pred.groupBy("target").agg(F.count("*").alias("n_daily"))
     return _score(pred, n_daily, len(exogs), "random_forest"), pred
 
 
-def rf_grid(frame: DataFrame, target: str, exogs: Sequence[str], grid: Sequence[dict], n_splits: int = 5,
-            ts: str = "Data", parallelism: int = 4) -> DataFrame:
-    """REG-4: RMSE of every parameter set on every expanding time-series fold
-    of the train rows. One small fit per (parameters, fold), submitted from
-    ``parallelism`` driver threads."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.evaluation import RegressionEvaluator
-    train = frame.where(F.col("split") == "train").drop("split")
-    folds = materialize(split.time_series_folds(train, ts, n_splits))
-    ev = RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName="rmse")
-
-    def run(job):
-        params, k = job
-        tr = folds.where((F.col("fold") == k) & (F.col("role") == "train"))
-        te = folds.where((F.col("fold") == k) & (F.col("role") == "test"))
-        pm = random_forest(tr, exogs, target, **params)
-        return (int(params.get("num_trees", 50)), int(params.get("max_depth", 10)),
-                bool(params.get("bootstrap", True)), k, float(ev.evaluate(pm.transform(te))))
-
-    jobs = [(params, k) for params in grid for k in range(n_splits)]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = list(pool.map(run, jobs))
-    return frame.sparkSession.createDataFrame(
-        rows, "num_trees int, max_depth int, bootstrap boolean, fold int, rmse double")
+GRID = ("num_trees", "max_features", "max_depth", "min_samples_split", "min_samples_leaf", "bootstrap")
+
+
+def rf_grid(frame: DataFrame, targets: Sequence[str], exogs: Sequence[str], grid: dict[str, Sequence],
+            n_splits: int = 5, ts: str = "Data", seed: int = 69, **fixed) -> DataFrame:
+    """REG-4: every combination of the ``grid`` values, scored on expanding
+    time-series folds of the train rows. One row per combination and fold: the
+    six parameters, fold, rmse (mean over the targets), mean_rmse (over the
+    folds) and best (smallest mean_rmse; a tie goes to the earlier combination).
+
+    All forests of all folds grow together; forests that differ in their number
+    of trees only are one forest, read at several sizes."""
+    from itertools import product
+    grid = {**{k: [v] for k, v in {**DEFAULTS, **fixed}.items()}, **{k: list(v) for k, v in grid.items()}}
+    sizes = sorted(set(grid.pop("num_trees")))
+    sets = [dict(zip(grid, values)) for values in product(*grid.values())]
+    spark = frame.sparkSession
+    folds = materialize(split.time_series_folds(frame.where(F.col("split") == "train").drop("split"), ts, n_splits))
+    forest = fit_forests(folds.where("role = 'train'"), exogs, targets, [{**a, "num_trees": sizes[-1]} for a in sets],
+                         ts, fold="fold", folds=n_splits, seed=seed)
+    found = forest.predict(folds.where("role = 'test'").withColumnRenamed("fold", "_of"), [ts, *targets], "_of", sizes)
+    error = F.lit(0.0)
+    for i, t in enumerate(targets):
+        gap = F.col("prediction")[i] - F.col(f"`{t}`").cast("double")
+        error = error + F.sqrt(F.avg(gap * gap))
+    scores = materialize(found.groupBy("set", "num_trees", "fold").agg((error / len(targets)).alias("rmse")))
+    forest.discard()
+    named = spark.createDataFrame(
+        [(i, str(a["max_features"]), a["max_depth"], a["min_samples_split"], a["min_samples_leaf"], a["bootstrap"])
+         for i, a in enumerate(sets)],
+        "set int, max_features string, max_depth int, min_samples_split int, min_samples_leaf int, bootstrap boolean")
+    mean = scores.groupBy("set", "num_trees").agg(F.avg("rmse").alias("mean_rmse"))
+    top = mean.agg(F.min(F.struct("mean_rmse", "set", "num_trees")).alias("top"))
+    # one row per combination, and one row: bounded by the grid
+    return (scores.join(F.broadcast(mean), ["set", "num_trees"]).join(F.broadcast(named), "set").join(F.broadcast(top))
+            .withColumn("best", (F.col("set") == F.col("top.set")) & (F.col("num_trees") == F.col("top.num_trees")))
+            .select(*GRID, "fold", "rmse", "mean_rmse", "best"))
 
 
 # --- PIP-9 ------------------------------------------------------------------------

@@ -265,7 +265,8 @@ def ols_ablation(spark, base):
 
 
 # --- REG-3, PIP-8 -------------------------------------------------------------
-RF_ARGS = dict(num_trees=50, max_depth=10, feature_subset="0.5", seed=69)
+# The studies' forest: unlimited depth, half of the features per split.
+RF_ARGS = dict(num_trees=200, max_features=0.5, seed=69)
 
 
 @query("rf_predict")
@@ -281,14 +282,83 @@ def rf_study(spark, base):
     return met
 
 
+TREE_BINS, TREE_LEAF = 32, 5
+
+
+def _tree_ctes(rows, tag, features, depth):
+    """One tree without draws, grown by joint variance reduction over the rows
+    (id, xs, ys) of ``rows``: ends in ``nodes_{tag}`` (node, f, threshold, b)
+    and ``at_{tag}`` (id, node) of the leaves."""
+    p, m = len(features), len(TARGETS)
+    out = [f"""
+x_{tag} AS MATERIALIZED (SELECT id, unnest(range(1, {p + 1})) AS f, unnest(xs) AS v FROM {rows}),
+y_{tag} AS MATERIALIZED (SELECT id, unnest(range(1, {m + 1})) AS t, unnest(ys) AS y FROM {rows}),
+rk_{tag} AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) AS r, count(*) OVER (PARTITION BY f) AS n,
+             min(v) OVER (PARTITION BY f) AS low FROM x_{tag}),
+ed_{tag} AS MATERIALIZED (SELECT DISTINCT f, v FROM rk_{tag}, range(1, {TREE_BINS}) k(k)
+             WHERE r = ceil(k::DOUBLE / {TREE_BINS} * n) AND v > low),
+b_{tag} AS MATERIALIZED (SELECT x.id, x.f, count(e.v) AS b FROM x_{tag} x LEFT JOIN ed_{tag} e ON e.f = x.f AND x.v >= e.v
+             GROUP BY ALL),
+th_{tag} AS (SELECT f, v AS threshold, row_number() OVER (PARTITION BY f ORDER BY v) - 1 AS b FROM ed_{tag}),
+at_{tag}0 AS (SELECT id, 1::BIGINT AS node FROM {rows})"""]
+    for d in range(depth):
+        out.append(f"""
+im_{tag}{d} AS (SELECT node, sum(i) AS i FROM (SELECT node, t, sum(y * y) - sum(y) ^ 2 / count(*) AS i
+             FROM at_{tag}{d} JOIN y_{tag} USING (id) GROUP BY ALL) GROUP BY node),
+c_{tag}{d} AS (SELECT node, f, b, t, sum(y) AS s, count(*) AS n FROM at_{tag}{d} JOIN b_{tag} USING (id)
+             JOIN y_{tag} USING (id) GROUP BY ALL),
+r_{tag}{d} AS (SELECT node, f, b, t, sum(s) OVER w AS ls, sum(n) OVER w AS ln, sum(s) OVER g AS ts, sum(n) OVER g AS tn
+             FROM c_{tag}{d} WINDOW w AS (PARTITION BY node, f, t ORDER BY b), g AS (PARTITION BY node, f, t)),
+g_{tag}{d} AS (SELECT node, f, b, sum(ls ^ 2 / ln + (ts - ls) ^ 2 / (tn - ln) - ts ^ 2 / tn) AS gain FROM r_{tag}{d}
+             WHERE ln >= {TREE_LEAF} AND tn - ln >= {TREE_LEAF} GROUP BY ALL),
+s_{tag}{d} AS MATERIALIZED (SELECT node, f, b, threshold FROM (SELECT node, f, b, round(gain / i, 9) AS score,
+               row_number() OVER (PARTITION BY node ORDER BY round(gain / i, 9) DESC, f, b) AS k
+               FROM g_{tag}{d} JOIN im_{tag}{d} USING (node)) JOIN th_{tag} USING (f, b) WHERE k = 1 AND score > 0),
+at_{tag}{d + 1} AS MATERIALIZED (SELECT a.id, CASE WHEN s.f IS NULL THEN a.node ELSE 2 * a.node + (q.b > s.b)::INT END AS node
+             FROM at_{tag}{d} a LEFT JOIN s_{tag}{d} s USING (node) LEFT JOIN b_{tag} q ON q.id = a.id AND q.f = s.f)""")
+    unions = " UNION ALL ".join(f"SELECT * FROM s_{tag}{d}" for d in range(depth))
+    return ",".join(out) + f""",
+sp_{tag} AS ({unions}),
+lv_{tag} AS (SELECT DISTINCT id, node FROM (SELECT * FROM {' UNION ALL SELECT * FROM '.join(f'at_{tag}{d}' for d in range(depth + 1))}))"""
+
+
+def _forest_rows_sql(where="split = 'train'"):
+    names = LOAD_PREDICTORS + REGION_COLS
+    return (f"SELECT Data AS id, [{', '.join(_q(c) for c in names)}] AS xs, [{', '.join(_q(c) for c in TARGETS)}] AS ys, "
+            f"split FROM fr WHERE {where}")
+
+
+@query("forest_tree", sql=f"""WITH fr AS MATERIALIZED ({_training_sql(digits=12)}),
+tr AS ({_forest_rows_sql()}),{_tree_ctes('tr', 'a', LOAD_PREDICTORS + REGION_COLS, 2)}
+SELECT lv_a.node, [{', '.join(f"'{t}'" for t in TARGETS)}][t] AS target, count(*) AS n,
+  [{', '.join(f"'{c}'" for c in LOAD_PREDICTORS + REGION_COLS)}][any_value(sp_a.f)] AS feature,
+  {R('any_value(sp_a.threshold)', 6)} AS threshold, {R('avg(y)', 4)} AS prediction
+FROM lv_a JOIN y_a USING (id) LEFT JOIN sp_a USING (node) GROUP BY lv_a.node, t""")
+def forest_tree(spark, base):
+    """One joint tree of depth 2 without draws, node by node."""
+    from ..operators.forest import fit_forests
+    frame, tcols, ecols = standin_training(spark, base)
+    ecols = LOAD_PREDICTORS + REGION_COLS
+    forest = fit_forests(frame.where(F.col("split") == "train"), ecols, TARGETS,
+                         [dict(num_trees=1, max_depth=2, min_samples_leaf=TREE_LEAF, bootstrap=False)], "Data",
+                         bins=TREE_BINS)
+    name = F.array(*[F.lit(c) for c in ecols])
+    items = F.array(*[F.struct(F.lit(t).alias("target"), F.col("prediction")[i].alias("value")) for i, t in enumerate(TARGETS)])
+    return (forest.nodes.select("node", "n", F.when(F.col("feature").isNotNull(), name[F.col("feature")]).alias("feature"),
+                                rnd("threshold", 6).alias("threshold"), F.explode(items).alias("p"))
+            .select("node", "p.target", "n", "feature", "threshold", rnd("p.value").alias("prediction")))
+
+
 # --- REG-4 ------------------------------------------------------------------
-RF_GRID = [dict(num_trees=10, max_depth=5, seed=69), dict(num_trees=30, max_depth=5, seed=69)]
+# All six searched parameters, two values each.
+RF_GRID = dict(num_trees=[5, 10], max_features=["sqrt", 1.0], max_depth=[4, None], min_samples_split=[2, 10],
+               min_samples_leaf=[1, 4], bootstrap=[True, False])
 
 
 @query("rf_grid")
 def rf_grid(spark, base):
     frame, tcols, ecols = standin_training(spark, base)
-    return flows.rf_grid(frame, "HIGH", ecols, RF_GRID, n_splits=5)
+    return flows.rf_grid(frame, tcols, ecols, RF_GRID, n_splits=5)
 
 
 # --- PIP-9 ------------------------------------------------------------------

@@ -38,7 +38,7 @@ DEFAULT_CONF = {
 #   never spill badly and small ones collapse to a few tasks;
 # * skew: a partition is split when it is 5x the median and over 1 GB;
 # * broadcast: Spark's own estimate decides (default 10 MB); this library
-#   only forces broadcasts of literal dimensions and top-k results.
+#   forces none but of tables bounded by parameters (trees, clusters).
 CLUSTER_CONF = {
     "spark.sql.files.maxPartitionBytes": "512m",
     "spark.sql.shuffle.partitions": "20000",
@@ -102,8 +102,22 @@ def materialize(df):
     executor loss). An RDD ``checkpoint()`` of a non-persisted Dataset would
     compute the plan twice; a local checkpoint would not survive executor
     loss."""
+    return materialize_at(df)[0]
+
+
+def materialize_at(df):
+    """``materialize`` for an intermediate that ends early: (frame, path), to
+    be given to ``discard`` once no later job reads it."""
     import uuid
-    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/enclima-tables/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/enclima-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark, *paths: str) -> None:
+    """Delete intermediate tables by path (any Hadoop file system)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
