@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remove, save
-from .vocab import byte_encoder, default_path, piece_encoder
+from .vocab import TextEncoder, byte_encoder, default_path, piece_encoder
 
 BLOCK_BYTES = 8 << 20                           # text of one block
 SLICE_BYTES = 1 << 20                           # text aligned at once
@@ -47,13 +47,12 @@ _ROWS = ("block long, doc_id long, n_a long, n_b long, n_groups long, n_links lo
 
 @functools.lru_cache(maxsize=4)
 def _tables(path_a: str, path_b: str):
-    """(encoders, token lengths, token strings of both sides)."""
+    """(encoder of both, token lengths and strings of both sides)."""
     a, b = byte_encoder(path_a), piece_encoder(path_b)
-    size = [np.array([len(t) for t in enc.bytes], np.int64) for enc in (a, b)]
     n_a, n_b = len(a.bytes), len(b.bytes)
     written = ([f"{i}," for i in range(n_a)] + [f"{i}|" for i in range(n_a)]
                + [f"{i}," for i in range(n_b)] + [f"{i};" for i in range(n_b)])
-    return a, b, size[0], size[1], written
+    return TextEncoder(a, b), a.sizes, b.sizes, written
 
 
 def jump(succ: np.ndarray) -> np.ndarray:
@@ -117,14 +116,14 @@ def _slice(raws: list[bytes | None], path_a: str, path_b: str, hashed: bool):
     """Rows of one slice of documents, and the distinct pairs of each as one
     array (a pair appears once per document)."""
     import zstandard
-    enc_a, enc_b, size_a, size_b, written = _tables(path_a, path_b)
+    both, size_a, size_b, written = _tables(path_a, path_b)
     texts = []
     for raw in raws:
         try:
             texts.append((raw or b"").decode())
         except UnicodeDecodeError:
             texts.append("")
-    blob_a, blob_b = enc_a.encode(texts), enc_b.encode(texts)
+    blob_a, blob_b = zip(*both.encode(texts))
     good = [i for i, (a, b) in enumerate(zip(blob_a, blob_b)) if a and b]
     rows = [(0, 0, 0, 0, "", None)] * len(raws)
     if not good:

@@ -15,7 +15,7 @@ import re
 from array import array
 
 #: Remembered pieces of a worker's cache, in each of two generations.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 250_000
 #: Longer pieces are encoded each time they occur.
 CACHE_CHARS = 64
 
@@ -135,8 +135,16 @@ class Cache(dict):
         return value
 
     def absent(self, pieces) -> list:
-        """Pieces that would have to be made (short ones, each once)."""
-        return [p for p in set(pieces) if p not in self and p not in self.old and len(p) <= CACHE_CHARS]
+        """Pieces that have to be made, each once; those of the old generation
+        move on."""
+        out, old = [], self.old
+        for p in set(pieces):
+            if p not in self:
+                if p in old:
+                    self[p] = old[p]
+                else:
+                    out.append(p)
+        return out
 
 
 def words(text: str) -> list[str] | None:
@@ -146,59 +154,78 @@ def words(text: str) -> list[str] | None:
     return None if _SPACE_RUN.search(text) or text[:1] == " " else text.split(" ")
 
 
-class _WordEncoder:
-    """Ids of texts behind one added space, as int32 arrays.
+class _Encoder:
+    """Ids of texts behind one added space, as int32 bytes; empty where the
+    tokens' bytes are not the text's. ``bytes``: the bytes of every token."""
 
-    Most texts are joined from their words' ids, which are remembered; words
-    not seen before are encoded together in one call of the library."""
+    bytes: list[bytes]
 
-    def __init__(self):
-        self._word = Cache(lambda w: self._pack(" " + w, self._encode([" " + w])[0]))
-        self._broken: set[str] = set()
+    def _ids(self, text: str) -> list[int]:
+        """Ids of a text that starts with the added space."""
+        raise NotImplementedError
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
+    def _together(self, word: str) -> bool:
+        """Whether a word may be encoded in one text with others."""
         raise NotImplementedError
 
-    def _pack(self, text: str, ids: list[int]) -> bytes | None:
-        """Ids as bytes; empty where the tokens' bytes are not the text's."""
+    def _ids_together(self, text: str) -> list[int]:
+        return self._ids(text)
+
+    @functools.cached_property
+    def sizes(self):
+        import numpy as np
+        return np.array([len(t) for t in self.bytes], np.int64)
+
+    def text(self, text: str) -> bytes:
+        ids = self._ids(text)
         if b"".join(map(self.bytes.__getitem__, ids)) != text.encode():
             return b""
         return array("i", ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """int32 ids of every text (behind one added space), b"" where the
-        tokens' bytes differ from the text's or the text is empty."""
-        split = [words(t) if t else None for t in texts]
-        new = self._word.absent(w for ws in split if ws for w in ws)
-        for start in range(0, len(new), 20_000):
-            some = [" " + w for w in new[start:start + 20_000]]
-            for text, ids in zip(some, self._encode(some)):
-                self._word.put(text[1:], self._pack(text, ids))
-        out = []
-        for text, ws in zip(texts, split):
-            if not text:
-                out.append(b"")
-            elif ws is None:
-                out.append(self._pack(" " + text, self._encode([" " + text])[0]))
-            else:
-                parts = list(map(self._word.__getitem__, ws))
-                out.append(b"".join(parts) if all(parts) else b"")
-        return out
+    def many(self, some: list[str]) -> list[bytes]:
+        """Ids of words, each behind its own space, from one call where words
+        don't touch each other."""
+        import numpy as np
+        easy = [w for w in some if self._together(w)]
+        found = {}
+        if easy:
+            whole = " " + " ".join(easy)
+            ids = np.array(self._ids_together(whole), np.int32)
+            if b"".join(map(self.bytes.__getitem__, ids.tolist())) == whole.encode():
+                ends = np.cumsum(self.sizes[ids])
+                stops = np.cumsum([len(w.encode()) + 1 for w in easy])
+                cut = np.searchsorted(ends, stops)
+                if (ends[cut] == stops).all():
+                    packed, cut = ids.tobytes(), (4 * (cut + 1)).tolist()
+                    found = dict(zip(easy, map(packed.__getitem__, map(slice, [0, *cut], cut))))
+        return [found[w] if w in found else self.text(" " + w) for w in some]
+
+
+class ByteEncoder(_Encoder):
+    """Byte-level vocabulary, special strings plain. Words of settled
+    characters are merged by ``tiktoken`` from the same vocabulary (its ranks
+    are the merges' order, which is checked), all others by the library."""
 
+    def __init__(self, path: str):
+        import tiktoken
+        self.vocab = v = ByteBpe(path)
+        self.bytes = v.bytes
+        made = [t for _, _, t in v.merges]
+        self._merge = None
+        if all(a < b for a, b in zip(made, made[1:])) and all(len(v.bytes[i]) == 1 for i in range(256)):
+            self._merge = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=v.ids, special_tokens={}).encode_ordinary
 
-class ByteEncoder(_WordEncoder):
-    """Byte-level vocabulary, special strings plain."""
+    def _ids(self, text):
+        return self.vocab.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.vocab = ByteBpe(path)
-        self.bytes = self.vocab.bytes
+    def _together(self, word):
+        return self._merge is not None and word != "" and max(word) < SETTLED and not word[-1].isspace()
 
-    def _encode(self, texts):
-        return [e.ids for e in self.vocab.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids_together(self, text):
+        return self._merge(text)
 
 
-class PieceEncoder(_WordEncoder):
+class PieceEncoder(_Encoder):
     """``sentencepiece`` BPE model that puts a space before the text. No piece
     of such a model holds a space behind another character, so no merge crosses
     from a word to the space behind it (checked when the model is loaded)."""
@@ -207,7 +234,6 @@ class PieceEncoder(_WordEncoder):
 
     def __init__(self, path: str):
         import sentencepiece
-        super().__init__()
         self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         if any(self.MARK in p.lstrip(self.MARK) for p in pieces):
@@ -217,9 +243,41 @@ class PieceEncoder(_WordEncoder):
                       else p.replace(self.MARK, " ").encode() for i, p in enumerate(pieces)]
         self._space = [model.piece_to_id(self.MARK)]
 
-    def _encode(self, texts):
-        return [ids if len(t) > 1 else self._space
-                for t, ids in zip(texts, self.model.encode([t[1:] for t in texts], num_threads=1))]
+    def _ids(self, text):
+        return self.model.encode(text[1:], num_threads=1) if len(text) > 1 else self._space
+
+    def _together(self, word):
+        return word != "" and self.MARK not in word
+
+
+class TextEncoder:
+    """Ids of whole texts by several encoders. Most texts are joined from
+    their words' ids, which are remembered; words not seen before are encoded
+    together."""
+
+    TOGETHER = 4096
+
+    def __init__(self, *encoders: _Encoder):
+        self.encoders = encoders
+        self._word = Cache(lambda w: tuple(e.text(" " + w) for e in encoders))
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, ...]]:
+        """Per text the int32 ids of every encoder (behind one added space):
+        empty where its tokens' bytes differ from the text's or it is empty."""
+        split = [words(t) if t else None for t in texts]
+        new = self._word.absent(w for ws in split if ws for w in ws)
+        for start in range(0, len(new), self.TOGETHER):
+            some = [w for w in new[start:start + self.TOGETHER] if len(w) <= CACHE_CHARS]
+            for w, ids in zip(some, zip(*(e.many(some) for e in self.encoders))):
+                self._word.put(w, ids)
+        out = []
+        for text, ws in zip(texts, split):
+            if ws is None:
+                out.append(tuple(e.text(" " + text) if text else b"" for e in self.encoders))
+            else:
+                parts = list(map(self._word.__getitem__, ws))
+                out.append(tuple(b"".join(p) if all(p) else b"" for p in zip(*parts)))
+        return out
 
 
 @functools.lru_cache(maxsize=4)
