@@ -3,11 +3,16 @@
 Tokens are summed per cell (source, language, topic). The cell weights are
 raked: scaled to the target marginal of each dimension in turn, again and
 again. A cell's calibrated probability is its raked weight over its tokens,
-scaled to a reference cell and 1 at most; a document is drawn by its cell's
-probability with a hash of its id, so the draw is the same in every run. The
-reference is the largest ratio but for cells that together hold ``trim`` of the
-raked weight or less: those few scarce cells are kept whole, so that they do
-not thin out all others. With trim 0 all marginals are met in expectation.
+scaled so that the scarcest cell is kept whole; a document is drawn by its
+cell's probability with a hash of its id, so the draw is the same in every run
+and all marginals are met in expectation. With ``trim`` above 0, scarce cells
+that together hold that share of the raked weight or less are kept whole
+without thinning out all others: more documents, but marginals that miss their
+targets.
+
+Whole texts are read once for the cells and once for the result; with
+``keep_text=False`` once in all, for the result is then drawn from a narrow
+table of the other columns.
 
 Only DataFrame and SQL functions are used. The targets are parameters; a value
 that they don't name falls to the cell value ``other``, so the number of cells
@@ -31,7 +36,7 @@ from .common import remove, save
 DIMS = ("source", "lang", "topic")
 OTHER = "other"
 ROUNDS = 12
-TRIM = 0.1
+TRIM = 0.0
 SEED = "mix"
 
 
@@ -86,10 +91,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = R
     return cur
 
 
-def fit(docs: DataFrame, targets: dict[str, dict[str, float]], topic_column: Column | None = None,
-        rounds: int = ROUNDS, trim: float = TRIM) -> DataFrame:
-    """Cell table: mix_source, mix_lang, mix_topic, tokens, w, p."""
-    named = cells_of(docs, targets, topic() if topic_column is None else topic_column)
+def _fit(named: DataFrame, targets: dict[str, dict[str, float]], rounds: int, trim: float) -> DataFrame:
     cells, path = save(named.groupBy(*(f"mix_{d}" for d in DIMS)).agg(F.sum("mix_tokens").alias("tokens")))
     ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(F.lit(0.0))
     scarce = F.sum("w").over(Window.orderBy(F.desc("ratio"), *[f"mix_{d}" for d in DIMS]))
@@ -99,16 +101,25 @@ def fit(docs: DataFrame, targets: dict[str, dict[str, float]], topic_column: Col
                   .withColumn("ref", ref)
                   .withColumn("p", F.when(F.col("ref") > 0, F.least(F.col("ratio") / F.col("ref"), F.lit(1.0)))
                               .otherwise(F.lit(0.0))).drop("ratio", "scarce", "ref"))
-    remove(docs.sparkSession, path)
+    remove(named.sparkSession, path)
     return out
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]], topic_column: Column | None = None,
+def fit(docs: DataFrame, targets: dict[str, dict[str, float]], topic_column: Column | None = None,
         rounds: int = ROUNDS, trim: float = TRIM) -> DataFrame:
-    """``docs`` with mix_source, mix_lang, mix_topic, mix_tokens, mix_p and
-    mix_kept (drawn or not). Keep the rows with mix_kept for the mixture."""
-    cells = fit(docs, targets, topic_column, rounds, trim)
+    """Cell table: mix_source, mix_lang, mix_topic, tokens, w, p."""
+    return _fit(cells_of(docs, targets, topic() if topic_column is None else topic_column), targets, rounds, trim)
+
+
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]], topic_column: Column | None = None,
+        rounds: int = ROUNDS, trim: float = TRIM, keep_text: bool = True) -> DataFrame:
+    """``docs`` (without ``text`` unless ``keep_text``) with mix_source,
+    mix_lang, mix_topic, mix_tokens, mix_p and mix_kept (drawn or not). Keep the
+    rows with mix_kept for the mixture."""
     named = cells_of(docs, targets, topic() if topic_column is None else topic_column)
+    if not keep_text:
+        named, _ = save(named.drop("text"))
+    cells = _fit(named, targets, rounds, trim)
     keys = [f"mix_{d}" for d in DIMS]
     table = F.broadcast(cells.select(*keys, F.round("p", 6).alias("mix_p")))     # bounded by the targets
     return (named.join(table, keys, "left").withColumn("mix_p", F.coalesce("mix_p", F.lit(0.0)))

@@ -91,9 +91,7 @@ n AS (SELECT doc_id, mix_tokens, {named('source', 'source')}, {named('lang', 'la
 cells AS (SELECT mix_source, mix_lang, mix_topic, sum(mix_tokens)::BIGINT AS tokens FROM n GROUP BY ALL),
 raked AS ({sql}),
 ratio AS (SELECT *, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS ratio FROM raked),
-scarce AS (SELECT *, sum(w) OVER (ORDER BY ratio DESC, mix_source, mix_lang, mix_topic
-                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s, sum(w) OVER () AS total FROM ratio),
-ref AS (SELECT *, max(CASE WHEN s > 0.1 * total THEN ratio END) OVER () AS ref FROM scarce),
+ref AS (SELECT *, max(ratio) OVER () AS ref FROM ratio),
 p AS (SELECT mix_source, mix_lang, mix_topic,
         round(CASE WHEN ref > 0 THEN least(ratio / ref, 1.0) ELSE 0 END, 6) AS mix_p FROM ref)
 SELECT n.doc_id, n.mix_source, n.mix_lang, n.mix_topic, n.mix_tokens, p.mix_p,
@@ -107,7 +105,7 @@ def op4_source_mixing(spark, base):
     """Raked draw of documents by source, language and topic targets."""
     from .mixing import mix
     docs = read_table(spark, base, "documents").select("doc_id", "text", "lang", "source")
-    return (mix(docs, MIX_TARGETS, rounds=MIX_ROUNDS)
+    return (mix(docs, MIX_TARGETS, rounds=MIX_ROUNDS, keep_text=False)
             .select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", "mix_p", "mix_kept"))
 
 

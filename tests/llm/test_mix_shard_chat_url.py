@@ -26,6 +26,30 @@ def test_raked_marginals_and_probabilities(spark, documents):
     assert again == {r.doc_id: r.mix_kept for r in out}
 
 
+def test_registered_targets_hold_with_a_hot_source(spark, documents):
+    import random
+
+    from enclima.llm.queries import MIX_ROUNDS, MIX_TARGETS
+    rng = random.Random(4)
+    kinds = ["note text", "word " * 300, "line\n" * 25, "a | b"]
+    rows = []
+    for i in range(6000):
+        source = "src0" if rng.random() < 0.34 else f"src{rng.randint(1, 19)}"
+        lang = rng.choices(["en", "de", "fr", "es"], [6, 2, 1, 1])[0]
+        rows.append((i, rng.choices(kinds, [5, 60, 60, 20])[0], lang, source))
+    docs = documents(rows)
+    out = mixing.mix(docs, MIX_TARGETS, rounds=MIX_ROUNDS)
+    for d, targets in MIX_TARGETS.items():
+        seen = {r[0]: r[1] for r in out.groupBy(f"mix_{d}").agg(F.sum(F.col("mix_tokens") * F.col("mix_p"))).collect()}
+        total, present = sum(seen.values()), sum(targets[v] for v in seen)      # shares of absent values are spread
+        for v, got in seen.items():
+            assert abs(got / total - targets[v] / present) < 0.005
+    narrow = mixing.mix(docs, MIX_TARGETS, rounds=MIX_ROUNDS, keep_text=False)
+    assert "text" not in narrow.columns
+    cols = ["doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", "mix_p", "mix_kept"]
+    assert sorted(narrow.select(cols).collect()) == sorted(out.select(cols).collect())
+
+
 def test_mixing_edge_cases(spark, documents):
     assert mixing.mix(documents([]), TARGETS).count() == 0
     rows = [(1, None, None, None), (1, None, None, None), (None, "a\tb\x0bc  d", "en", "zz"), (2, " \n", "xx", "a")]
