@@ -192,14 +192,20 @@ def ngram_join(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = 80) -> Da
     sketch = spark.sparkContext.broadcast(count_sketch(texts, k))
     profiles, _ = save(texts.mapInArrow(functools.partial(_profiles, k=k, percent=percent, sketch=sketch), PROFILE))
     usable = profiles.where("sid IS NOT NULL AND doc_id IS NOT NULL")
-    token = usable.select("sid", "gid", "n", F.posexplode("prefix").alias("p", "token"))
+    # prefix shingles are shuffled as (token, sid, p) only; what a set has besides
+    # (group, size) is joined to the entries that are left, a small part of all
+    token = usable.select("sid", F.posexplode("prefix").alias("p", "token"))
     # written first, so that the join has plain exchanges and a hot shingle is split
-    shared, shared_path = save(token.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"),
-                                                          F.min(F.struct("p", "gid")).gid.alias("first"), F.max("gid").alias("last"))
-                               .where("lo <> hi").select("token", "first", "last"))
-    entries, entries_path = save(token.join(shared, "token")
-                                 .select("token", "sid", "gid", "n", "p", "first", "last").distinct())
+    shared, shared_path = save(token.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
+                               .where("lo <> hi").select("token"))
+    kept, kept_path = save(token.join(shared, "token").select("token", "sid", "p").distinct())
     remove(spark, shared_path)
+    shape = usable.groupBy("sid").agg(F.min("gid").alias("gid"), F.min("n").alias("n"))
+    shaped, shaped_path = save(kept.join(shape, "sid"))
+    hubs, hubs_path = save(shaped.groupBy("token").agg(F.min(F.struct("p", "gid")).gid.alias("first"),
+                                                       F.max("gid").alias("last")))
+    entries, entries_path = save(shaped.join(hubs, "token").select("token", "sid", "gid", "n", "p", "first", "last"))
+    remove(spark, kept_path, shaped_path, hubs_path)
     members, members_path = save(entries.select("gid", "sid", "n").distinct())
     # round 1: groups against the first and the last group of each shingle
     own = entries.select("token", "gid", "n", "p", "first", "last").distinct()
