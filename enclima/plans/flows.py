@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..dims import FUEL_CLASS, patches_df
 from ..functions import add_calendar_features, clamp_negative, sum_or_zero
-from ..operators import align, clean, evaluate, forecast, reshape, resample, scale, split
+from ..operators import align, clean, evaluate, lagged, reshape, resample, scale, split
 from ..operators.forest import DEFAULTS, fit_forests
 from ..operators.regress import LinearModel
 from ..session import materialize
@@ -232,39 +232,66 @@ def rf_grid(frame: DataFrame, targets: Sequence[str], exogs: Sequence[str], grid
 
 
 # --- PIP-9 ------------------------------------------------------------------------
-def forecast_study(daily_long: DataFrame, context: int = 8, horizon: int = 4, season: int = 4,
-                   before: int | None = None, drop: Sequence[str] = ("Fotovoltaica", "Outras"),
-                   fractions: dict | None = None) -> DataFrame:
-    """PIP-9 on weekly means: 70/10/20 split with context overlap, scaling
-    fitted on train, windows, three forecasters (last value, seasonal, linear
-    fitted on train windows), overlap mean, dates common with the test actuals,
-    monthly means, metrics per (model, target)."""
+def forecast_study(daily_long: DataFrame, context: int = 90, horizon: int = 30, season: int = 52,
+                   exog: DataFrame | None = None, period: str = "week", before: int | None = None,
+                   drop: Sequence[str] = ("Fotovoltaica", "Outras"), fractions: dict | None = None,
+                   ridges: Sequence[float] = (1e-3, 1e-2, 1e-1, 1.0)) -> DataFrame:
+    """PIP-9: means per ``period`` ("week" or "day"), complete dates only,
+    70/10/20 split with context overlap, scaling fitted on train, forecasters
+    (last value, seasonal, linear on the context, and with ``exog`` - a wide
+    table per date, known in advance - linear with all its channels), overlap
+    mean, dates common with the test actuals, monthly means, metrics per
+    (model, target). Of several ``ridges`` each series takes the one with the
+    smallest error on the valid split."""
     d = clean.fill_missing(daily_long, ["value"], 0.0)
     d = clean.filter_keys_not_containing(d, "series", drop)
-    wk = resample.resample(d, "Data", ["series"], "value", "week", "mean")
+    if period != "day":
+        d = resample.resample(d, "Data", ["series"], "value", period, "mean")
+    channels = [] if exog is None else [c for c in exog.columns if c != "Data"]
+    if channels:
+        if period != "day":
+            long = exog.unpivot(["Data"], [F.col(f"`{c}`") for c in channels], "series", "value")
+            exog = to_wide(resample.resample(long, "Data", ["series"], "value", period, "mean"), names=channels)
+        d = clean.drop_incomplete(d.join(exog, "Data"), channels)
     if before is not None:
-        wk = clean.year_range(wk, "Data", before=before)
-    sp = materialize(split.fraction_splits(wk, "Data", fractions, context=context))
-    params = scale.fit_scaler(sp.where(F.col("split") == "train"), ["series"], "value")
-    z = materialize(scale.apply_scaler(sp, params, ["series"], "value"))
-
-    def windows(part):
-        return split.context_windows(z.where(F.col("split") == part), ["series"], "Data", "value",
-                                     context, horizon, bucket=F.year("Data"))
-
-    # the test windows feed three forecasters: write them once
-    test_w, train_w = materialize(windows("test")), windows("train")
-    models = forecast.fit_linear(train_w, ["series"], context, horizon)
-    fcs = {"naive": forecast.naive(test_w, horizon), "seasonal": forecast.seasonal(test_w, horizon, season),
-           "linear": forecast.linear(test_w, ["series"], models, horizon)}
-    actual = sp.where(F.col("split") == "test").select("series", "Data", F.col("value").alias("actual"))
+        d = clean.year_range(d, "Data", before=before)
+    d = materialize(clean.drop_incomplete(d, ["value"]))
+    place = split.date_positions(d, "Data").select("Data", "pos")
+    sp = materialize(split.fraction_splits(d.join(place, "Data"), "Data", fractions, context=context))
+    learn = F.col("split") == "train"
+    params = scale.fit_scaler(sp.where(learn), ["series"], "value")
+    z = scale.apply_scaler(sp, params, ["series"], "value")
+    z = materialize(scale.standardize_wide(z, channels, learn) if channels else z)
+    part = {name: z.where(F.col("split") == name) for name in ("train", "valid", "test")}
+
+    def run(rows, kind, models=None, extra=()):
+        return lagged.forecast_mean(rows, ["series"], "pos", "value", context, horizon, kind, models, extra, season)
+
+    def best_linear(extra):
+        models = materialize(lagged.fit_windows(part["train"], ["series"], "pos", "value", context, horizon, extra, ridges))
+        if len(ridges) == 1:
+            return models
+        errors = None
+        for ridge in ridges:
+            gap = run(part["valid"], "linear", models.where(F.col("ridge") == ridge), extra).join(
+                part["valid"].select("series", "pos", "value"), ["series", "pos"])
+            e = gap.groupBy("series").agg(F.avg((F.col("value") - F.col("predicted")) ** 2).alias("mse")).withColumn(
+                "ridge", F.lit(float(ridge)))
+            errors = e if errors is None else errors.unionByName(e)
+        best = errors.groupBy("series").agg(F.min(F.struct("mse", "ridge")).alias("b")).select("series", F.col("b.ridge"))
+        return materialize(models.join(best, ["series", "ridge"]))
+
+    found = {"naive": run(part["test"], "naive"), "seasonal": run(part["test"], "seasonal"),
+             "linear": run(part["test"], "linear", best_linear([]))}
+    if channels:
+        found["linear_exog"] = run(part["test"], "linear", best_linear(channels), channels)
+    actual = sp.where(F.col("split") == "test").select("series", "pos", "Data", F.col("value").alias("actual"))
     out = None
-    for name, fc in fcs.items():
-        om = forecast.overlap_mean(forecast.explode_forecasts(fc, ["series"]), ["series"])
-        back = scale.apply_scaler(om, params, ["series"], "predicted", inverse=True)
-        j = back.join(actual, ["series", "Data"])  # dates common to both
-        monthly = evaluate.month_mean(j, ["series"], "Data", ["actual", "predicted"])
-        met = evaluate.regression_metrics(monthly, ["series"], "actual", "predicted")
-        met = met.select(F.lit(name).alias("model"), F.col("series").alias("target"), "n", "r2", "mse")
-        out = met if out is None else out.unionByName(met)
-    return out
+    for name, forecasts in found.items():
+        one = forecasts.withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    back = scale.apply_scaler(out, params, ["series"], "predicted", inverse=True)
+    j = back.join(actual, ["series", "pos"])    # dates common to both
+    monthly = evaluate.month_mean(j, ["model", "series"], "Data", ["actual", "predicted"])
+    met = evaluate.regression_metrics(monthly, ["model", "series"], "actual", "predicted")
+    return met.select("model", F.col("series").alias("target"), "n", "r2", "mse")

@@ -362,7 +362,27 @@ def rf_grid(spark, base):
 
 
 # --- PIP-9 ------------------------------------------------------------------
+def standin_channels(spark, base):
+    """Load of every subsystem and sea temperature of every region, per day."""
+    load = flows.to_wide(ld_tables(spark, base, hourly=False)["daily_MWmed"], names=CARGA)
+    return load.join(region_table(spark, base), "Data")
+
+
+def _forecast_rows(met):
+    return met.select("model", "target", "n", rnd("r2").alias("r2"), rnd("mse", 0).alias("mse"))
+
+
 @query("forecast_study")
 def forecast_study(spark, base):
+    """Weeks, 90 of context and 30 ahead, with all load and sea channels."""
+    daily = gen_tables(spark, base, hourly=False)["daily_MWmed"]
+    return _forecast_rows(flows.forecast_study(daily, 90, 30, 52, standin_channels(spark, base), "week", before=2001,
+                                               drop=("OTHER",)))
+
+
+@query("forecast_study_daily")
+def forecast_study_daily(spark, base):
+    """Days, 512 of context and 96 ahead, with all load and sea channels."""
     daily = gen_tables(spark, base, hourly=False)["daily_MWmed"]
-    return flows.forecast_study(daily, context=8, horizon=4, season=4, before=2001, drop=("OTHER",))
+    return _forecast_rows(flows.forecast_study(daily, 512, 96, 365, standin_channels(spark, base), "day", before=2001,
+                                               drop=("OTHER",), ridges=(1e-1,)))

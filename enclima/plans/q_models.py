@@ -12,7 +12,7 @@ from ..operators.regress import LinearModel
 from ..session import materialize
 from .q_frames import (_CELLS_DAY_SQL, GEN_CLASS_DAILY_SQL, LOAD_DAILY_SQL, gen_class_daily, gen_daily_long,
                        load_daily)
-from .q_reshape import CLASSES, _q
+from .q_reshape import CLASSES, SUBS, _q
 from .registry import R, query
 
 CONTEXT, HORIZON, SEASON = 28, 7, 7
@@ -159,41 +159,88 @@ def forecast_seasonal(spark, base):
     return e.select("series", "origin", "step", "Data", rnd("predicted").alias("predicted"))
 
 
-# --- FCS-1 / FCS-2 (linear, rows-only) ----------------------------------------
+# --- FCS-1 / FCS-2 (linear) -----------------------------------------------------
+RIDGE = 1e-3
+
+
 def _linear_forecast(spark, base, with_exog: bool):
-    from ..operators import scale
+    from ..operators import lagged, scale
     d = gen_daily_long(spark, base)
+    exog = ["load"] if with_exog else []
     if with_exog:
         ld = load_daily(spark, base)
         tot = ld.select("Data", sum(F.coalesce(F.col(f"`{c}`"), F.lit(0.0))
                                     for c in ld.columns if c != "Data").alias("load"))
         d = d.join(tot, "Data", "left")
-    d = split.train_test_split(d, "Data", 0.3)
-    params = scale.fit_scaler(d, ["series"], "value", where=F.col("split") == "train")
+    d = materialize(split.train_test_split(d, "Data", 0.3))
+    learn = F.col("split") == "train"
+    params = scale.fit_scaler(d, ["series"], "value", where=learn)
     z = scale.apply_scaler(d, params, ["series"], "value")
     if with_exog:
-        z = scale.apply_scaler(z, scale.fit_scaler(z, [], "load", where=F.col("split") == "train"), [], "load")
-    exog = ["load"] if with_exog else []
-    w = split.context_windows(z, ["series"], "Data", "value", CONTEXT, HORIZON, exog=exog, bucket=F.year("Data"))
-    w = w.join(z.select("series", F.col("Data").alias("origin"), "split"), ["series", "origin"])
-    # a training window ends inside the training period
-    cut = d.where(F.col("split") == "train").agg(F.max("Data")).first()[0]
-    learn = (F.col("split") == "train") & (F.element_at("horizon", -1)["t"] <= F.lit(cut))
-    ex = F.col("exog_horizon") if with_exog else None
-    models = forecast.fit_linear(w.where(learn), ["series"], CONTEXT, HORIZON,
-                                 exog=ex, n_exog=HORIZON * len(exog))
-    fc = forecast.linear(w.where(F.col("split") == "test"), ["series"], models, HORIZON, exog=ex)
-    om = forecast.overlap_mean(forecast.explode_forecasts(fc, ["series"]), ["series"])
+        z = scale.standardize_wide(z, exog, learn)
+    z = materialize(z.join(split.date_positions(d, "Data").select("Data", "pos"), "Data"))
+    models = lagged.fit_windows(z.where(learn), ["series"], "pos", "value", CONTEXT, HORIZON, exog, [RIDGE])
+    om = lagged.forecast_mean(z, ["series"], "pos", "value", CONTEXT, HORIZON, "linear", models, exog,
+                              origins=F.col("split") == "test")
     back = scale.apply_scaler(om, params, ["series"], "predicted", inverse=True)
-    return back.join(d.select("series", "Data", F.col("value").alias("actual")), ["series", "Data"])
-
-
-@query("forecast_linear")
+    place = z.select("series", "pos", "Data")
+    out = back.join(place, ["series", "pos"]).join(d.select("series", "Data", F.col("value").alias("actual")), ["series", "Data"])
+    return out.select("series", "Data", rnd("predicted", 2).alias("predicted"), "n_forecasts", rnd("actual").alias("actual"))
+
+
+def _linear_sql(exog: bool):
+    """Ridge regression of all windows per series: centred normal equations,
+    solved by elimination."""
+    p = CONTEXT + (HORIZON if exog else 0)
+    m = p + HORIZON
+    load = (f""",
+{LOAD_DAILY_SQL},
+lt AS (SELECT Data, {' + '.join(f'COALESCE({_q("CARGA_" + s)}, 0)' for s in SUBS)} AS load FROM ldd)""" if exog else "")
+    x_load = f"""
+  UNION ALL SELECT a.series, a.rn AS origin, a.test, {CONTEXT} + h AS i, b.zl AS v FROM z a, range(1, {HORIZON + 1}) t(h)
+    JOIN z b ON b.series = a.series AND b.rn = a.rn + h""" if exog else ""
+    return f"""WITH RECURSIVE {_CELLS_DAY_SQL}{load},
+p0 AS (SELECT Data, row_number() OVER (ORDER BY Data) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT Data FROM dd)),
+sp AS MATERIALIZED (SELECT dd.series, Data, value, rn, rn > n - CAST(ceil(CAST(0.3 AS DOUBLE) * n) AS BIGINT) AS test
+        {', load' if exog else ''} FROM dd JOIN p0 USING (Data) {'LEFT JOIN lt USING (Data)' if exog else ''}),
+st AS (SELECT series, avg(value) AS mu, coalesce(nullif(stddev_pop(value), 0), 1) AS sd FROM sp WHERE NOT test GROUP BY 1),
+{'sl AS (SELECT avg(load) AS mu, coalesce(nullif(stddev_pop(load), 0), 1) AS sd FROM sp WHERE NOT test),' if exog else ''}
+z AS MATERIALIZED (SELECT sp.*, (value - st.mu) / st.sd AS zv {', (load - sl.mu) / sl.sd AS zl' if exog else ''}
+       FROM sp JOIN st USING (series) {', sl' if exog else ''}),
+x AS MATERIALIZED (SELECT a.series, a.rn AS origin, a.test, c AS i, b.zv AS v FROM z a, range(1, {CONTEXT + 1}) t(c)
+    JOIN z b ON b.series = a.series AND b.rn = a.rn - {CONTEXT} + c{x_load}),
+y AS MATERIALIZED (SELECT a.series, a.rn AS origin, b.test, {p} + h AS i, b.zv AS v FROM z a, range(1, {HORIZON + 1}) t(h)
+    JOIN z b ON b.series = a.series AND b.rn = a.rn + h),
+fx AS (SELECT series, origin FROM x WHERE v IS NOT NULL GROUP BY ALL HAVING count(*) = {p}),
+ly AS (SELECT series, origin FROM y WHERE v IS NOT NULL AND NOT test GROUP BY ALL HAVING count(*) = {HORIZON}),
+tr AS MATERIALIZED (SELECT * FROM (SELECT series, origin, i, v FROM x UNION ALL SELECT series, origin, i, v FROM y)
+       SEMI JOIN (SELECT * FROM fx JOIN ly USING (series, origin)) USING (series, origin)),
+mn AS MATERIALIZED (SELECT series, i, avg(v) AS mu, count(*) AS n FROM tr GROUP BY ALL),
+tc AS MATERIALIZED (SELECT series, origin, i, v - mu AS v FROM tr JOIN mn USING (series, i)),
+g AS MATERIALIZED (SELECT a.series, a.i, b.i AS j, sum(a.v * b.v) + CASE WHEN a.i = b.i THEN {RIDGE} * count(*) ELSE 0 END AS v
+      FROM tc a JOIN tc b USING (series, origin) WHERE a.i <= {p} GROUP BY ALL),
+el AS (SELECT 0 AS k, series, i, j, v FROM g
+  UNION ALL SELECT c.k + 1, c.series, c.i, c.j, CASE WHEN c.i = c.k + 1 THEN c.v / d.v ELSE c.v - f.v * r.v / d.v END
+  FROM el c JOIN el r ON r.series = c.series AND r.i = c.k + 1 AND r.j = c.j
+  JOIN el d ON d.series = c.series AND d.i = c.k + 1 AND d.j = c.k + 1
+  JOIN el f ON f.series = c.series AND f.i = c.i AND f.j = c.k + 1 WHERE c.k < {p}),
+w AS MATERIALIZED (SELECT series, i, j, v FROM el WHERE k = {p} AND j > {p}),
+pr AS (SELECT q.series, q.origin, w.j, any_value(t.mu) + sum(w.v * (q.v - mn.mu)) AS zp
+   FROM (SELECT * FROM x WHERE test) q SEMI JOIN fx USING (series, origin)
+   JOIN w ON w.series = q.series AND w.i = q.i JOIN mn ON mn.series = q.series AND mn.i = q.i
+   JOIN mn t ON t.series = q.series AND t.i = w.j
+   WHERE (q.series, q.origin) IN (SELECT series, origin FROM y GROUP BY ALL HAVING count(*) = {HORIZON}) GROUP BY ALL),
+om AS (SELECT series, origin + j - {p} AS rn, avg(zp) AS zp, count(*) AS n_forecasts FROM pr GROUP BY ALL)
+SELECT om.series, sp.Data, {R('om.zp * st.sd + st.mu', 2)} AS predicted, n_forecasts, {R('sp.value')} AS actual
+FROM om JOIN sp ON sp.series = om.series AND sp.rn = om.rn JOIN st ON st.series = om.series"""
+
+
+@query("forecast_linear", sql=_linear_sql(False))
 def forecast_linear(spark, base):
     return _linear_forecast(spark, base, False)
 
 
-@query("forecast_linear_exog")
+@query("forecast_linear_exog", sql=_linear_sql(True))
 def forecast_linear_exog(spark, base):
     return _linear_forecast(spark, base, True)
 

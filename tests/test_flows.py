@@ -91,13 +91,17 @@ def test_rf_and_forecast_studies_run(spark):
     days = pd.date_range("2015-01-01", periods=500, freq="D")
     rows = [(s, d.date(), float(100 + 10 * np.sin(i / 20) + rng.normal())) for s in ("H", "W") for i, d in enumerate(days)]
     daily = spark.createDataFrame(rows, "series string, Data date, value double")
-    fs = flows.forecast_study(daily, context=8, horizon=4, season=4).collect()
-    assert {(r.model, r.target) for r in fs} == {(m, t) for m in ("naive", "seasonal", "linear") for t in ("H", "W")}
+    known = daily.where("series = 'H'").select("Data", (F.col("value") * 2).alias("load.x"), F.dayofyear("Data").alias("d"))
+    fs = flows.forecast_study(daily, context=8, horizon=4, season=4, exog=known).collect()
+    assert {(r.model, r.target) for r in fs} == {(m, t) for m in ("naive", "seasonal", "linear", "linear_exog")
+                                                 for t in ("H", "W")}
+    error = {(r.model, r.target): r.mse for r in fs}
+    assert error["linear_exog", "H"] < 0.1 * error["linear", "H"]       # the channel is known in advance
     assert all(r.mse >= 0 for r in fs)
     wide = flows.to_wide(daily.withColumnRenamed("series", "series"), names=["H", "W"])
     frame = wide.withColumn("x", F.dayofyear("Data").cast("double")).withColumn(
         "split", F.when(F.col("Data") < F.lit("2016-01-01").cast("date"), "train").otherwise("test"))
-    met, pred = flows.rf_study(frame, ["H"], ["x"], num_trees=5, max_depth=4, feature_subset="all")
+    met, pred = flows.rf_study(frame, ["H"], ["x"], num_trees=5, max_depth=4)
     assert met.count() == 1 and pred.where(F.col("predicted") < 0).count() == 0
 
 
