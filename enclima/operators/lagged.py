@@ -213,7 +213,7 @@ def forecast_mean(rows: DataFrame, keys: Sequence[str], pos: str, value: str, co
         begin = int(key[-1]) * size
         pdf = pdf[(pdf["pos"] >= begin) & (pdf["pos"] < begin + size + width - 1)]
         if not len(pdf):
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+            return pd.DataFrame({f.name: np.array([], object) for f in schema.fields})
         x = _dense(pdf["pos"].to_numpy(), pdf["c"], begin, begin + size + width - 1, channels + 1)
         may_start, x = x[context - 1:, channels], x[:, :channels]
         got = _forecasts(x, context, horizon, kind, season, w, b)
@@ -227,7 +227,7 @@ def forecast_mean(rows: DataFrame, keys: Sequence[str], pos: str, value: str, co
         np.add.at(total, s + context + o, got[s, o])
         np.add.at(n, s + context + o, 1)
         some = np.flatnonzero(n)
-        return pd.DataFrame({**{k: [v] * len(some) for k, v in zip(keys, key[:-1])}, "pos": some + begin,
+        return pd.DataFrame({**{k: np.array([v] * len(some), object) for k, v in zip(keys, key[:-1])}, "pos": some + begin,
                              "total": total[some], "n": n[some]})
 
     if kind == "linear":

@@ -332,7 +332,7 @@ def _forest_rows_sql(where="split = 'train'"):
 tr AS ({_forest_rows_sql()}),{_tree_ctes('tr', 'a', LOAD_PREDICTORS + REGION_COLS, 2)}
 SELECT lv_a.node, [{', '.join(f"'{t}'" for t in TARGETS)}][t] AS target, count(*) AS n,
   [{', '.join(f"'{c}'" for c in LOAD_PREDICTORS + REGION_COLS)}][any_value(sp_a.f)] AS feature,
-  {R('any_value(sp_a.threshold)', 6)} AS threshold, {R('avg(y)', 4)} AS prediction
+  {R('any_value(sp_a.threshold)', 6)} AS threshold, {R('avg(y)', 6)} AS prediction
 FROM lv_a JOIN y_a USING (id) LEFT JOIN sp_a USING (node) GROUP BY lv_a.node, t""")
 def forest_tree(spark, base):
     """One joint tree of depth 2 without draws, node by node."""
@@ -346,7 +346,7 @@ def forest_tree(spark, base):
     items = F.array(*[F.struct(F.lit(t).alias("target"), F.col("prediction")[i].alias("value")) for i, t in enumerate(TARGETS)])
     return (forest.nodes.select("node", "n", F.when(F.col("feature").isNotNull(), name[F.col("feature")]).alias("feature"),
                                 rnd("threshold", 6).alias("threshold"), F.explode(items).alias("p"))
-            .select("node", "p.target", "n", "feature", "threshold", rnd("p.value").alias("prediction")))
+            .select("node", "p.target", "n", "feature", "threshold", rnd("p.value", 6).alias("prediction")))
 
 
 # --- REG-4 ------------------------------------------------------------------
@@ -363,9 +363,14 @@ def rf_grid(spark, base):
 
 # --- PIP-9 ------------------------------------------------------------------
 def standin_channels(spark, base):
-    """Load of every subsystem and sea temperature of every region, per day."""
+    """Load of every subsystem and sea temperature of every region, per day.
+    A grid stands for a week here, so that the channels span the windows."""
     load = flows.to_wide(ld_tables(spark, base, hourly=False)["daily_MWmed"], names=CARGA)
-    return load.join(region_table(spark, base), "Data")
+    first = F.to_date(F.lit(S.GRID_START))
+    day = F.date_add(first, 7 * F.datediff("Data", first) + F.col("_d"))
+    sea = (region_table(spark, base).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("Data", day)
+           .drop("_d"))
+    return load.join(sea, "Data")
 
 
 def _forecast_rows(met):

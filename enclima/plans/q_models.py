@@ -199,6 +199,10 @@ lt AS (SELECT Data, {' + '.join(f'COALESCE({_q("CARGA_" + s)}, 0)' for s in SUBS
     x_load = f"""
   UNION ALL SELECT a.series, a.rn AS origin, a.test, {CONTEXT} + h AS i, b.zl AS v FROM z a, range(1, {HORIZON + 1}) t(h)
     JOIN z b ON b.series = a.series AND b.rn = a.rn + h""" if exog else ""
+    # a window is fitted on if no channel misses a value anywhere in it
+    whole = f""" JOIN (SELECT a.series, a.rn AS origin FROM z a, range(1, {CONTEXT + 1}) t(c)
+      JOIN z b ON b.series = a.series AND b.rn = a.rn - {CONTEXT} + c AND b.zl IS NOT NULL
+      GROUP BY a.series, a.rn HAVING count(*) = {CONTEXT}) USING (series, origin)""" if exog else ""
     return f"""WITH RECURSIVE {_CELLS_DAY_SQL}{load},
 p0 AS (SELECT Data, row_number() OVER (ORDER BY Data) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT Data FROM dd)),
 sp AS MATERIALIZED (SELECT dd.series, Data, value, rn, rn > n - CAST(ceil(CAST(0.3 AS DOUBLE) * n) AS BIGINT) AS test
@@ -211,14 +215,14 @@ x AS MATERIALIZED (SELECT a.series, a.rn AS origin, a.test, c AS i, b.zv AS v FR
     JOIN z b ON b.series = a.series AND b.rn = a.rn - {CONTEXT} + c{x_load}),
 y AS MATERIALIZED (SELECT a.series, a.rn AS origin, b.test, {p} + h AS i, b.zv AS v FROM z a, range(1, {HORIZON + 1}) t(h)
     JOIN z b ON b.series = a.series AND b.rn = a.rn + h),
-fx AS (SELECT series, origin FROM x WHERE v IS NOT NULL GROUP BY ALL HAVING count(*) = {p}),
-ly AS (SELECT series, origin FROM y WHERE v IS NOT NULL AND NOT test GROUP BY ALL HAVING count(*) = {HORIZON}),
+fx AS (SELECT series, origin FROM x WHERE v IS NOT NULL GROUP BY series, origin HAVING count(*) = {p}),
+ly AS (SELECT series, origin FROM y WHERE v IS NOT NULL AND NOT test GROUP BY series, origin HAVING count(*) = {HORIZON}),
 tr AS MATERIALIZED (SELECT * FROM (SELECT series, origin, i, v FROM x UNION ALL SELECT series, origin, i, v FROM y)
-       SEMI JOIN (SELECT * FROM fx JOIN ly USING (series, origin)) USING (series, origin)),
+       SEMI JOIN (SELECT * FROM fx JOIN ly USING (series, origin){whole}) USING (series, origin)),
 mn AS MATERIALIZED (SELECT series, i, avg(v) AS mu, count(*) AS n FROM tr GROUP BY ALL),
 tc AS MATERIALIZED (SELECT series, origin, i, v - mu AS v FROM tr JOIN mn USING (series, i)),
 g AS MATERIALIZED (SELECT a.series, a.i, b.i AS j, sum(a.v * b.v) + CASE WHEN a.i = b.i THEN {RIDGE} * count(*) ELSE 0 END AS v
-      FROM tc a JOIN tc b USING (series, origin) WHERE a.i <= {p} GROUP BY ALL),
+      FROM tc a JOIN tc b USING (series, origin) WHERE a.i <= {p} GROUP BY a.series, a.i, b.i),
 el AS (SELECT 0 AS k, series, i, j, v FROM g
   UNION ALL SELECT c.k + 1, c.series, c.i, c.j, CASE WHEN c.i = c.k + 1 THEN c.v / d.v ELSE c.v - f.v * r.v / d.v END
   FROM el c JOIN el r ON r.series = c.series AND r.i = c.k + 1 AND r.j = c.j
@@ -229,7 +233,7 @@ pr AS (SELECT q.series, q.origin, w.j, any_value(t.mu) + sum(w.v * (q.v - mn.mu)
    FROM (SELECT * FROM x WHERE test) q SEMI JOIN fx USING (series, origin)
    JOIN w ON w.series = q.series AND w.i = q.i JOIN mn ON mn.series = q.series AND mn.i = q.i
    JOIN mn t ON t.series = q.series AND t.i = w.j
-   WHERE (q.series, q.origin) IN (SELECT series, origin FROM y GROUP BY ALL HAVING count(*) = {HORIZON}) GROUP BY ALL),
+   WHERE (q.series, q.origin) IN (SELECT series, origin FROM y GROUP BY series, origin HAVING count(*) = {HORIZON}) GROUP BY q.series, q.origin, w.j),
 om AS (SELECT series, origin + j - {p} AS rn, avg(zp) AS zp, count(*) AS n_forecasts FROM pr GROUP BY ALL)
 SELECT om.series, sp.Data, {R('om.zp * st.sd + st.mu', 2)} AS predicted, n_forecasts, {R('sp.value')} AS actual
 FROM om JOIN sp ON sp.series = om.series AND sp.rn = om.rn JOIN st ON st.series = om.series"""
