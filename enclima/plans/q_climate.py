@@ -177,6 +177,69 @@ def decompose_q(spark, base):
     return d.select("series", "Data", *[rnd(c).alias(c) for c in ["value", "trend", "seasonal", "resid"]])
 
 
+# --- DEC-1 (locally weighted) -------------------------------------------------
+LOESS_PERIOD, LOESS_SPAN, LOESS_INNER = 12, 11, 5
+
+
+def _loess_sql(src, by, x, y, span, last, extend=0, out="fit"):
+    """Local lines at -extend .. last + extend from (by, x, y, last) of ``src``."""
+    half, reach = (span - 1) // 2, span + extend
+    return f"""(SELECT {by}, px AS {x}, (t0 + CASE WHEN c > (0.001 * last) ^ 2 THEN -a / c * (t1 - a * t0) ELSE 0 END) / s0 AS {out}
+ FROM (SELECT *, s1 / s0 AS a, s2 / s0 - (s1 / s0) ^ 2 AS c FROM (
+  SELECT {by}, px, last, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * y) AS t0, sum(w * d * y) AS t1 FROM (
+   SELECT *, CASE WHEN abs(d) <= 0.001 * h THEN 1.0 WHEN abs(d) <= 0.999 * h THEN (1 - (abs(d) / h) ^ 3) ^ 3 ELSE 0 END AS w FROM (
+    SELECT *, (j - px)::DOUBLE AS d, (greatest(px - lo, hi - px) + floor(greatest({span} - last - 1, 0) / 2))::DOUBLE AS h FROM (
+     SELECT *, CASE WHEN last + 1 <= {span} THEN last ELSE lo + {span} - 1 END AS hi FROM (
+      SELECT *, CASE WHEN last + 1 <= {span} THEN 0 ELSE greatest(0, least(px - {half}, last - {span} + 1)) END AS lo FROM (
+       SELECT {by}, {x} AS j, {y} AS y, {last} AS last, unnest(range({x} - {reach}, {x} + {reach} + 1)) AS px FROM {src} WHERE {y} IS NOT NULL)
+      WHERE px >= -{extend} AND px <= last + {extend}))
+    WHERE j >= lo AND j <= hi))
+  GROUP BY {by}, px, last)) WHERE s0 > 0)"""
+
+
+def _decompose_loess_sql():
+    p, ctes = LOESS_PERIOD, []
+    for i in range(LOESS_INNER):
+        sub = f"(SELECT series, n, pos % {p} AS phase, pos // {p} AS cycle, v - trend AS y FROM st{i})"
+        ctes.append(f"""cy{i} AS MATERIALIZED (SELECT series, n, cycle * {p} + phase AS pos, c FROM
+  {_loess_sql(sub, 'series, n, phase', 'cycle', 'y', LOESS_SPAN, f'((n - 1 - phase) // {p})', 1, 'c')}),
+m1{i} AS (SELECT *, avg(c) OVER (PARTITION BY series ORDER BY pos ROWS BETWEEN CURRENT ROW AND {p - 1} FOLLOWING) AS m FROM cy{i}),
+m2{i} AS (SELECT * REPLACE (avg(m) OVER (PARTITION BY series ORDER BY pos ROWS BETWEEN CURRENT ROW AND {p - 1} FOLLOWING) AS m)
+  FROM m1{i}),
+m3{i} AS MATERIALIZED (SELECT series, n, pos + {p} AS pos, m FROM (SELECT * REPLACE (avg(m) OVER (PARTITION BY series ORDER BY pos
+  ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS m) FROM m2{i}) WHERE pos + {p} < n),
+lo{i} AS MATERIALIZED {_loess_sql(f'm3{i}', 'series, n', 'pos', 'm', p + 1, '(n - 1)', 0, 'low')},
+se{i} AS MATERIALIZED (SELECT st{i}.* EXCLUDE (trend), cy{i}.c - lo{i}.low AS seasonal
+  FROM st{i} JOIN cy{i} USING (series, pos) JOIN lo{i} USING (series, pos)),
+tr{i} AS MATERIALIZED {_loess_sql(f'(SELECT *, v - seasonal AS de FROM se{i})', 'series, n', 'pos', 'de', 21, '(n - 1)', 0, 'trend')},
+st{i + 1} AS MATERIALIZED (SELECT se{i}.* {'EXCLUDE (seasonal)' if i + 1 < LOESS_INNER else ''}, tr{i}.trend
+  FROM se{i} JOIN tr{i} USING (series, pos))""")
+    return ",\n".join(ctes)
+
+
+@query("decompose_loess", sql=f"""
+WITH {_CELLS_SQL},
+bounds AS (SELECT CAST(min(ts) AS TIMESTAMP) lo, CAST(max(ts) AS TIMESTAMP) hi FROM cells),
+cal AS (SELECT last_day(CAST(d AS DATE)) AS Data FROM bounds,
+        unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi), INTERVAL 1 MONTH)) t(d)),
+mm AS (SELECT k.series, cal.Data, AVG(c.value) AS value
+       FROM cal CROSS JOIN (SELECT DISTINCT series FROM cells) k
+       LEFT JOIN cells c ON c.series = k.series AND last_day(CAST(c.ts AS DATE)) = cal.Data GROUP BY ALL),
+z AS (SELECT series, Data, (value - AVG(value) OVER (PARTITION BY series))
+        / COALESCE(NULLIF(STDDEV_POP(value) OVER (PARTITION BY series), 0), 1) AS v FROM mm),
+st0 AS MATERIALIZED (SELECT series, Data, v, row_number() OVER (PARTITION BY series ORDER BY Data) - 1 AS pos,
+        count(*) OVER (PARTITION BY series) AS n, 0.0::DOUBLE AS trend FROM z),
+{_decompose_loess_sql()}
+SELECT series, Data, {R('v')} AS value, {R('trend')} AS trend, {R('seasonal')} AS seasonal,
+       {R('v - trend - seasonal')} AS resid FROM st{LOESS_INNER}""")
+def decompose_loess_q(spark, base):
+    from ..operators.loess import decompose_loess
+    m = resample.resample(gen_cells(spark, base), "ts", ["series"], "value", "month", "mean")
+    z = scale.standardize(m, ["series"], "value")
+    d = decompose_loess(z, ["series"], "Data", "value", [LOESS_PERIOD], [LOESS_SPAN], inner=LOESS_INNER)
+    return d.select("series", "Data", *[rnd(c).alias(c) for c in ["value", "trend", "seasonal", "resid"]])
+
+
 # --- GEO-4, AGG-17 ----------------------------------------------------------
 @query("phase_label", sql=f"""
 WITH {ANOMALY_INDEX_SQL},
