@@ -70,18 +70,40 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(suffix[:n - width + 1], prefix[width - 1:n])
 
 
-def cores(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, core: int):
+#: Units handled at once; positions are packed into 26 bits.
+AT_ONCE = 1 << 24
+
+
+def cores(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, core: int, at_once: int = 0):
     """Runs of windows with one core.
 
     ``units`` holds the documents ``units[starts[d]:ends[d]]``. Returns arrays
     (doc, first, last, at, hash): the windows of document ``doc`` starting at
     ``first..last`` (absolute positions) all have their core at ``at``.
+
+    More than ``at_once`` units are handled in pieces that overlap by ``length
+    - 1``: a window's core depends on its own units only, so the runs that a
+    seam cuts are joined again.
     """
+    at_once = max(at_once or AT_ONCE, 2 * length)
+    if len(units) <= at_once:
+        return _cores(units, starts, ends, length, core)
+    step, found = at_once - length + 1, []
+    for a in range(0, len(units) - length + 1, step):
+        b = min(a + at_once, len(units))
+        doc, first, last, at, h = _cores(units[a:b], np.clip(starts, a, b) - a, np.clip(ends, a, b) - a, length, core)
+        found.append((doc, first + a, last + a, at + a, h))
+    doc, first, last, at, h = (np.concatenate(c) for c in zip(*found))
+    seam = np.zeros(len(doc), bool)
+    seam[1:] = (doc[1:] == doc[:-1]) & (at[1:] == at[:-1]) & (first[1:] == last[:-1] + 1)
+    head = np.flatnonzero(~seam)
+    return doc[head], first[head], last[np.append(head[1:], len(doc)) - 1], at[head], h[head]
+
+
+def _cores(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, core: int):
     empty = np.zeros(0, np.int64)
     if len(units) < length:
         return empty, empty, empty, empty, np.zeros(0, np.uint64)
-    if len(units) >= 1 << 26:
-        raise ValueError("split the batch: at most 2**26 units at once")
     h = rolling(units, core)
     low = np.uint64((1 << 26) - 1)
     packed = (h & ~low) | np.arange(len(h), dtype=np.uint64)

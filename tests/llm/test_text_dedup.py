@@ -95,3 +95,18 @@ def test_components_of_a_chain_and_a_star(spark):
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert {got[i] for i in range(100, 141)} == {100} and {got[i] for i in range(300, 360)} == {7} and 5 not in got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_cores_of_long_texts_in_pieces():
+    import numpy as np
+
+    from enclima.llm import windows as W
+    rng = np.random.default_rng(8)
+    for n, docs, length, core in ((1, 1, 5, 2), (400, 1, 20, 5), (700, 9, 20, 5), (900, 40, 12, 4), (0, 2, 5, 2)):
+        units = rng.integers(0, 3, n).astype(np.uint64)                 # few values: many repeats and ties
+        cut = np.sort(rng.integers(0, n + 1, docs - 1))
+        starts, ends = np.append(0, cut).astype(np.int64), np.append(cut, n).astype(np.int64)
+        whole = W.cores(units, starts, ends, length, core)
+        for at_once in (2 * length, 2 * length + 3, 5 * length):
+            for a, b in zip(whole, W.cores(units, starts, ends, length, core, at_once)):
+                assert a.tolist() == b.tolist()
