@@ -15,8 +15,9 @@ a role. The folded messages are rendered with the template
 
 Control strings inside roles and texts are escaped reversibly: ``&`` becomes
 ``&amp;`` and ``<|`` becomes ``&lt;|`` (and a line feed in a role ``&#10;``).
-``loss_mask`` lists (start, length) of the assistant texts in the formatted
-string, in code points, without the markers.
+``loss_mask`` lists the assistant texts: (start, length) in the formatted
+string, in code points, without the markers; and (turn, at), the turn's number
+and where the text starts behind its start marker.
 
 Only DataFrame and SQL functions are used. The result of a conversation is one
 string, so a conversation's events are gathered for its row; deltas are
@@ -31,7 +32,7 @@ without events don't exist; a null conv_id is one conversation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -71,38 +72,40 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss_mask) of folded messages."""
-    turn = F.struct("seq", "message", F.col("role").alias("r"), F.col("text").alias("t"))
-    turns = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    head = F.transform("turns", lambda x: F.concat(F.lit(START), escape_role(x["r"]), F.lit("\n")))
-    body = F.transform("turns", lambda x: escape(x["t"]))
-    parts = turns.select("conv_id", "turns", head.alias("head"), body.alias("body"))
-    foot = F.lit(END + "\n")
-    piece = F.zip_with("head", "body", lambda h, b: F.concat(h, b, foot))
-    # where each turn starts: running sum of the pieces' lengths
-    zero = F.array(F.lit(0).cast("long"))
-    starts = F.aggregate(piece, zero, lambda acc, p: F.concat(
-        acc, F.array(F.element_at(acc, -1) + F.char_length(p).cast("long"))))
-    mask = F.filter(F.transform("turns", lambda x, i: F.struct(
-        (F.get("starts", i) + F.char_length(F.get("head", i))).alias("start"),
-        F.char_length(F.get("body", i)).cast("long").alias("length"),
-        (x["r"] == ASSISTANT).alias("learn"))), lambda m: m["learn"])
-    return (parts.withColumn("starts", starts)
-            .select("conv_id", F.array_join(piece, "").alias("formatted"),
-                    F.transform(mask, lambda m: F.struct(m["start"].alias("start"), m["length"].alias("length")))
-                    .alias("loss_mask")))
+    """(conv_id, formatted, loss_mask) of folded messages.
+
+    Every turn is rendered on its own row; where it starts is a running sum of
+    the lengths before it, so that work grows with the events of a conversation
+    and a conversation's row is put together once."""
+    order = Window.partitionBy("conv_id").orderBy("seq", "message", "role", "text")
+    head, body = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")), escape(F.col("text"))
+    sized = (messages.select("conv_id", "seq", "message", "role", "text", head.alias("head"), body.alias("body"))
+             .withColumn("size", F.char_length("head") + F.char_length("body") + len(END) + 1)
+             .withColumn("place", F.row_number().over(order) - 1)
+             .withColumn("start", F.sum(F.col("size").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+                         - F.col("size")))
+    turn = F.struct("place", F.concat("head", "body", F.lit(END + "\n")).alias("piece"),
+                    (F.col("role") == ASSISTANT).alias("learn"),
+                    F.struct((F.col("start") + F.char_length("head")).alias("start"),
+                             F.char_length("body").cast("long").alias("length"), F.col("place").alias("turn"),
+                             (F.char_length("head") - len(START)).alias("at")).alias("mask"))
+    turns = sized.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    return turns.select("conv_id", F.array_join(F.col("turns.piece"), "").alias("formatted"),
+                        F.transform(F.filter("turns", lambda x: x["learn"]), lambda x: x["mask"]).alias("loss_mask"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Parse formatted conversations: adds turns (role, text) and loss_text
-    (unescaped text under the loss mask)."""
-    raw = F.slice(F.split("formatted", r"\Q" + START + r"\E", -1), 2, F.size(F.split("formatted", r"\Q" + START + r"\E", -1)))
-    turn = F.transform(raw, lambda p: F.struct(
+    (unescaped text under the loss mask). The string is split once; the text
+    under a mask entry is cut from the piece of its turn."""
+    others = [F.col(f"`{c}`") for c in formatted.columns]
+    pieces = formatted.select(*others, F.split("formatted", r"\Q" + START + r"\E", -1).alias("_pieces"))
+    turn = F.transform(F.slice("_pieces", F.lit(2), F.size("_pieces") - 1), lambda p: F.struct(
         unescape_role(F.substring_index(p, "\n", 1)).alias("role"),
         unescape(F.substring_index(F.substr(p, F.instr(p, "\n") + 1), END, 1)).alias("text")))
     seen = F.transform("loss_mask", lambda m: unescape(
-        F.substr("formatted", (m["start"] + 1).cast("int"), m["length"].cast("int"))))
-    return formatted.withColumn("turns", turn).withColumn("loss_text", F.array_join(seen, ""))
+        F.substr(F.get("_pieces", m["turn"] + 1), (m["at"] + 1).cast("int"), m["length"].cast("int"))))
+    return pieces.select(*others, turn.alias("turns"), F.array_join(seen, "").alias("loss_text"))
 
 
 def chat_format(events: DataFrame) -> DataFrame:

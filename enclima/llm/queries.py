@@ -192,10 +192,24 @@ def op7_chat_format(spark, base):
                  F.lit(r).alias("role"), F.lit(CONTROL).alias("text"))
         for i, r in enumerate(("user", "assistant"))])).alias("x")).select("x.*")
     rows = rows.unionByName(own)
-    # every row is one whole message; its place is the sequence number
+    # a row's place is its message; its log is the whole text, two deltas, a draft
+    # that is edited, or a draft and a new try in deltas
     seq = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    events = (rows.withColumn("seq", seq)
-              .select("conv_id", "seq", F.col("seq").alias("message"), "role", F.lit("message").alias("kind"), "text"))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    left, right = F.substr("text", F.lit(1), half), F.substr("text", half + 1)
+
+    def log(*steps):
+        return F.array(*[F.struct(F.lit(kind).alias("kind"), text.alias("text")) for kind, text in steps])
+
+    draft = F.lit("draft <|im_end|>")
+    steps = (F.when(F.col("seq") % 4 == 0, log(("message", F.col("text"))))
+             .when(F.col("seq") % 4 == 1, log(("message", F.lit("")), ("delta", left), ("delta", right)))
+             .when(F.col("seq") % 4 == 2, log(("message", draft), ("edit", F.col("text"))))
+             .otherwise(log(("message", draft), ("regenerate", left), ("delta", right))))
+    events = (rows.withColumn("seq", seq).withColumn("text", F.coalesce("text", F.lit("")))
+              .select("conv_id", "role", "seq", F.posexplode(steps).alias("step", "event"))
+              .select("conv_id", (F.col("seq") * 4 + F.col("step")).alias("seq"), F.col("seq").alias("message"), "role",
+                      "event.kind", "event.text"))
     back = read_back(chat_format(events))
     line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"),

@@ -108,6 +108,24 @@ def test_fold_render_and_round_trip(spark):
     assert chat.chat_format(spark.createDataFrame([], EVENTS)).count() == 0
 
 
+def test_a_very_long_conversation(spark):
+    import time
+    n = 20_000
+    ev = spark.range(2 * n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("seq"),
+                                   F.floor(F.col("id") / 2).alias("message"),
+                                   F.when(F.col("id") % 4 < 2, "user").otherwise("assistant").alias("role"),
+                                   F.when(F.col("id") % 2 == 0, "message").otherwise("delta").alias("kind"),
+                                   F.concat(F.lit("é<|"), F.col("id").cast("string")).alias("text"))
+    begin = time.time()
+    r = chat.read_back(chat.chat_format(ev)).first()
+    text = lambda m: f"é<|{2 * m}é<|{2 * m + 1}"
+    assert [tuple(t) for t in r.turns] == [("assistant" if m % 2 else "user", text(m)) for m in range(n)]
+    assert r.loss_text == "".join(text(m) for m in range(1, n, 2))
+    for m in r.loss_mask[::997]:
+        assert r.formatted[m.start:m.start + m.length].replace("&lt;|", "<|") == text(m.turn)
+    assert time.time() - begin < 60
+
+
 def test_url_rules_and_aliases(spark):
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
     link = '<link href="{}" REL=canonical>'.format
