@@ -29,7 +29,7 @@ horizon, and rows (not values) to exist there.
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -193,11 +193,12 @@ def _forecasts(x: np.ndarray, context: int, horizon: int, kind: str, season: int
 
 
 def forecast_mean(rows: DataFrame, keys: Sequence[str], pos: str, value: str, context: int, horizon: int,
-                  kind: str = "linear", models: DataFrame | None = None, exog: Sequence[str] = (),
+                  kind: str | Callable = "linear", models: DataFrame | None = None, exog: Sequence[str] = (),
                   season: int = 7, origins: Column | None = None) -> DataFrame:
     """(keys, pos, predicted, n_forecasts): mean of the forecasts that different
-    origins made for a position. ``kind`` is ``naive``, ``seasonal`` or
-    ``linear`` (with ``models`` of ``fit_windows``). ``origins``, a condition on
+    origins made for a position. ``kind`` is ``naive``, ``seasonal``,
+    ``linear`` (with ``models`` of ``fit_windows``) or a function of (rows x
+    channels, context, horizon) that gives the forecasts of all its windows. ``origins``, a condition on
     the columns of ``rows``, names the rows that may be an origin."""
     keys, width, channels = list(keys), context + horizon, 1 + len(exog)
     size = _block_rows(width)
@@ -216,7 +217,7 @@ def forecast_mean(rows: DataFrame, keys: Sequence[str], pos: str, value: str, co
             return pd.DataFrame({f.name: np.array([], object) for f in schema.fields})
         x = _dense(pdf["pos"].to_numpy(), pdf["c"], begin, begin + size + width - 1, channels + 1)
         may_start, x = x[context - 1:, channels], x[:, :channels]
-        got = _forecasts(x, context, horizon, kind, season, w, b)
+        got = kind(x, context, horizon) if callable(kind) else _forecasts(x, context, horizon, kind, season, w, b)
         there = np.zeros(len(x), bool)
         there[pdf["pos"].to_numpy() - begin] = True
         count = np.concatenate([[0], np.cumsum(there)])

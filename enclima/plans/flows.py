@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..dims import FUEL_CLASS, patches_df
 from ..functions import add_calendar_features, clamp_negative, sum_or_zero
-from ..operators import align, clean, evaluate, lagged, reshape, resample, scale, split
+from ..operators import align, clean, evaluate, lagged, reshape, resample, scale, split, trained
 from ..operators.forest import DEFAULTS, fit_forests
 from ..operators.regress import LinearModel
 from ..session import materialize
@@ -235,14 +235,17 @@ def rf_grid(frame: DataFrame, targets: Sequence[str], exogs: Sequence[str], grid
 def forecast_study(daily_long: DataFrame, context: int = 90, horizon: int = 30, season: int = 52,
                    exog: DataFrame | None = None, period: str = "week", before: int | None = None,
                    drop: Sequence[str] = ("Fotovoltaica", "Outras"), fractions: dict | None = None,
-                   ridges: Sequence[float] = (1e-3, 1e-2, 1e-1, 1.0)) -> DataFrame:
+                   ridges: Sequence[float] = (1e-3, 1e-2, 1e-1, 1.0),
+                   models: Sequence[str] = ("naive", "seasonal", "linear", "linear_exog"), **training) -> DataFrame:
     """PIP-9: means per ``period`` ("week" or "day"), complete dates only,
     70/10/20 split with context overlap, scaling fitted on train, forecasters
     (last value, seasonal, linear on the context, and with ``exog`` - a wide
     table per date, known in advance - linear with all its channels), overlap
     mean, dates common with the test actuals, monthly means, metrics per
     (model, target). Of several ``ridges`` each series takes the one with the
-    smallest error on the valid split."""
+    smallest error on the valid split. The model ``trained`` is one network for
+    all series and channels, fitted by gradient steps with early stop on the
+    valid split (``training``: arguments of ``trained.fit``)."""
     d = clean.fill_missing(daily_long, ["value"], 0.0)
     d = clean.filter_keys_not_containing(d, "series", drop)
     if period != "day":
@@ -281,10 +284,17 @@ def forecast_study(daily_long: DataFrame, context: int = 90, horizon: int = 30,
         best = errors.groupBy("series").agg(F.min(F.struct("mse", "ridge")).alias("b")).select("series", F.col("b.ridge"))
         return materialize(models.join(best, ["series", "ridge"]))
 
-    found = {"naive": run(part["test"], "naive"), "seasonal": run(part["test"], "seasonal"),
-             "linear": run(part["test"], "linear", best_linear([]))}
-    if channels:
-        found["linear_exog"] = run(part["test"], "linear", best_linear(channels), channels)
+    found = {}
+    for name in models:
+        if name in ("naive", "seasonal"):
+            found[name] = run(part["test"], name)
+        elif name == "linear":
+            found[name] = run(part["test"], "linear", best_linear([]))
+        elif name == "linear_exog" and channels:
+            found[name] = run(part["test"], "linear", best_linear(channels), channels)
+        elif name == "trained":
+            net, _ = trained.fit(part["train"], part["valid"], ["series"], "pos", "value", context, horizon, channels, **training)
+            found[name] = run(part["test"], net, None, channels)
     actual = sp.where(F.col("split") == "test").select("series", "pos", "Data", F.col("value").alias("actual"))
     out = None
     for name, forecasts in found.items():

@@ -391,3 +391,11 @@ def forecast_study_daily(spark, base):
     daily = gen_tables(spark, base, hourly=False)["daily_MWmed"]
     return _forecast_rows(flows.forecast_study(daily, 512, 96, 365, standin_channels(spark, base), "day", before=2001,
                                                drop=("OTHER",), ridges=(1e-1,)))
+
+
+@query("forecast_finetune")
+def forecast_finetune(spark, base):
+    """One trained network for all targets, stopped early on the valid weeks."""
+    daily = gen_tables(spark, base, hourly=False)["daily_MWmed"]
+    return _forecast_rows(flows.forecast_study(daily, 90, 30, 52, standin_channels(spark, base), "week", before=2001,
+                                               drop=("OTHER",), models=("naive", "trained"), epochs=12, steps=2, patience=4))
