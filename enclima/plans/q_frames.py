@@ -351,13 +351,29 @@ FROM z WHERE Data >= DATE '1999-01-01' GROUP BY series""")
 def distribution_summary(spark, base):
     z = scale.standardize(gen_daily_long(spark, base), ["series"], "value", out="z")
     z = clean.year_range(z, "Data", after=1998)
-    q = F.percentile(F.col("z"), [0.25, 0.5, 0.75])
+    from ..operators.quantile import exact_quantiles
+    z = materialize(z)
+    q = exact_quantiles(z, ["series"], "z", [0.25, 0.5, 0.75]).select("series", F.col("quantiles").alias("_q"))
     return (z.groupBy("series").agg(F.count("*").alias("n"), rnd(F.min("z")).alias("min"),
-                                    rnd(F.avg("z")).alias("mean"), rnd(F.max("z")).alias("max"), q.alias("_q"))
+                                    rnd(F.avg("z")).alias("mean"), rnd(F.max("z")).alias("max")).join(q, "series")
              .select("series", "n", "min", "mean", "max", rnd(F.col("_q")[0]).alias("q1"),
                      rnd(F.col("_q")[1]).alias("median"), rnd(F.col("_q")[2]).alias("q3")))
 
 
+@query("fact_quantiles", sql=f"""
+WITH {GEN_CTE}, a AS (SELECT {CLASS_SQL} AS cls, value FROM gen UNION ALL SELECT 'all', value FROM gen)
+SELECT cls, COUNT(value) AS n, {', '.join(f"{R(f'quantile_cont(value, {q})', 3)} AS q{int(q * 1000)}" for q in (0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0))}
+FROM a GROUP BY cls""")
+def fact_quantiles(spark, base):
+    """Quantiles of the raw facts per class and over all: groups that grow with the data."""
+    from ..operators.quantile import exact_quantiles
+    g = clean.remap_values(S.gen_fact(spark, base), "cat", S.PRIORITY_CLASS, out="cls").select("cls", "value")
+    both = g.unionByName(g.select(F.lit("all").alias("cls"), "value"))
+    probs = (0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0)
+    out = exact_quantiles(both, ["cls"], "value", probs, accuracy=1000)
+    return out.select("cls", "n", *[rnd(F.col("quantiles")[i], 3).alias(f"q{int(q * 1000)}") for i, q in enumerate(probs)])
+
+
 # --- SCL-1, AGG-16, AGG-19 --------------------------------------------------
 @query("standardize_all", sql=f"""
 WITH {_CELLS_DAY_SQL}

@@ -134,6 +134,29 @@ def region_median(spark, base):
     return r.select("Data", "region", rnd("value", 6).alias("value"))
 
 
+# --- JOI-8, FLT-4 (many boxes) ------------------------------------------------
+# One box per customer, about its number; every seventh crosses the date line.
+_BOX = ["CAST(c_custkey % 150 - 75 AS DOUBLE) AS south", "CAST(c_custkey % 150 - 75 + c_custkey % 11 AS DOUBLE) AS north",
+        "CAST((c_custkey * 37) % 340 - 170 AS DOUBLE) AS west",
+        "CAST((c_custkey * 37) % 340 - 170 + CASE WHEN c_custkey % 7 = 0 THEN -20 ELSE c_custkey % 10 END AS DOUBLE) AS east"]
+
+
+@query("many_regions", sql=f"""
+WITH {GRID_SQL},
+boxes AS (SELECT c_custkey AS region, {", ".join(_BOX)} FROM customer),
+cell AS (SELECT lat, lon, COUNT(value) AS n, SUM(value) AS s FROM gw GROUP BY ALL)
+SELECT region, CAST(SUM(n) AS BIGINT) AS n, {R('SUM(s) / SUM(n)', 6)} AS value FROM cell JOIN boxes
+  ON lat BETWEEN south AND north AND CASE WHEN west <= east THEN lon BETWEEN west AND east ELSE lon >= west OR lon <= east END
+GROUP BY region""")
+def many_regions(spark, base):
+    """Mean of all cells in each of many boxes (one per customer)."""
+    boxes = S.read_table(spark, base, "customer").selectExpr("c_custkey AS region", *_BOX)
+    cells = (REG.wrap_longitudes(grid(spark, base)).groupBy("lat", "lon")
+             .agg(F.count("value").alias("n"), F.sum("value").alias("s")))
+    found = REG.cells_in_regions(cells, boxes)
+    return found.groupBy("region").agg(F.sum("n").alias("n"), rnd(F.sum("s") / F.sum("n"), 6).alias("value"))
+
+
 # --- MTH-1, RSH-5 -----------------------------------------------------------
 @query("lon_wrap", sql=f"""WITH {GRID_SQL}
 SELECT lat, lon_raw, lon, COUNT(*) AS n, {R('AVG(value)', 6)} AS mean_value FROM gw GROUP BY ALL""")
