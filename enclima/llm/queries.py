@@ -22,7 +22,53 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-@query("op1_substring_dedup")
+# Words of the contracts, as a regular expression of DuckDB.
+WORD_SQL = r"[^\x20\x09-\x0D]+"
+
+_OP1_SQL = f"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD_SQL}') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM w, unnest(range(1, len(ws) - 18)) t(i)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win)
+          WHERE r > 1),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, i + o AS p FROM later, range(20) t(o)),
+pos AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k FROM pos ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(lost.n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM w LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+_OP2_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '{WORD_SQL}') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+   FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) t(i) WHERE len(ws) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_sides AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM both_sides JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+   WHERE 100 * i >= 80 * (x.n + y.n - i)),
+way AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a, b FROM way UNION SELECT r.a, w.b FROM reach r JOIN way w ON r.b = w.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.low, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a) m USING (doc_id)"""
+
+_OP3_SQL = """
+WITH t AS MATERIALIZED (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+part AS MATERIALIZED (SELECT doc_id, c, substr(h, 800 * c + 1, 1198) AS p FROM t, unnest(range(0, length(h) // 800 + 1)) u(c)),
+win AS (SELECT doc_id, 400 * c + j AS i, md5(substr(p, 2 * j + 1, 400)) AS k
+        FROM part, unnest(range(0, least(length(p) // 2 - 199, 400))) u(j)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c FROM win) WHERE c > 1),
+edge AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM hit),
+run AS (SELECT doc_id, i, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM edge),
+span AS MATERIALIZED (SELECT doc_id, r, min(i) AS a, max(i) + 200 AS b FROM run GROUP BY doc_id, r),
+rest AS (SELECT doc_id, a, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS from_ FROM span
+         UNION ALL SELECT doc_id, length(h) // 2, coalesce(x.b, 0) FROM t LEFT JOIN (SELECT doc_id, max(b) AS b FROM span GROUP BY doc_id) x USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY from_) AS k FROM rest JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT t.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(s.n, 0)::BIGINT AS n_removed, coalesce(s.c, 0) AS n_spans,
+  sha256(unhex(kept.k)) AS kept_sha256
+FROM t JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS n, count(*) AS c FROM span GROUP BY doc_id) s USING (doc_id)"""
+
+
+@query("op1_substring_dedup", _OP1_SQL)
 def op1_substring_dedup(spark, base):
     """20-word windows that start earlier, taken out of every document."""
     from .substring_dedup import substring_dedup
@@ -30,14 +76,14 @@ def op1_substring_dedup(spark, base):
             .select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")))
 
 
-@query("op2_ngram_jaccard_join")
+@query("op2_ngram_jaccard_join", _OP2_SQL)
 def op2_ngram_jaccard_join(spark, base):
     """Components of documents with a 5-word shingle Jaccard of 0.8 or more."""
     from .ngram_join import ngram_join
     return ngram_join(read_table(spark, base, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-@query("op3_suffix_dedup")
+@query("op3_suffix_dedup", _OP3_SQL)
 def op3_suffix_dedup(spark, base):
     """200-byte strings that also start elsewhere, taken out of every document."""
     from .suffix_dedup import suffix_dedup
@@ -238,7 +284,23 @@ def op8_sharding(spark, base):
     return shard(read_table(spark, base, "documents"), SHARD_BYTES)
 
 
-@query("op9_embedding_near_dedup")
+_OP9_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, list_transform(embedding, lambda y: y::DOUBLE) AS e
+    FROM embeddings),
+good AS MATERIALIZED (SELECT r, vec_id, e, sqrt(list_sum(list_transform(e, lambda y: y * y))) AS size FROM v
+   WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+     AND len(list_filter(e, lambda y: y <> 0)) > 0),
+link AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.r <> b.r AND len(a.e) = len(b.e)
+   WHERE list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.9),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+low AS (SELECT reach.a AS r, min(v.vec_id) AS low FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a),
+deg AS (SELECT a AS r, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(deg.n, 0) AS n_links, least(vec_id, coalesce(low.low, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(low.low, vec_id)) AS kept
+FROM v LEFT JOIN low USING (r) LEFT JOIN deg USING (r)"""
+
+
+@query("op9_embedding_near_dedup", _OP9_SQL)
 def op9_embedding_near_dedup(spark, base):
     """Components of embeddings with cosine 0.9 or more."""
     from .embedding_dedup import near_duplicates
