@@ -40,14 +40,14 @@ def test_gradient_of_the_network():
 def test_beats_the_linear_forecaster_and_restarts(spark, tmpdir_path):
     df = spark.createDataFrame(rows_of(260), SCHEMA).cache()
     part = {"train": df.where("pos < 180"), "valid": df.where("pos >= 176 AND pos < 215"), "test": df.where("pos >= 211")}
-    how = dict(keys=["series"], pos="pos", value="value", context=4, horizon=1, hidden=24, epochs=16, steps=5, rate=0.1,
-               patience=16, seed=11)
+    how = dict(keys=["series"], pos="pos", value="value", context=4, horizon=1, hidden=16, epochs=12, steps=4, rate=0.1,
+               patience=12, seed=11)
     whole, history = trained.fit(part["train"], part["valid"], path=f"{tmpdir_path}/whole", **how)
-    assert len(history) == 16 and history[-1][1] < 0.5 * history[0][1]
+    assert len(history) == 12 and history[-1][1] < 0.5 * history[0][1]
     # stopped after five epochs and gone on from the written state, dealt otherwise
     trained.fit(part["train"].repartition(7), part["valid"], path=f"{tmpdir_path}/parts", stop_after=5, **how)
     again, resumed = trained.fit(part["train"], part["valid"], path=f"{tmpdir_path}/parts", **how)
-    assert len(resumed) == 16 and np.allclose(again.theta, whole.theta, rtol=1e-6, atol=1e-8)
+    assert len(resumed) == 12 and np.allclose(again.theta, whole.theta, rtol=1e-6, atol=1e-8)
 
     models = lagged.fit_windows(part["train"], ["series"], "pos", "value", 4, 1)
     error = {}
