@@ -73,7 +73,9 @@ def cells_in_regions(grid: DataFrame, regions: DataFrame, lat: str = "lat", lon:
     Up to ``few`` boxes become one array literal that is filtered per cell, so
     there is no join at all. More boxes are spread to the tiles they cover and
     equi-joined with the cells on the tile, the exact test behind it; nothing
-    of them is collected. Longitudes of cells and boxes lie in [-180, 180]; a
+    of them is collected. The join is by sorted shuffle: the planner's estimate
+    of the tiles is that of the unspread boxes, so left to itself it would
+    gather the spread ones for a broadcast. Longitudes of cells and boxes lie in [-180, 180]; a
     box with west > east crosses the date line."""
     names = [c for c in regions.columns if c not in ("north", "south", "west", "east")]
     boxes = regions.limit(few + 1).collect()
@@ -85,7 +87,7 @@ def cells_in_regions(grid: DataFrame, regions: DataFrame, lat: str = "lat", lon:
         held = F.filter(literal, lambda b: _inside(F.col(lat), F.col(lon), lambda c: b[c]))
         cells = grid.withColumn("_box", F.explode(held))
     else:
-        tiles = _tiled(regions.select(F.struct(*[F.col(f"`{c}`") for c in regions.columns]).alias("_box")), tile)
+        tiles = _tiled(regions.select(F.struct(*[F.col(f"`{c}`") for c in regions.columns]).alias("_box")), tile).hint("merge")
         cells = (grid.withColumns({"_ty": F.floor(F.col(lat) / tile), "_tx": F.floor(F.col(lon) / tile)})
                  .join(tiles, ["_ty", "_tx"]).where(_inside(F.col(lat), F.col(lon), lambda c: F.col(f"_box.{c}"))))
     return cells.select(*kept, *[F.col(f"_box.{c}").alias(c) for c in names])

@@ -71,3 +71,11 @@ def test_ten_thousand_boxes(spark):
     table = spark.createDataFrame(boxes(10_000), "region string, north double, south double, west double, east double")
     grid = spark.range(500).select("id", (F.rand(1) * 180 - 90).alias("lat"), (F.rand(2) * 360 - 180).alias("lon"))
     assert regions.cells_in_regions(grid, table).count() > 500
+
+
+def test_spread_boxes_are_not_broadcast(spark):
+    """The planner sees few bytes of boxes, not the many rows they spread to."""
+    table = spark.range(5000).selectExpr("id AS region", "-60.0D AS south", "60.0D AS north", "-170.0D AS west", "170.0D AS east")
+    grid = spark.range(0, 4_000_000, 1, 4).selectExpr("id", "id % 90 + 0.5D AS lat", "id % 180 + 0.5D AS lon")
+    plan = regions.cells_in_regions(grid, table)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
