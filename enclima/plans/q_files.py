@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rnd
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from ..sources import csv_files as CF
 from . import standins as S
 from .registry import LOAD_CTE, R, query
@@ -47,18 +47,30 @@ def csv_layouts_load(spark, base):
 
 # --- SRC-2, S13: yearly and monthly files, some months without a file -----------------
 MONTHLY_FROM = 1996
+#: Rows up to which a period is one file.
+FILE_ROWS = 500_000
 
 
 def write_period_csv(spark, base, root):
     """Stand-in input: one file per year before ``MONTHLY_FROM`` and one per
     month from then on, named ``load_{year}.csv`` / ``load_{year}_{mm}.csv``
-    (as folders of one year or month each, renamed to the file pattern)."""
+    (as folders of one year or month each, renamed to the file pattern). A
+    period of more than ``FILE_ROWS`` rows is dealt by a hash of its rows to
+    several files of that name, so no task sorts a whole period."""
     ld = S.load_fact(spark, base).select(
         F.date_format("ts", "yyyy-MM-dd").alias("din_instante"), F.col("sub").alias("id_subsistema"),
         F.col("value").cast("string").alias("val_carga"),
         F.when(F.year("ts") < MONTHLY_FROM, F.date_format("ts", "yyyy"))
-         .otherwise(F.date_format("ts", "yyyy_MM")).alias("period"))
-    (ld.repartition("period").sortWithinPartitions("period").write.partitionBy("period").option("sep", ";")
+         .otherwise(F.date_format("ts", "yyyy_MM")).alias("period"),
+        F.xxhash64("ts", "sub", "l_quantity", "l_extendedprice", "l_tax", F.spark_partition_id()).alias("_hash"))
+    # one row per period: bounded by the calendar
+    slices = materialize(ld.groupBy(F.col("period").alias("_of")).agg(
+        F.ceil(F.count("*") / FILE_ROWS).alias("_slices")))
+    tasks = slices.agg(F.sum("_slices")).first()[0] or 1
+    dealt = (ld.join(F.broadcast(slices), F.col("period").eqNullSafe(F.col("_of")))
+             .withColumn("_slice", F.pmod("_hash", "_slices")).repartition(int(tasks), "period", "_slice")
+             .select("din_instante", "id_subsistema", "val_carga", "period"))
+    (dealt.sortWithinPartitions("period").write.partitionBy("period").option("sep", ";")
        .option("header", "true").csv(f"{root}/parts"))
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -128,3 +128,22 @@ def test_grid_long_source(spark, tmpdir_path):
     out = {r.region: r.value for r in regions.region_stat(g, regions_df(spark), "mean", by="parent").collect()}
     assert out == {"NIN 4": 4.0, "NIN 3.4": 3.0}        # 180 -> -180 (NaN skipped), 359.75 in no box
     assert variable_label("sea_surface_temperature") == "sst" and variable_label("x") == "x"
+
+
+def test_a_long_period_is_dealt_to_several_files(spark, tmpdir_path, monkeypatch):
+    """No task sorts or writes a whole year; rows without a date and repeated rows are kept."""
+    from enclima.plans import q_files
+    base, root = os.path.join(tmpdir_path, "tables"), os.path.join(tmpdir_path, "csv")
+    monkeypatch.setattr(q_files, "FILE_ROWS", 50, raising=False)
+    day = F.when(F.col("id") % 100 == 0, F.lit("1997-02-03")).when(F.col("id") != 7, F.lit("1994-05-06")).cast("timestamp")
+    spark.range(0, 2000, 1, 4).select(
+        F.lit(1).alias("l_suppkey"), day.alias("l_shipdate"), (F.col("id") % 50).cast("double").alias("l_quantity"),
+        F.col("id").cast("double").alias("l_extendedprice"), F.lit(0.0).alias("l_tax")).write.parquet(f"{base}/lineitem.parquet")
+    for name, text in (("supplier", "1 s_suppkey, 1 s_nationkey"), ("nation", "1 n_nationkey, 1 n_regionkey"),
+                       ("region", "1 r_regionkey, 'ASIA' r_name")):
+        spark.sql(f"SELECT {text}").write.parquet(f"{base}/{name}.parquet")
+    q_files.write_period_csv(spark, base, root)
+    lines = {f: len(open(f.removeprefix("file:")).readlines()) - 1 for f in CF.list_files(spark, f"{root}/files/*/load_*.csv")}
+    year = [n for f, n in lines.items() if f.endswith("/load_1994.csv")]
+    assert sum(year) == 1979 and len(year) > 10 and max(year) < 600
+    assert [n for f, n in lines.items() if f.endswith("/load_1997_02.csv")] == [20] and sum(lines.values()) == 2000
