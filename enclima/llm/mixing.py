@@ -5,10 +5,11 @@ raked: scaled to the target marginal of each dimension in turn, again and
 again. A cell's calibrated probability is its raked weight over its tokens,
 scaled so that the scarcest cell is kept whole; a document is drawn by its
 cell's probability with a hash of its id, so the draw is the same in every run
-and all marginals are met in expectation. With ``trim`` above 0, scarce cells
-that together hold that share of the raked weight or less are kept whole
-without thinning out all others: more documents, but marginals that miss their
-targets.
+and all marginals are met in expectation. So that a few scarce cells don't thin
+out all others, those that together hold the share ``trim`` of the raked weight
+or less are held at what they have, and the other cells are raked again to what
+is left of the targets: more documents, and marginals that hold. A cell is held
+only if each of its values has another cell to fill its target.
 
 Whole texts are read once for the cells and once for the result; with
 ``keep_text=False`` once in all, for the result is then drawn from a narrow
@@ -36,7 +37,7 @@ from .common import remove, save
 DIMS = ("source", "lang", "topic")
 OTHER = "other"
 ROUNDS = 12
-TRIM = 0.0
+TRIM = 0.1
 SEED = "mix"
 
 
@@ -83,25 +84,73 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = R
         if i and i % ROUNDS == 0:               # keep the plan shallow
             cur = save(cur)[0].coalesce(1)
         for d in DIMS:
-            goal = F.lit(0.0)
-            for value, share in sorted(targets[d].items()):
-                goal = F.when(F.col(f"mix_{d}") == value, F.lit(float(share))).otherwise(goal)
             held = F.sum("w").over(Window.partitionBy(f"mix_{d}"))
-            cur = cur.withColumn("w", F.when(held > 0, F.col("w") * goal / held).otherwise(F.lit(0.0)))
+            cur = cur.withColumn("w", F.when(held > 0, F.col("w") * _goal(d, targets) / held).otherwise(F.lit(0.0)))
     return cur
 
 
+def _goal(d: str, targets: dict[str, dict[str, float]]) -> Column:
+    goal = F.lit(0.0)
+    for value, share in sorted(targets[d].items()):
+        goal = F.when(F.col(f"mix_{d}") == value, F.lit(float(share))).otherwise(goal)
+    return goal
+
+
+def _ratio() -> Column:
+    return F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(F.lit(0.0))
+
+
+def hold_scarce(raked: DataFrame, targets: dict[str, dict[str, float]], trim: float) -> DataFrame:
+    """Raked cells as ``held`` (weight of a scarce cell, lowered to the ratio
+    of the first cell that is not; else 0), w (weight of another cell; else 0)
+    and what the held cells leave of each value's goal: left_source, left_lang,
+    left_topic."""
+    every, cell = Window.partitionBy(), [f"mix_{d}" for d in DIMS]
+    cur = (raked.withColumn("ratio", _ratio())
+           .withColumn("scarce", F.sum("w").over(Window.orderBy(F.desc("ratio"), *cell)))
+           .withColumn("total", F.sum("w").over(every))
+           .withColumn("ref", F.max(F.when(F.col("scarce") > trim * F.col("total"), F.col("ratio"))).over(every)))
+    held = F.col("ratio") > F.col("ref")
+    for d in DIMS:
+        same, has = Window.partitionBy(f"mix_{d}"), F.when(F.col("tokens") > 0, F.lit(1)).otherwise(F.lit(0))
+        cur = (cur.withColumn(f"free_{d}", F.sum(F.when(F.col("ratio") > F.col("ref"), F.lit(0.0)).otherwise(F.col("w"))).over(same))
+               .withColumn(f"n_{d}", F.sum(has).over(same)).withColumn(f"goal_{d}", _goal(d, targets))
+               .withColumn(f"all_{d}", F.sum(F.when(F.col("tokens") > 0, F.col(f"goal_{d}") / F.col(f"n_{d}"))).over(every))
+               .withColumn(f"goal_{d}", F.when(F.col(f"all_{d}") > 0, F.col(f"goal_{d}") * F.col("total") / F.col(f"all_{d}"))
+                           .otherwise(F.lit(0.0))))
+        held = held & (F.col(f"free_{d}") > 0)
+    cur = cur.withColumn("is", F.coalesce(held, F.lit(False))).select(
+        *cell, "tokens", *[f"goal_{d}" for d in DIMS],
+        F.when(F.col("is"), F.col("tokens") * F.col("ref")).otherwise(F.lit(0.0)).alias("held"),
+        F.when(F.col("is"), F.lit(0.0)).otherwise(F.col("w")).alias("w"))
+    left = [F.greatest(F.col(f"goal_{d}") - F.sum("held").over(Window.partitionBy(f"mix_{d}")), F.lit(0.0)).alias(f"left_{d}")
+            for d in DIMS]
+    return cur.select(*cell, "tokens", "held", "w", *left)
+
+
+def rake_rest(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``hold_scarce`` cells, those not held raked to what the held ones leave."""
+    cur = cells.coalesce(1)
+    for i in range(rounds):
+        if i and i % ROUNDS == 0:               # keep the plan shallow
+            cur = save(cur)[0].coalesce(1)
+        for d in DIMS:
+            free = F.sum("w").over(Window.partitionBy(f"mix_{d}"))
+            cur = cur.withColumn("w", F.when(free > 0, F.col("w") * F.col(f"left_{d}") / free).otherwise(F.lit(0.0)))
+    return cur.select(*[f"mix_{d}" for d in DIMS], "tokens", (F.col("held") + F.col("w")).alias("w"))
+
+
 def _fit(named: DataFrame, targets: dict[str, dict[str, float]], rounds: int, trim: float) -> DataFrame:
     cells, path = save(named.groupBy(*(f"mix_{d}" for d in DIMS)).agg(F.sum("mix_tokens").alias("tokens")))
-    ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(F.lit(0.0))
-    scarce = F.sum("w").over(Window.orderBy(F.desc("ratio"), *[f"mix_{d}" for d in DIMS]))
-    ref = F.max(F.when(F.col("scarce") > trim * F.sum("w").over(Window.partitionBy()), F.col("ratio"))).over(
-        Window.partitionBy())
-    out, _ = save(rake(cells, targets, rounds).withColumn("ratio", ratio).withColumn("scarce", scarce)
-                  .withColumn("ref", ref)
-                  .withColumn("p", F.when(F.col("ref") > 0, F.least(F.col("ratio") / F.col("ref"), F.lit(1.0)))
-                              .otherwise(F.lit(0.0))).drop("ratio", "scarce", "ref"))
-    remove(named.sparkSession, path)
+    raked, paths = rake(cells, targets, rounds), [path]
+    if trim > 0:
+        held, path = save(hold_scarce(raked, targets, trim))
+        raked, paths = rake_rest(held, rounds), [*paths, path]
+    out, _ = save(raked.withColumn("ratio", _ratio()).withColumn("ref", F.max("ratio").over(Window.partitionBy()))
+                  .withColumn("p", F.when(F.col("ref") > 0, F.col("ratio") / F.col("ref")).otherwise(F.lit(0.0)))
+                  .drop("ratio", "ref"))
+    for path in paths:
+        remove(named.sparkSession, path)
     return out
 
 

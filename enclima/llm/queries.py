@@ -113,6 +113,8 @@ MIX_TARGETS = {
     "topic": {"article": 0.6, "list": 0.34, "note": 0.04, "table": 0.02},
 }
 MIX_ROUNDS = 12
+# Share of the weight held by scarce cells that are held at what they have.
+MIX_TRIM = 0.1
 
 
 def _mix_sql() -> str:
@@ -120,13 +122,24 @@ def _mix_sql() -> str:
         values = ", ".join(f"'{v}'" for v in sorted(MIX_TARGETS[d]))
         return f"CASE WHEN {col} IN ({values}) THEN {col} ELSE 'other' END AS mix_{d}"
 
-    sql = "SELECT *, CAST(tokens AS DOUBLE) AS w FROM cells"
+    dims = ("source", "lang", "topic")
+    goal = {d: "(CASE " + " ".join(f"WHEN mix_{d} = '{v}' THEN {s!r}" for v, s in sorted(MIX_TARGETS[d].items()))
+            + " ELSE 0.0 END)::DOUBLE" for d in dims}
+    sql, rest = "SELECT *, CAST(tokens AS DOUBLE) AS w FROM cells", "SELECT * FROM capped"
     for _ in range(MIX_ROUNDS):
-        for d in ("source", "lang", "topic"):
-            goal = " ".join(f"WHEN mix_{d} = '{v}' THEN {s!r}" for v, s in sorted(MIX_TARGETS[d].items()))
+        for d in dims:
             sql = (f"SELECT * EXCLUDE (w), CASE WHEN sum(w) OVER (PARTITION BY mix_{d}) > 0 THEN "
-                   f"w * (CASE {goal} ELSE 0.0 END)::DOUBLE / sum(w) OVER (PARTITION BY mix_{d}) ELSE 0 END AS w "
+                   f"w * {goal[d]} / sum(w) OVER (PARTITION BY mix_{d}) ELSE 0 END AS w "
                    f"FROM ({sql})")
+            free = f"sum(CASE WHEN held THEN 0.0::DOUBLE ELSE w END) OVER (PARTITION BY mix_{d})"
+            fixed = f"sum(CASE WHEN held THEN w ELSE 0.0::DOUBLE END) OVER (PARTITION BY mix_{d})"
+            rest = (f"SELECT * EXCLUDE (w), CASE WHEN held THEN w WHEN {free} > 0 THEN "
+                    f"w * greatest(goal_{d} - {fixed}, 0) / {free} ELSE 0 END AS w FROM ({rest})")
+    spare = ", ".join(f"sum(CASE WHEN ratio > ref THEN 0.0::DOUBLE ELSE w END) OVER (PARTITION BY mix_{d}) AS free_{d}, "
+                      f"{goal[d]} AS g_{d}, sum(CASE WHEN tokens > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY mix_{d}) AS n_{d}"
+                      for d in dims)
+    goals = ", ".join(f"CASE WHEN all_{d} > 0 THEN g_{d} * total / all_{d} ELSE 0 END AS goal_{d}" for d in dims)
+    sums = ", ".join(f"sum(CASE WHEN tokens > 0 THEN g_{d} / n_{d} END) OVER () AS all_{d}" for d in dims)
     return f"""
 WITH t AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
 u AS (SELECT doc_id, source, lang, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS mix_tokens,
@@ -137,9 +150,19 @@ n AS (SELECT doc_id, mix_tokens, {named('source', 'source')}, {named('lang', 'la
 cells AS (SELECT mix_source, mix_lang, mix_topic, sum(mix_tokens)::BIGINT AS tokens FROM n GROUP BY ALL),
 raked AS ({sql}),
 ratio AS (SELECT *, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS ratio FROM raked),
-ref AS (SELECT *, max(ratio) OVER () AS ref FROM ratio),
+scarce AS (SELECT *, sum(w) OVER (ORDER BY ratio DESC, mix_source, mix_lang, mix_topic
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s, sum(w) OVER () AS total FROM ratio),
+ref AS (SELECT *, max(CASE WHEN s > {MIX_TRIM} * total THEN ratio END) OVER () AS ref FROM scarce),
+spare AS (SELECT *, {spare} FROM ref),
+goals AS (SELECT *, coalesce(ratio > ref AND free_source > 0 AND free_lang > 0 AND free_topic > 0, false) AS held, {sums}
+  FROM spare),
+capped AS (SELECT mix_source, mix_lang, mix_topic, tokens, held, CASE WHEN held THEN tokens * ref ELSE w END AS w, {goals}
+  FROM goals),
+rested AS ({rest}),
+ratio2 AS (SELECT *, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS ratio FROM rested),
+ref2 AS (SELECT *, max(ratio) OVER () AS ref FROM ratio2),
 p AS (SELECT mix_source, mix_lang, mix_topic,
-        round(CASE WHEN ref > 0 THEN least(ratio / ref, 1.0) ELSE 0 END, 6) AS mix_p FROM ref)
+        round(CASE WHEN ref > 0 THEN ratio / ref ELSE 0 END, 6) AS mix_p FROM ref2)
 SELECT n.doc_id, n.mix_source, n.mix_lang, n.mix_topic, n.mix_tokens, p.mix_p,
   CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 8)) AS BIGINT) / 4294967296.0 < p.mix_p
     AS mix_kept
@@ -151,7 +174,7 @@ def op4_source_mixing(spark, base):
     """Raked draw of documents by source, language and topic targets."""
     from .mixing import mix
     docs = read_table(spark, base, "documents").select("doc_id", "text", "lang", "source")
-    return (mix(docs, MIX_TARGETS, rounds=MIX_ROUNDS, keep_text=False)
+    return (mix(docs, MIX_TARGETS, rounds=MIX_ROUNDS, trim=MIX_TRIM, keep_text=False)
             .select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", "mix_p", "mix_kept"))
 
 

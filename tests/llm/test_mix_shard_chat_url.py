@@ -50,6 +50,26 @@ def test_registered_targets_hold_with_a_hot_source(spark, documents):
     assert sorted(narrow.select(cols).collect()) == sorted(out.select(cols).collect())
 
 
+def test_scarce_cells_do_not_thin_out_the_others(spark, documents):
+    """A cell of few tokens is held and the others make up for it: a larger
+    draw, the same targets."""
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"x": 1.0}}
+    rows = [(i, "w " * 50, lang, source) for i, (source, lang) in enumerate(
+        [("a", "en")] * 300 + [("a", "de")] * 40 + [("b", "en")] * 300 + [("b", "de")] * 400 + [("c", "en")] * 5)]
+    targets["source"]["c"] = 0.02
+    rows += [(9999, "w " * 50, "de", "c")]
+    drawn = {}
+    for trim in (0.0, mixing.TRIM):
+        out = mixing.mix(documents(rows), targets, F.lit("x"), trim=trim).collect()
+        assert len(out) == len(rows) and max(r.mix_p for r in out) == 1.0
+        total = drawn[trim] = sum(r.mix_tokens * r.mix_p for r in out)
+        for d in ("source", "lang"):
+            for v, share in targets[d].items():
+                got = sum(r.mix_tokens * r.mix_p for r in out if r[f"mix_{d}"] == v) / total
+                assert math.isclose(got, share / sum(targets[d].values()), abs_tol=2e-3), (trim, v)
+    assert mixing.TRIM > 0 and drawn[mixing.TRIM] > 1.2 * drawn[0.0]
+
+
 def test_mixing_edge_cases(spark, documents):
     assert mixing.mix(documents([]), TARGETS).count() == 0
     rows = [(1, None, None, None), (1, None, None, None), (None, "a\tb\x0bc  d", "en", "zz"), (2, " \n", "xx", "a")]
