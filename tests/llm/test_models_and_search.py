@@ -153,6 +153,86 @@ def test_embedding_group_wider_than_the_beams(spark):
     assert want.max() > 2 * WIDEST and got == dict(enumerate(want.tolist()))
 
 
+def sphere(rng, n, dim):
+    x = rng.normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def at_cosine(rng, x, cosine):
+    """A vector of this cosine for every row of ``x``."""
+    z = rng.normal(size=x.shape)
+    z -= np.einsum("nd,nd->n", x, z)[:, None] * x
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    return cosine * x + np.sqrt(1 - cosine ** 2) * z
+
+
+def test_embeddings_meet_in_regions(spark, monkeypatch):
+    """Whole vectors go where a near one is, not to every shard; pairs just
+    above the threshold are found, once at either end."""
+    rng = np.random.default_rng(8)
+    x = sphere(rng, 6000, 32)
+    x[4000:5000] = at_cosine(rng, x[:1000], 0.901)
+    x[5000:5060] = at_cosine(rng, np.repeat(x[1000:1001], 60, 0), 0.99)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    dealt, plain = [], type(table).repartition
+
+    def counted(self, *args):
+        if "vec" in self.columns:
+            dealt.append(self.count())
+        return plain(self, *args)
+
+    monkeypatch.setattr(type(table), "repartition", counted)
+    got = {r.vec_id: r for r in near_duplicates(table, 0.9).collect()}
+    assert 0 < sum(dealt) < 4 * len(x)              # every vector in each of twelve shards before
+    link = x @ x.T >= 0.9
+    np.fill_diagonal(link, False)
+    n = np.array([got[i].n_links for i in range(len(x))])
+    assert (n <= link.sum(1)).all() and n.sum() >= 0.98 * link.sum()
+    alone = [i for i in range(1000) if link[i].sum() == 1 and link[4000 + i].sum() == 1]
+    assert len(alone) > 900 and all(n[i] == n[4000 + i] for i in alone)
+    assert n[5000:5060].tolist() == link[5000:5060].sum(1).tolist() and len({got[i].component_id for i in range(5000, 5060)}) == 1
+
+
+def test_embedding_shard_counts_pairs_once(monkeypatch):
+    """By graph or as a whole; pairs that an earlier region names are left out."""
+    from enclima.llm import embedding_dedup as E
+    rng = np.random.default_rng(9)
+    x = sphere(rng, 400, 16)
+    x[300:] = at_cosine(rng, x[:100], 0.96)
+    ids = rng.permutation(400) * 7
+    marks = [np.array([5] if i < 50 or 300 <= i < 330 else [], np.int64) for i in range(400)]
+    want = x @ x.T >= 0.9
+    np.fill_diagonal(want, False)
+    named = np.array([len(m) > 0 for m in marks])
+    for rows in (E.GRAPH_ROWS, 100):
+        monkeypatch.setattr(E, "GRAPH_ROWS", rows)
+        for own, kept in ((None, want), (marks, want & ~(named[:, None] & named))):
+            shard = E._Shard(ids, np.full(400, 2), x, 0.9, own)
+            assert (shard.graph is None) == (rows > 400)
+            cid, other, linked = shard.links(ids, x, own)
+            got = dict.fromkeys(ids.tolist(), 0)
+            for c, n in zip(cid, linked):
+                got[int(c)] += int(n)
+            assert got == dict(zip(ids.tolist(), (2 * kept.sum(1)).tolist()))
+            root = brute.union_find(ids.tolist(), zip([int(c) for c in cid], [int(o) for o in other]))
+            full = brute.union_find(ids.tolist(), [(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(kept))])
+            assert root == full
+
+
+def test_region_plans():
+    from enclima.llm import regions
+    rng = np.random.default_rng(10)
+    for dim, rows, cosine in ((64, 51_282, 0.9), (64, 10 ** 8, 0.9), (33, 10 ** 5, 0.8), (2, 10 ** 4, 0.9)):
+        codes, depth, least = regions.plan(dim, rows, cosine, 0.99)
+        assert codes > 1
+        x = sphere(rng, 3000, dim)
+        a, b = (regions.rotated(v, codes) for v in (x, at_cosine(rng, x, cosine)))
+        met = (regions.regions(a, codes, depth)[:, :, None] == regions.regions(b, codes, depth)[:, None]).any(axis=(1, 2))
+        near = np.einsum("nd,nd->n", *(regions.opened(regions.sketches(y), dim) for y in (a, b))) >= least
+        assert (met & near).mean() > 0.975
+    assert regions.plan(64, 1000, 0.9, 0.99)[0] == regions.plan(1, 10 ** 6, 0.9, 0.99)[0] == regions.plan(8, 10 ** 6, -0.5, 0.99)[0] == 1
+
+
 LANGS = {"aa": ["kolo", "mirta", "sven"], "bb": ["tugh", "rax", "pelto"], "cc": ["ünxe", "wöry", "çazi"]}
 
 
